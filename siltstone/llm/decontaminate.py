@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -13,11 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import blobs, slices, table, written
+from siltstone.llm.common import FOLD, blobs, slices, table, written
 
-#: Bytes to bytes: A-Z to a-z, separators to a space; digits, letters and all bytes of other characters as they are.
-FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-_built: dict[int, ahocorasick.Automaton | None] = {}
+_built: dict[str, ahocorasick.Automaton | None] = {}
 
 
 def windows(items: DataFrame, size: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -89,7 +87,7 @@ def offsets(raw: bytes, spans: list[list[int]]) -> list[dict]:
     return [{"start": int(chars[first[a]]), "end": int(chars[last[b - 1]])} for a, b in spans]
 
 
-def scan(docs: DataFrame, items: DataFrame, size: int = 10, block_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, size: int = 10, block_bytes: int = 128 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Finds every occurrence of an item's window in every document.
 
     Returns one row per row of ``docs``: ``doc_id, n_words, n_hit, items array<string>, spans array<struct<start,end>>``;
@@ -99,11 +97,6 @@ def scan(docs: DataFrame, items: DataFrame, size: int = 10, block_bytes: int = 3
     The automaton is sent to all executors in blocks of about ``block_bytes``: a larger benchmark is split by window
     into more blocks, which the documents then pass one after the other, so no broadcast grows with the benchmark.
     """
-    spark = docs.sparkSession
-    grams = written(windows(items, size, item_col, item_text_col), "windows")
-    # in an automaton each byte of a window takes up to some 40 bytes
-    total = grams.agg(F.sum(F.octet_length("gram") + 60)).first()[0] or 0
-    blocks = max(1, -(-total * 8 // block_bytes))
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.array().cast("array<struct<a:int,b:int>>").alias("hits"), F.array().cast("array<string>").alias("items"))
     final = T.StructType(
         [
@@ -111,11 +104,38 @@ def scan(docs: DataFrame, items: DataFrame, size: int = 10, block_bytes: int = 3
             *T._parse_datatype_string("n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>").fields,
         ]
     )
+    blocks = list(_blocks(items, size, block_bytes, item_col, item_text_col))
+    for i, shared in enumerate(blocks, 1):
+        found = found.mapInArrow(_pass(shared, i == len(blocks)), final if i == len(blocks) else found.schema)
+    return found
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, size: int = 10, block_bytes: int = 128 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no window of an item occurs; decided where the rows are, without a shuffle."""
+    at = docs.columns.index(text_col)
+    for shared in _blocks(items, size, block_bytes, item_col, item_text_col):
+        docs = docs.mapInArrow(_filter(shared, at), docs.schema)
+    return docs
+
+
+def _blocks(items: DataFrame, size: int, block_bytes: int, item_col: str, item_text_col: str) -> Iterator[Broadcast]:
+    """The benchmark's windows, split by their hash into as many blocks as keep each under ``block_bytes`` as an automaton; one empty block if there is none."""
+    grams = written(windows(items, size, item_col, item_text_col), "windows")
+    # in an automaton each byte of a window takes some 40 bytes; a row and its Python objects some 60 more
+    total = (grams.agg(F.sum(F.octet_length("gram") + 60)).first()[0] or 0) * 40
+    blocks = max(1, -(-total // block_bytes))
     for block in range(blocks):
         rows = grams.filter(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == block).select("gram", "n", "item").collect()
-        shared = spark.sparkContext.broadcast({"key": hash((id(rows), block, total)), "grams": [tuple(r) for r in rows]})
-        found = found.mapInArrow(_pass(shared, block == blocks - 1), final if block == blocks - 1 else found.schema)
-    return found
+        yield items.sparkSession.sparkContext.broadcast({"key": uuid.uuid4().hex, "grams": [tuple(r) for r in rows]})
+
+
+def _filter(shared: Broadcast, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = _automaton(shared)
+        for batch in slices(batches, at):
+            yield batch.filter(pa.array([not _hits(machine, raw.translate(FOLD).split())[0] for raw in blobs(batch.column(at))], pa.bool_()))
+
+    return run
 
 
 def _pass(shared: Broadcast, last: bool):
