@@ -1,8 +1,8 @@
 """A byte-level convolutional network in numpy that scores the quality of whole texts.
 
 A text is cut into overlapping chunks of bytes that cover all of it. In each chunk, bytes are embedded and learned filters
-run over windows of bytes; each filter's largest value is kept (max-pooling). A text's mean and maximum over chunks
-are combined into one probability.
+run over windows of bytes; each filter's largest value is kept (max-pooling), and a small hidden layer mixes them. A
+text's mean and maximum over chunks are combined into one probability.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from siltstone.llm.common import blobs, slices, table
 
-CHUNK, OVERLAP, STRIDE, DIM = 512, 32, 4, 8
+CHUNK, OVERLAP, STRIDE, DIM, HIDDEN = 256, 16, 4, 8, 16
 
 
 def crc(id_col: str) -> Column:
@@ -44,11 +44,13 @@ def chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Network:
-    """Embedding (256 x DIM), filters over two strides of bytes (2 * STRIDE * DIM x filters), biases, weights of mean and maximum, bias."""
+    """Embedding (256 x DIM), filters over two strides of bytes (2 * STRIDE * DIM x filters) and biases, hidden layer and biases, weights of mean and maximum, bias."""
 
     emb: np.ndarray
     filters: np.ndarray
     bias: np.ndarray
+    mix: np.ndarray
+    mix_bias: np.ndarray
     out: np.ndarray
     off: np.ndarray
 
@@ -56,7 +58,7 @@ class Network:
     def new(cls, filters: int, seed: int) -> Network:
         rng = np.random.default_rng(seed)
         draw = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
-        return cls(draw(0.5, 256, DIM), draw(0.15, 2 * STRIDE * DIM, filters), np.zeros(filters, np.float32), draw(0.1, 2 * filters), np.zeros(1, np.float32))
+        return cls(draw(0.5, 256, DIM), draw(0.15, 2 * STRIDE * DIM, filters), np.zeros(filters, np.float32), draw(0.25, filters, HIDDEN), np.full(HIDDEN, 0.1, np.float32), draw(0.2, 2 * HIDDEN), np.zeros(1, np.float32))
 
     def _windows(self, rows: np.ndarray) -> np.ndarray:
         return self.emb[rows].reshape(len(rows), CHUNK // STRIDE, STRIDE * DIM)
@@ -75,40 +77,42 @@ class Network:
         if not texts:
             return np.zeros(0)
         rows, first = chunks(texts)
-        return self._combined(self.pooled(rows), first)[1]
+        return self._combined(np.maximum(self.pooled(rows) @ self.mix + self.mix_bias, 0), first)[1]
 
-    def _combined(self, pooled: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _combined(self, hidden: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = np.diff(first)[:, None]
-        both = np.concatenate((np.add.reduceat(pooled, first[:-1]) / n, np.maximum.reduceat(pooled, first[:-1])), axis=1)
+        both = np.concatenate((np.add.reduceat(hidden, first[:-1]) / n, np.maximum.reduceat(hidden, first[:-1])), axis=1)
         z = np.clip((both @ self.out + self.off).astype(np.float64), -30, 30)
         return both, 1 / (1 + np.exp(-z))
 
     def gradients(self, rows: np.ndarray, first: np.ndarray, label: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
         """Of the weighted log loss of a batch of texts."""
-        half, k = STRIDE * DIM, len(self.bias)
+        half, k = STRIDE * DIM, HIDDEN
         x = self._windows(rows)
         value = x[:, :-1] @ self.filters[:half] + x[:, 1:] @ self.filters[half:]
         at = value.argmax(axis=1)
         pooled = np.maximum(np.take_along_axis(value, at[:, None], 1)[:, 0] + self.bias, 0)
-        both, p = self._combined(pooled, first)
+        hidden = np.maximum(pooled @ self.mix + self.mix_bias, 0)
+        both, p = self._combined(hidden, first)
         g = ((p - label) * weight / weight.sum()).astype(np.float32)
         owner = np.repeat(np.arange(len(label)), np.diff(first))
-        g_pool = g[owner, None] * (self.out[:k] / np.diff(first)[owner, None] + self.out[k:] * (pooled == both[owner, k:])) * (pooled > 0)
+        g_hidden = (g[owner, None] * (self.out[:k] / np.diff(first)[owner, None] + self.out[k:] * (hidden == both[owner, k:])) * (hidden > 0)).astype(np.float32)
+        g_pool = g_hidden @ self.mix.T * (pooled > 0)
         c = np.arange(len(rows))[:, None]
         best = np.concatenate((x[c, at], x[c, at + 1]), axis=2)  # chunk, filter, window
         g_filters = np.einsum("cfw,cf->wf", best, g_pool)
         g_window = (g_pool[:, :, None] * self.filters.T[None]).reshape(-1, 2 * STRIDE, DIM)
         letters = rows[c[..., None], (at * STRIDE)[..., None] + np.arange(2 * STRIDE)].reshape(-1)
         g_emb = np.stack([np.bincount(letters, g_window.reshape(-1, DIM)[:, d], 256) for d in range(DIM)], axis=1)
-        return [g_emb.astype(np.float32), g_filters, g_pool.sum(0), both.T @ g, g.sum(keepdims=True)]
+        return [g_emb.astype(np.float32), g_filters, g_pool.sum(0), pooled.T @ g_hidden, g_hidden.sum(0), both.T @ g, g.sum(keepdims=True)]
 
 
-def train(texts: list[list[bytes]], labels: np.ndarray, weights: np.ndarray, filters: int = 32, epochs: int = 12, batch: int = 48, rate: float = 0.01, seed: int = 7) -> Network:
+def train(texts: list[list[bytes]], labels: np.ndarray, weights: np.ndarray, filters: int = 32, epochs: int = 14, batch: int = 48, rate: float = 0.02, seed: int = 7) -> Network:
     """Fits a network to texts that are given as lists of chunks, with Adam and a falling rate; deterministic."""
     net = Network.new(filters, seed)
     rows = [np.stack([np.frombuffer(c.ljust(CHUNK, b"\0"), np.uint8) for c in t]) for t in texts]
     rng = np.random.default_rng(seed)
-    names = ("emb", "filters", "bias", "out", "off")
+    names = ("emb", "filters", "bias", "mix", "mix_bias", "out", "off")
     m = [np.zeros_like(getattr(net, n)) for n in names]
     v = [np.zeros_like(x) for x in m]
     step, last = 0, epochs * -(-len(rows) // batch)
@@ -126,7 +130,7 @@ def train(texts: list[list[bytes]], labels: np.ndarray, weights: np.ndarray, fil
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1200, chunks_per_text: int = 12, fold: int = 1, folds: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2000, chunks_per_text: int = 8, fold: int = 1, folds: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
     """Learns from a bounded sample of labelled documents outside the held-out fold.
 
     The bound: at most ``per_label`` documents of each label (those with the smallest hash of their id), and of each at
