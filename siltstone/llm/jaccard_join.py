@@ -2,7 +2,7 @@
 
 Sets of five-word shingles are embedded as minhash tokens. In each of several runs a set follows every token that a seeded
 hash selects (1 / similarity tokens in expectation), so similar sets land in the same bucket; buckets that are still
-large are split again on the next selected tokens; small ones are compared by brute force. Pairs that look similar
+large are split again on the next selected tokens, small ones are compared by brute force. Pairs that look similar
 enough there only say which documents to compare: documents so connected are then compared exactly, block by block.
 No step writes out pairs: a bucket gives a tree of edges, a block gives each document's number of links.
 """
@@ -71,7 +71,7 @@ def _selected(sketches: np.ndarray, seeds: np.ndarray, similarity: float) -> tup
 
 
 def _split(runs: int, similarity: float) -> Callable:
-    """Rows ``doc_id, sketch, key`` to ``doc_id, key`` of the next level; a null key starts all runs."""
+    """Rows ``doc_id, sketch, key, size`` to ``doc_id, key, within`` of the next level, ``within`` being the size of the bucket that is split; a null key starts all runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 1 << 20):
@@ -83,7 +83,7 @@ def _split(runs: int, similarity: float) -> Callable:
                 starts = [batch.column(2).to_numpy().view(np.uint64)]
             for seeds in starts:
                 row, key = _selected(sketches, seeds, similarity)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(key.view(np.int64))], ["doc_id", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(key.view(np.int64)), batch.column(3).take(pa.array(row))], ["doc_id", "key", "within"])
 
     return run
 
@@ -144,40 +144,42 @@ def _bucket_edges(least: int) -> Callable:
 
 
 def _blocks(members: DataFrame, size: str) -> DataFrame:
-    """Members of groups dealt to blocks of about BLOCK rows; a row for each pair of blocks (``lo <= hi``) that its block is part of. A group of one block gives one row per member."""
+    """Members of groups dealt to blocks of about BLOCK rows; a row for each pair of blocks (``lo <= hi``) that its block is part of: one row per member in a group of one block."""
     blocks = F.ceil(F.col(size) / F.lit(BLOCK)).cast("int")
     block = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
 
 
-def candidates(reps: DataFrame, similarity: float = 0.8, recall: float = 0.999, limit: int = BLOCK, depth: int = 3, slack: float = 4.0) -> DataFrame:
-    """Edges ``a, b`` that connect all documents whose sketches meet in a bucket and agree enough.
+def candidates(reps: DataFrame, similarity: float = 0.8, recall: float = 0.999, limit: int = BLOCK, depth: int = 6, dense: float = 0.6, slack: float = 4.0) -> DataFrame:
+    """Edges ``a, b`` that connect all documents that meet in a bucket and look similar enough.
 
-    ``reps`` has distinct ``doc_id`` and non-null ``sketch``. Agreement may lie ``slack`` standard deviations under the
-    threshold. Buckets of the last level that are over ``limit`` are compared in pairs of blocks, so none is dropped.
-    Buckets with the same members as another are compared once.
+    ``reps`` has distinct ``doc_id`` and non-null ``sketch``. In a bucket of at most ``limit`` documents all sketches are
+    compared; agreement may lie ``slack`` standard deviations under the threshold. A larger bucket is split again. What
+    can't be split, as a share of at least ``dense`` of a bucket stays together or it is the last level, is one family: all
+    its documents are connected to its smallest, and the exact comparison that follows tells them apart, so none is
+    dropped. Buckets with the same members as another are compared once.
     """
     least = math.ceil(TOKENS * (similarity - slack * math.sqrt(similarity * (1 - similarity) / TOKENS)))
     runs = runs_for(recall, similarity, 2)
     sketches = reps.select("doc_id", "sketch")
-    level = sketches.withColumn("key", F.lit(None).cast("long"))
+    level = sketches.withColumns({"key": F.lit(None).cast("long"), "size": F.lit(None).cast("long")})
     out: DataFrame | None = None
     for at in range(1, depth + 1):
-        rows = written(level.select("doc_id", "sketch", "key").mapInArrow(_split(runs, similarity), "doc_id long, key long"), "paths")
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("members")).filter("size > 1")
-        sizes = written(sizes.groupBy("size", "members").agg(F.min("key").alias("key")), "buckets")
-        small = rows.join(sizes.filter(F.col("size") <= limit).select("key"), "key").join(sketches, "doc_id").select("key", "doc_id", "sketch")
+        rows = written(level.select("doc_id", "sketch", "key", "size").mapInArrow(_split(runs, similarity), "doc_id long, key long, within long"), "paths")
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("within").alias("within"), F.min("doc_id").alias("hub"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("members")).filter("size > 1")
+        sizes = written(sizes.groupBy("size", "members", "hub").agg(F.min("key").alias("key"), F.min("within").alias("within")), "buckets")
+        over = F.col("size") > limit
+        family = over & (F.coalesce(F.col("size") >= dense * F.col("within"), F.lit(False)) | F.lit(at == depth))
+        small = rows.join(sizes.filter(~over).select("key"), "key").join(sketches, "doc_id").select("key", "doc_id", "sketch")
         edges = small.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_edges(least), "a long, b long")
-        out = edges if out is None else out.unionByName(edges)
-        big = written(rows.join(sizes.filter(F.col("size") > limit).select("key", "size"), "key").join(sketches, "doc_id"), "split")
-        if big.limit(1).count() == 0:
+        stars = rows.join(sizes.filter(family).select("key", "hub"), "key").filter("doc_id != hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+        out = edges.unionByName(stars) if out is None else out.unionByName(edges).unionByName(stars)
+        if at == depth:
+            break
+        level = written(rows.join(sizes.filter(over & ~family).select("key", "size"), "key").join(sketches, "doc_id").select("doc_id", "sketch", "key", "size"), "split")
+        if level.limit(1).count() == 0:
             break
-        if at < depth:
-            level = big
-            continue
-        dealt = _blocks(big, "size").withColumn("key", F.xxhash64("key", "lo", "hi")).select("key", "doc_id", "sketch")
-        out = out.unionByName(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_edges(least), "a long, b long"))
     return out
 
 
