@@ -115,14 +115,14 @@ def unattributed_rows(t):
     return rep.join(known, "p_partkey", "left_anti").select("p_partkey")
 
 
-@query("""WITH o AS (SELECT p_partkey, md5(p_name || p_type || p_retailprice::INT) AS body, p_brand AS path, p_size FROM part),
+@query("""WITH o AS (SELECT p_partkey, md5(p_name || p_type || p_size::VARCHAR) AS body, p_brand AS path, p_size FROM part),
 n AS (SELECT CASE WHEN p_size % 2 = 1 THEN -1 - p_partkey ELSE p_partkey END AS p_partkey, body, CASE WHEN p_size % 3 = 0 THEN 'moved' ELSE path END AS path FROM o),
 m AS (SELECT body, path, min(p_partkey) AS new_key FROM n GROUP BY ALL)
 SELECT o.p_partkey AS old_key, min(m.new_key) AS new_key FROM o JOIN m USING (body) WHERE o.path <> m.path AND o.p_partkey NOT IN (SELECT p_partkey FROM n) GROUP BY 1""")
 def moved_rows(t):
     """Rows whose key is gone from the new snapshot but whose body appears under another path; the new rows are one per body and path before the join."""
     k, size = F.col("p_partkey"), F.col("p_size")
-    body = F.md5(F.concat("p_name", "p_type", F.round("p_retailprice").cast("int").cast("string")))
+    body = F.md5(F.concat("p_name", "p_type", size.cast("string")))
     old = t("part").select(k.alias("old_key"), body.alias("body"), F.col("p_brand").alias("path"))
     new = t("part").select(F.when(size % 2 == 1, -1 - k).otherwise(k).alias("new_key"), body.alias("body"), F.when(size % 3 == 0, "moved").otherwise(F.col("p_brand")).alias("new_path"))
     gone = old.join(new.select(F.col("new_key").alias("old_key")), "old_key", "left_anti")

@@ -93,3 +93,50 @@ def test_unions_decline(spark):
     row = spark.range(1).select(*[F.array(*map(F.lit, v)).alias(k) for k, v in {"b": "xy", "c": "xyc", "r": "xyr", "e": "xzr", "s": "xyc"}.items()])
     got = row.select(*[M.list_union(F.col("b"), F.col("c"), F.col(k)).alias(k) for k in "rebs"]).first()
     assert got.r == list("xycr") and got.e is None and got.b == list("xyc") and got.s is None
+
+
+def test_greedy_pairs(spark):
+    from siltstone.operators.pairing import greedy
+
+    rows = [(1, 10, 0.9), (1, 11, 0.8), (2, 10, 0.85), (2, 11, 0.1), (3, 12, 0.5), (4, 12, 0.5)]
+    got = {(r.a, r.b) for r in greedy(spark.createDataFrame(rows, "a int, b int, s double"), "a", "b", "s").collect()}
+    assert got == {(1, 10), (2, 11), (3, 12)}
+
+
+def test_renames_against_brute_force(spark):
+    from siltstone.operators.pairing import renames
+
+    rng = random.Random(9)
+    body = lambda: [f"w{rng.randrange(60)}" for _ in range(12)]
+    old = [("k" + str(i % 2), f"o{i:02}", body()) for i in range(40)]
+    new = []
+    for k, n, w in old:
+        u = rng.random()
+        if u < 0.3:
+            new.append((k, n, w))
+        elif u < 0.6:
+            new.append((k, "n" + n, w))
+        elif u < 0.9:
+            new.append((k, "m" + n, w[1:] + [f"w{rng.randrange(60)}"]))
+    shape = lambda rows: spark.createDataFrame([(k, n, " ".join(w), sorted(set(w))) for k, n, w in rows], "kind string, name string, body string, words array<string>")
+    got = {(r.kind, r.old_name, r.new_name, r.how) for r in renames(shape(old), shape(new)).collect()}
+    gone = [x for x in old if (x[0], x[1]) not in {y[:2] for y in new}]
+    come = [y for y in new if (y[0], y[1]) not in {x[:2] for x in old}]
+    want, used = set(), set()
+    for x in sorted(gone):
+        for y in sorted(come):
+            if y[0] == x[0] and y[2] == x[2] and y[:2] not in used and x[:2] not in used:
+                want.add((x[0], x[1], y[1], "equal_body"))
+                used |= {x[:2], y[:2]}
+    near = []
+    for x in gone:
+        for y in come:
+            a, b = set(x[2]), set(y[2])
+            j = round(len(a & b) / len(a | b), 9)
+            if x[0] == y[0] and x[:2] not in used and y[:2] not in used and j >= 0.6:
+                near.append((-j, x[0], x[1], y[1]))
+    for _, k, o, n in sorted(near):
+        if (k, o) not in used and (k, n) not in used:
+            want.add((k, o, n, "like_body"))
+            used |= {(k, o), (k, n)}
+    assert got == want
