@@ -42,7 +42,10 @@ def letters(text: str, codes: np.ndarray) -> np.ndarray:
 
 
 def automaton(text: np.ndarray) -> np.ndarray:
-    """The suffix automaton of a text as a table: next state times WIDTH; where there is no match, the state after the letter alone, with BREAK set."""
+    """The suffix automaton of a text as a table: next state times WIDTH; where there is no match, the state after the letter alone, with BREAK set.
+
+    The last state is that after a letter the text doesn't have, which is a phrase by itself.
+    """
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text.tolist():
@@ -68,13 +71,15 @@ def automaton(text: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    out = np.full((len(step), WIDTH), BREAK, np.int32)
+    unknown = len(step)
+    out = np.full((unknown + 1, WIDTH), unknown * WIDTH | BREAK, np.int32)
     for c, to in step[0].items():
         out[:, c] = to * WIDTH | BREAK
+    out[0] = unknown * WIDTH  # the start: nothing to break off
     rows = np.repeat(np.arange(len(step)), [len(s) for s in step])
     cols = np.array([c for s in step for c in s], np.int64)
     out[rows, cols] = np.array([t for s in step for t in s.values()], np.int64) * WIDTH
-    out[:, PAD] = np.arange(len(step)) * WIDTH
+    out[:, PAD] = np.arange(unknown + 1) * WIDTH
     return out.ravel()
 
 
