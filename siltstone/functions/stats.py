@@ -89,3 +89,27 @@ def pooled(df: DataFrame, x: str, y: str, weight: str | None = None, keys: list[
         return part[[*keys, "x"]].assign(fitted=[s / n for s, n, k in blocks for _ in range(k)])
 
     return points.groupBy(*keys).applyInPandas(fit, schema)
+
+
+def pooled_robust(df: DataFrame, x: str, y: str, cutoff: float | None = None, rounds: int = 10, close: float = 1e-4) -> DataFrame:
+    """Monotone fit under Huber loss: ``x, fitted``.
+
+    Fits and weights by turns: points whose residual is over the cutoff weigh in proportion less. The cutoff is 1.345 times
+    the scaled median absolute deviation of the first fit's residuals (1.345 where that is 0), unless given. It ends when
+    no weight moves by ``close``, or after ``rounds``.
+    """
+    from siltstone.sources.scratch import written
+
+    points = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.lit(1.0).alias("w"))
+    for _ in range(rounds):
+        fit = pooled(points, "x", "y", "w")
+        rows = written(points.join(fit, "x").withColumn("r", F.col("y") - F.col("fitted")), "weighted")
+        if cutoff is None:
+            mad = spread(rows.withColumn("all", F.lit(1)), ["all"], "r").first()
+            cutoff = 1.345 * mad["mad_scaled"] if mad and mad["mad_scaled"] else 1.345
+        new = F.least(F.lit(1.0), F.lit(cutoff) / (F.abs("r") + 1e-12))
+        moved = rows.agg(F.max(F.abs(new - F.col("w"))).alias("m")).first()["m"]
+        points = rows.select("x", "y", new.alias("w"))
+        if moved is None or moved < close:
+            break
+    return pooled(points, "x", "y", "w")

@@ -17,13 +17,14 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     """
     terms = docs.select(F.col(id_col).alias("id"), F.explode(ident_tokens(F.col(text_col))).alias("term"))
     tf = terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    length = docs.select(F.col(id_col).alias("id"), F.size(ident_tokens(F.col(text_col))).alias("dl"))
-    whole = length.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    length = tf.groupBy("id").agg(F.sum("tf").alias("dl"))
+    whole = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(ident_tokens(F.col(text_col)))).alias("terms")).first()
+    n, avgdl = whole["n"], (whole["terms"] or 0) / max(1, whole["n"]) or 1.0
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(ident_tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.greatest("dl", F.lit(1)) / F.col("avgdl")))
-    hits = asked.join(df, "term").join(tf, "term").join(length, "id").join(F.broadcast(whole))
+    df = tf.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.col("qf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
+    hits = asked.join(df, "term").join(tf, "term").join(length, "id")
     return hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
 
 

@@ -74,6 +74,13 @@ def isotonic_quality(t):
     return _r(S.pooled(d, "size", "quality"), 6, "fitted")
 
 
+@query()
+def robust_isotonic_quality(t):
+    """The same fit when a few labels may be wrong."""
+    d = t("documents").join(t("labels"), "doc_id").withColumn("size", F.floor(F.col("n_chars") / 50))
+    return _r(S.pooled_robust(d, "size", "quality"), 4, "fitted")
+
+
 @query("SELECT event_id, round(1 / (1 + exp(-(value - 50) / 10)), 8) AS p, round(CASE WHEN abs((value - 50) / 10) <= 1.345 THEN 0.5 * ((value - 50) / 10) ** 2 ELSE 1.345 * (abs((value - 50) / 10) - 0.6725) END, 8) AS loss FROM events")
 def sigmoid_and_huber(t):
     z = (F.col("value") - 50) / 10

@@ -140,3 +140,32 @@ def test_renames_against_brute_force(spark):
             want.add((k, o, n, "like_body"))
             used |= {(k, o), (k, n)}
     assert got == want
+
+
+def test_robust_fit_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    x = np.arange(40.0)
+    y = x / 10 + rng.normal(0, 0.1, 40)
+    y[20] = 30.0
+    got = S.pooled_robust(spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double"), "x", "y").orderBy("x")
+
+    def pav(w):
+        blocks = []
+        for a, b in zip(y, w, strict=True):
+            blocks.append([a * b, b, 1])
+            while len(blocks) > 1 and blocks[-1][0] / blocks[-1][1] < blocks[-2][0] / blocks[-2][1] - 1e-12:
+                last = blocks.pop()
+                blocks[-1] = [p + q for p, q in zip(blocks[-1], last, strict=True)]
+        return np.array([s / n for s, n, k in blocks for _ in range(k)])
+
+    w, cut = np.ones(40), None
+    for _ in range(10):
+        r = y - pav(w)
+        if cut is None:
+            cut = 1.345 * 1.4826 * np.median(np.abs(r - np.median(r)))
+        new = np.minimum(1, cut / (np.abs(r) + 1e-12))
+        done = np.abs(new - w).max() < 1e-4
+        w = new
+        if done:
+            break
+    assert np.allclose([r.fitted for r in got.collect()], pav(w), atol=1e-9)
