@@ -154,7 +154,7 @@ def version_key(v: Column) -> Column:
     """Sortable struct of a version: numeric parts compare as numbers, a release comes after its pre-releases, what isn't a version comes first."""
     core = F.regexp_extract(v, r"^[0-9.]+", 0)
     rest = F.substring(v, F.length(core) + 1, F.length(v))
-    nums = F.transform(F.filter(F.split(core, "[.]"), lambda x: x != ""), lambda x: x.cast("long"))
+    nums = F.transform(F.filter(F.split(core, "[.]"), lambda x: x != ""), lambda x: x.try_cast("long"))
     return F.struct((core != "").cast("int").alias("numeric"), F.when(core != "", nums).alias("parts"), (rest == "").cast("int").alias("release"), F.when(core != "", rest).otherwise(v).alias("rest"))
 
 

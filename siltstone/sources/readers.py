@@ -53,7 +53,7 @@ def versions(spark: SparkSession, root: str) -> DataFrame:
 def unmerged(listing: DataFrame, col: str = "value") -> DataFrame:
     """Stages per path from NUL-separated ``mode oid stage<TAB>path`` listings: ``path, stages``."""
     entry = listing.select(F.explode(F.split(F.col(col), "\u0000")).alias("e")).filter("e != ''")
-    got = entry.select(F.regexp_extract("e", r"^\S+ \S+ (\d)\t", 1).cast("int").alias("stage"), F.regexp_extract("e", r"(?s)\t(.*)$", 1).alias("path"))
+    got = entry.select(F.regexp_extract("e", r"^\S+ \S+ (\d)\t", 1).try_cast("int").alias("stage"), F.regexp_extract("e", r"(?s)\t(.*)$", 1).alias("path"))
     return got.groupBy("path").agg(F.sort_array(F.collect_set("stage")).alias("stages"))
 
 
@@ -87,7 +87,7 @@ def text_diagnostics(lines: DataFrame, col: str = "value") -> DataFrame:
     """Messages like ``file:line:column: error: text``: ``file, line, level, message``."""
     p = r"^([^:\s]+):(\d+):(?:\d+:)?\s*(error|warning)(?:\[\w+\])?:\s*(.*)$"
     part = lambda i: F.regexp_extract(F.col(col), p, i)
-    return lines.filter(F.col(col).rlike(p)).select(part(1).alias("file"), part(2).cast("int").alias("line"), part(3).alias("level"), part(4).alias("message"))
+    return lines.filter(F.col(col).rlike(p)).select(part(1).alias("file"), part(2).try_cast("int").alias("line"), part(3).alias("level"), part(4).alias("message"))
 
 
 def passing_tests(output: DataFrame, col: str = "value") -> DataFrame:
