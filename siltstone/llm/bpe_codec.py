@@ -9,6 +9,7 @@ adds states for its own rest.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from collections.abc import Callable, Iterator
@@ -37,11 +38,14 @@ def byte_letters() -> list[str]:
 class Trie:
     """Encodings of words (in byte letters) for one vocabulary with merge ranks and a word-end mark."""
 
-    def __init__(self, vocab: dict[str, int], merges: list, end: str, nodes: int = 300_000):
+    def __init__(self, vocab: dict[str, int], merges: list, end: str, nodes: int = 700_000):
         self.vocab, self.end, self.limit = vocab, end, nodes
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in merges]
-        self.rank = {p: i for i, p in enumerate(pairs)}
+        self.rank = {p: i for i, p in enumerate(pairs, 1)}
+        self.made = {a + b: (i, a, b) for i, (a, b) in enumerate(pairs, 1)}  # token: when it is merged, and from what
         self.longest = max(len(t.removesuffix(end)) for t in vocab)
+        self.inner = {t: t for t in vocab}  # by its letters: a token inside a word, and one at its end
+        self.final = {t.removesuffix(end): t for t in vocab if t.endswith(end) and len(t) > len(end)} if end else self.inner
         self.pair_ok: dict[tuple[str, str], bool] = {}
         self.self_ok: dict[str, bool] = {}
         self.clear()
@@ -58,7 +62,7 @@ class Trie:
         return list(token)
 
     def merged(self, parts: list[str]) -> list[str]:
-        """Plain merging by rank; used on a token or two only."""
+        """Plain merging by rank; used on single tokens only, to see whether they encode to themselves."""
         while len(parts) > 1:
             best = min((self.rank.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
             if best[0] == 1 << 60:
@@ -78,23 +82,35 @@ class Trie:
     def _fits(self, before: str, token: str) -> bool:
         ok = self.self_ok.get(token)
         if ok is None:
-            ok = self.self_ok[token] = token in self.vocab and self.merged(self._letters(token)) == [token]
-        if not ok or not before:
-            return ok
-        key = (before, token)
-        fit = self.pair_ok.get(key)
-        if fit is None:
-            if len(self.pair_ok) > 500_000:
-                self.pair_ok.clear()
-            fit = self.pair_ok[key] = self.merged(self._letters(before) + self._letters(token)) == [before, token]
+            ok = self.self_ok[token] = self.merged(self._letters(token)) == [token]
+        if len(self.pair_ok) > 500_000:
+            self.pair_ok.clear()
+        fit = self.pair_ok[before, token] = ok and (not before or self._side_by_side(before, token))
         return fit
 
-    def _last(self, word: str, to: int, states: list[str], mark: str) -> str:
-        """Last token of ``word[:to]`` plus the mark; ``states[i]`` is that of ``word[:i]``."""
+    def _side_by_side(self, left: str, right: str) -> bool:
+        """Whether two tokens stay two: merges are undone at their border, the latest first, and what then meets must not merge before what was undone."""
+        limit = 1 << 60
+        while True:
+            if self.rank.get((left, right), limit) < limit:
+                return False
+            a, b = self.made.get(left, (0, "", "")), self.made.get(right, (0, "", ""))
+            if a[0] > b[0]:
+                limit, left = a[0], a[2]
+            elif b[0]:  # on a tie the merge further left comes first
+                limit, right = b[0] + 1, b[1]
+            else:
+                return True
+
+    def _last(self, word: str, to: int, states: list[str], tokens: dict[str, str]) -> str:
+        """Last token of ``word[:to]``, of ``tokens``; ``states[i]`` is that of ``word[:i]``."""
+        known = self.pair_ok
         for start in range(max(0, to - self.longest), to):
-            token = word[start:to] + mark
-            if token in self.vocab and self._fits(states[start], token):
-                return token
+            token = tokens.get(word[start:to])
+            if token is not None:
+                fit = known.get((states[start], token))
+                if fit or (fit is None and self._fits(states[start], token)):
+                    return token
         raise ValueError(f"no token ends {word[:to]!r}")
 
     def encode(self, word: str) -> list[str]:
@@ -103,18 +119,18 @@ class Trie:
         if len(word) <= 256:
             if len(self.last) > self.limit:
                 self.clear()
-            node = 0
+            node, children, last = 0, self.child, self.last
             for i, letter in enumerate(word[:-1], 1):
-                child = self.child.get((node, letter))
+                child = children.get((node, letter))
                 if child is None:
-                    child = self.child[node, letter] = len(self.last)
-                    self.last.append(self._last(word, i, states, ""))
+                    child = children[node, letter] = len(last)
+                    last.append(self._last(word, i, states, self.inner))
                 node = child
-                states.append(self.last[node])
+                states.append(last[node])
         else:  # too long to share anything: the same states, without nodes
             for i in range(1, len(word)):
-                states.append(self._last(word, i, states, ""))
-        token, at, out = self._last(word, len(word), states, self.end), len(word), []
+                states.append(self._last(word, i, states, self.inner))
+        token, at, out = self._last(word, len(word), states, self.final), len(word), []
         while True:
             out.append(token)
             at -= len(token.removesuffix(self.end) if at == len(word) and self.end else token)
@@ -152,7 +168,7 @@ class Codec:
         self.letters = byte_letters()
         self.words_re = regex.compile(WORDS)
         self.limit = words
-        self.words = Words(lambda w: self._encoded("".join(self.letters[b] for b in w.encode())))
+        self.words = Words(lambda w: self._encoded(w if w.isascii() and w.isprintable() else "".join(self.letters[b] for b in w.encode())))
         self.mapped = Words(self._encoded)
         self.same, self.odd = set(map(chr, range(128))), set()
         self.unknown = regex.compile(r"[^\x00-\x7f]")
@@ -228,6 +244,13 @@ def encode(docs: DataFrame, path: Callable[[], str] | str, digest: bool = False,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
+        gc.disable()  # nothing here makes cycles, and walking through the memo again and again costs more than the work
+        try:
+            yield from coded_batches(codec, batches)
+        finally:
+            gc.enable()
+
+    def coded_batches(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in slices(batches, 1):
             coded = (codec.encode(t or "") for t in batch.column(1).to_pylist())
