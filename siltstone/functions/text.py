@@ -50,10 +50,17 @@ LANGUAGES = {"py": "python", "pyi": "python", "rs": "rust", "c": "c", "h": "c",
 
 def ident_tokens(c: Column) -> Column:
     """Lower-case terms of identifiers: camel case and snake case split; numbers, single letters and stopwords dropped."""
-    parts = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[A-Z]?[a-z]+|[A-Z]+(?![a-z0-9_])|[0-9]+"), 0)
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    low = F.transform(parts, F.lower)
-    return F.filter(low, lambda t: (F.length(t) > 1) & ~t.rlike("^[0-9]+$") & ~F.array_contains(stop, t))
+    return F.filter(F.transform(ident_parts(c), F.lower), is_term)
+
+
+def ident_parts(c: Column) -> Column:
+    """The parts of identifiers as they are written."""
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[A-Z]?[a-z]+|[A-Z]+(?![a-z0-9_])|[0-9]+"), 0)
+
+
+def is_term(t: Column) -> Column:
+    """Whether a lower-case part is a term: no single letter, number or stopword. On exploded rows this is compiled; in arrays it isn't."""
+    return (F.length(t) > 1) & ~t.rlike("^[0-9]") & ~t.isin(STOPWORDS)
 
 
 def words(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import ident_tokens
+from siltstone.functions.text import ident_parts, ident_tokens, is_term
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
@@ -15,11 +15,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     of doubles depend on their order. Term counts are combined before they are shuffled; frequent terms meet few queries,
     as a query's terms are counted first.
     """
-    terms = docs.select(F.col(id_col).alias("id"), F.explode(ident_tokens(F.col(text_col))).alias("term"))
+    terms = docs.select(F.col(id_col).alias("id"), F.explode(ident_parts(F.col(text_col))).alias("part")).select("id", F.lower("part").alias("term")).filter(is_term(F.col("term")))
     tf = terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     length = tf.groupBy("id").agg(F.sum("tf").alias("dl"))
-    whole = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(ident_tokens(F.col(text_col)))).alias("terms")).first()
-    n, avgdl = whole["n"], (whole["terms"] or 0) / max(1, whole["n"]) or 1.0
+    n, total = docs.count(), terms.count()
+    avgdl = total / max(1, n) or 1.0
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(ident_tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
     df = tf.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
