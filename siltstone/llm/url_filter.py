@@ -12,10 +12,8 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siltstone.llm.common import LOWER, UPPER, table, written
 
@@ -23,6 +21,7 @@ from siltstone.llm.common import LOWER, UPPER, table, written
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 ORDER = 5
 BINS = 400
+SCALE = 1e10
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -71,7 +70,7 @@ def padded(url: str, order: int) -> str:
 
 
 class Ratio:
-    """Log-likelihood difference per character of the allowing and the blocking model."""
+    """Log-likelihood difference per character of the allowing and the blocking model, for counts that fit in memory; ``scores`` gives the same of all counts."""
 
     def __init__(self, rows: list[tuple[str, str, int]], order: int, weight: float = 4.0):
         self.order, self.weight = order, weight
@@ -106,27 +105,57 @@ class Ratio:
         return total / (len(text) - self.order)
 
 
-_ratios: dict[str, Ratio] = {}
+def asked_runs(urls: DataFrame, order: int = ORDER) -> DataFrame:
+    """``row, gram, n``: the runs of ``order + 1`` characters of each URL, which has one for each of its characters and its end; ``urls`` has ``row`` and a non-null ``url``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[int] = []
+        found: list[str] = []
+        times: list[int] = []
 
-def _scored(urls: DataFrame, shared: Broadcast) -> DataFrame:
-    """``urls`` with ``score``; its column ``url`` must not be null."""
-    at = urls.columns.index("url")
-    schema = T.StructType([*urls.schema.fields, T.StructField("score", T.DoubleType())])
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found, pa.string()), pa.array(times, pa.int64())], ["row", "gram", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        if model["key"] not in _ratios:
-            _ratios.clear()
-            _ratios[model["key"]] = Ratio(model["rows"], model["order"])
         for batch in batches:
-            scores = [_ratios[model["key"]].score(u) for u in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
+            for row, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = padded(url, order)
+                held = Counter(text[i - order : i + 1] for i in range(order, len(text)))
+                rows += [row] * len(held)
+                found += held
+                times += held.values()
+                if len(rows) > 100_000:
+                    yield out()
+                    rows.clear(), found.clear(), times.clear()
+        yield out()
+
+    return urls.select("row", "url").mapInArrow(run, "row long, gram string, n long")
+
+
+def ratios(asked: DataFrame, counts: DataFrame, order: int = ORDER, weight: float = 4.0) -> DataFrame:
+    """``gram, ratio``: ``Ratio``'s log-likelihood difference of each distinct run of ``asked``, from all counts, by joins; no count is left out or sent anywhere whole."""
+    labels = ("allow", "block")
+    known = written(counts.groupBy("gram").agg(*[F.sum(F.when(F.col("label") == x, F.col("n")).otherwise(0)).alias(x) for x in labels]), "counts")
+    totals = written(known.groupBy(F.expr("left(gram, length(gram) - 1)").alias("context")).agg(*[F.sum(x).alias(f"{x}_of") for x in labels]), "totals")
+    parts = written(asked.select("gram").distinct(), "asked").select("gram", F.explode(F.sequence(F.lit(0), F.lit(order))).alias("k"))
+    parts = parts.withColumn("part", F.expr("right(gram, k + 1)")).withColumn("context", F.expr("left(part, k)"))
+    parts = parts.join(known.withColumnRenamed("gram", "part"), "part", "left").join(totals, "context", "left")
+    steps = parts.groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("k", *labels, *[f"{x}_of" for x in labels]))).alias("steps"))  # order + 1 of each run
+
+    def p(label: str) -> Column:
+        return F.aggregate("steps", F.lit(1 / 256), lambda p, s: F.when(s[f"{label}_of"] > 0, (F.coalesce(s[label], F.lit(0)) + weight * p) / (s[f"{label}_of"] + weight)).otherwise(p))
+
+    return steps.select("gram", F.log(p("allow") / p("block")).alias("ratio"))
+
 
-    return urls.mapInArrow(run, schema)
+def scores(urls: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """``row, score`` of each URL. The runs' ratios are summed as whole numbers of ``1 / SCALE``, so no order of rows changes a score."""
+    asked = written(asked_runs(urls, order), "runs")
+    ratio = written(ratios(asked, counts, order), "ratios")
+    total = F.sum(F.col("n") * F.round(F.col("ratio") * SCALE).cast("long"))
+    return asked.join(ratio, "gram").groupBy("row").agg((total / F.sum("n") / SCALE).alias("score"))
 
 
-def judge(pages: DataFrame, rules: dict[str, str], order: int = ORDER, max_grams: int = 60_000, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: dict[str, str], order: int = ORDER, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` for every row.
 
     A rule's verdict holds where one fits; elsewhere the models' does. Null urls and such without ``://`` have an empty
@@ -134,28 +163,32 @@ def judge(pages: DataFrame, rules: dict[str, str], order: int = ORDER, max_grams
     rules allow nothing or block nothing, the models have nothing to tell apart, and the rest is allowed. Repeated rows
     are each returned; other columns are not read.
 
-    Counts cover all decided URLs except a fifth (by CRC-32) kept for calibration. The models keep the ``max_grams``
-    most frequent runs, so what is broadcast is bounded whatever the number of URLs; a context that is left out backs
-    off to a shorter one. The threshold is the one that errs least on average over both labels, from a histogram.
+    Counts cover all decided URLs except a fifth (by CRC-32) kept for calibration; if a label has URLs in that fifth
+    only, all are counted and none calibrate. Every count takes part in the scores: URLs are cut into runs, whose ratios
+    come from joins with the counts. The threshold is the one that errs least on average over both labels, from a
+    histogram.
     """
-    spark = pages.sparkSession
     url = F.coalesce(F.col(url_col), F.lit(""))
     host, path = host_and_path(url)
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url")).withColumns({"host": host, "path": path})
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.create_map(*[F.lit(x) for item in rules.items() for x in item])[F.col("rule")] if rules else F.lit(None).cast("string")
-    decided = rows.filter("rule IS NOT NULL").select("url", verdict.alias("label"))
+    rows = rows.withColumn("label", verdict)
+    decided = rows.filter("rule IS NOT NULL").select("url", "label")
     kept = F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(5)) == 0
+    tally = decided.groupBy("label").agg(F.sum(F.when(kept, 0).otherwise(1)).alias("counted")).collect()
+    if len(tally) < 2:
+        return rows.select("page_id", "host", "path", "rule", F.coalesce("label", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
+    if not all(r["counted"] for r in tally):
+        kept = F.lit(False)
     counts = written(grams(decided.filter(~kept), order), "grams")
-    top = counts.orderBy(F.desc("n"), "gram", "label").limit(max_grams).collect()
-    out = rows.select("page_id", "host", "path", "rule", "url", verdict.alias("verdict"))
-    if len({r["label"] for r in top}) < 2:
-        return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    shared = spark.sparkContext.broadcast({"key": str(hash(tuple((r["label"], r["gram"], r["n"]) for r in top))), "order": order, "rows": [(r["label"], r["gram"], r["n"]) for r in top]})
-    bins = _scored(decided.filter(kept), shared).select("label", F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.floor(F.col("score") * 100))).alias("bin"))
+    # the number of a row is fixed by writing it
+    asked = written(rows.filter(F.col("rule").isNull() | kept).withColumn("row", F.monotonically_increasing_id()), "urls")
+    scored = written(scores(asked, counts, order), "scores")
+    bins = asked.filter("rule IS NOT NULL").join(scored, "row").select("label", F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.floor(F.col("score") * 100))).alias("bin"))
     cut = threshold([(r["label"], r["bin"], r["n"]) for r in bins.groupBy("label", "bin").agg(F.count(F.lit(1)).alias("n")).collect()])
-    named = out.filter("rule IS NOT NULL").select("page_id", "host", "path", "rule", "verdict", F.lit(None).cast("double").alias("score"))
-    rest = _scored(out.filter("rule IS NULL").select("page_id", "host", "path", "rule", "url"), shared)
+    named = rows.filter("rule IS NOT NULL").select("page_id", "host", "path", "rule", F.col("label").alias("verdict"), F.lit(None).cast("double").alias("score"))
+    rest = asked.filter("rule IS NULL").join(scored, "row")
     rest = rest.select("page_id", "host", "path", "rule", F.when(F.col("score") >= cut, "allow").otherwise("block").alias("verdict"), "score")
     return named.unionByName(rest)
 

@@ -1,5 +1,6 @@
 import hashlib
 import os
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,32 @@ def test_ratio_is_the_smoothed_likelihood():
     assert r._p("block", "ab") == r._p("block", "b")  # an unseen context backs off
 
 
+def test_every_run_counts(spark):
+    import random
+
+    rng = random.Random(3)
+    name = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    good = [f"http://{name(12)}.good.org/{name(25)}" for _ in range(1200)]
+    bad = [f"http://q{i}.bad.biz/zzyy" for i in range(3)]
+    rest = ["http://other.net/zzyy", good[7].replace("good", "fine"), ""]
+    df = spark.createDataFrame(list(enumerate(good + bad + rest)), "page_id long, url string")
+    got = {r.page_id: r for r in U.judge(df, {"good.org/": "allow", "bad.biz/": "block"}).collect()}
+    assert len(got) == df.count()
+    counted = [(u, "allow" if u in good else "block") for u in good + bad if zlib.crc32(u.encode()) % 5]
+    counts = [tuple(r) for r in U.grams(spark.createDataFrame(counted, "url string, label string")).collect()]
+    assert len(counts) > 60_000
+    model = U.Ratio(counts, U.ORDER)
+    for i, u in enumerate(rest, len(good) + len(bad)):
+        assert abs(got[i].score - model.score(u)) < 1e-8, u
+
+
+def test_a_label_only_among_the_kept_is_counted(spark):
+    kept = next(u for i in range(99) if zlib.crc32((u := f"http://bad.biz/{i}").encode()) % 5 == 0)
+    df = spark.createDataFrame([(1, "http://good.org/news"), (2, kept), (3, "http://bad.com/7"), (4, "http://god.org/news")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in U.judge(df, {"good.org/": "allow", "bad.biz/": "block"}).collect()}
+    assert got == {1: "allow", 2: "block", 3: "block", 4: "allow"}
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [
