@@ -158,17 +158,19 @@ def candidates(reps: DataFrame, similarity: float = 0.8, recall: float = 0.999,
     compared; agreement may lie ``slack`` standard deviations under the threshold. A larger bucket is split again. What
     can't be split, as a share of at least ``dense`` of a bucket stays together or it is the last level, is one family: all
     its documents are connected to its smallest, and the exact comparison that follows tells them apart, so none is
-    dropped. Buckets with the same members as another are compared once.
+    dropped. Runs are as many as ``recall`` takes if all buckets are split ``depth`` times. Of buckets with the same
+    members, one is compared or connected; all of those to be split are, as each is another chance to meet.
     """
     least = math.ceil(TOKENS * (similarity - slack * math.sqrt(similarity * (1 - similarity) / TOKENS)))
-    runs = runs_for(recall, similarity, 2)
+    runs = runs_for(recall, similarity, depth)
     sketches = reps.select("doc_id", "sketch")
     level = sketches.withColumns({"key": F.lit(None).cast("long"), "size": F.lit(None).cast("long")})
     out: DataFrame | None = None
     for at in range(1, depth + 1):
         rows = written(level.select("doc_id", "sketch", "key", "size").mapInArrow(_split(runs, similarity), "doc_id long, key long, within long"), "paths")
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("within").alias("within"), F.min("doc_id").alias("hub"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("members")).filter("size > 1")
-        sizes = written(sizes.groupBy("size", "members", "hub").agg(F.min("key").alias("key"), F.min("within").alias("within")), "buckets")
+        every = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("within").alias("within"), F.min("doc_id").alias("hub"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("members")).filter("size > 1")
+        every = written(every, "every")
+        sizes = written(every.groupBy("size", "members", "hub").agg(F.min("key").alias("key"), F.min("within").alias("within")), "buckets")
         over = F.col("size") > limit
         family = over & (F.coalesce(F.col("size") >= dense * F.col("within"), F.lit(False)) | F.lit(at == depth))
         small = rows.join(sizes.filter(~over).select("key"), "key").join(sketches, "doc_id").select("key", "doc_id", "sketch")
@@ -177,7 +179,8 @@ def candidates(reps: DataFrame, similarity: float = 0.8, recall: float = 0.999,
         out = edges.unionByName(stars) if out is None else out.unionByName(edges).unionByName(stars)
         if at == depth:
             break
-        level = written(rows.join(sizes.filter(over & ~family).select("key", "size"), "key").join(sketches, "doc_id").select("doc_id", "sketch", "key", "size"), "split")
+        again = every.filter(over).join(sizes.filter(over & ~family).select("size", "members", "hub"), ["size", "members", "hub"]).select("key", "size")
+        level = written(rows.join(again, "key").join(sketches, "doc_id").select("doc_id", "sketch", "key", "size"), "split")
         if level.limit(1).count() == 0:
             break
     return out

@@ -110,3 +110,29 @@ def test_shingles_of_segments_and_parts(monkeypatch):
 def test_recall_of_runs():
     assert J.runs_for(0.999, 0.8, 2) >= J.runs_for(0.99, 0.8, 2) > 1
     assert 0 < J.chance(0.8, 0.8, 3) < J.chance(0.8, 0.8, 1) < J.chance(0.8, 1.0, 1) < 1
+
+
+def test_recall_holds_however_deep_buckets_are_split(spark, monkeypatch):
+    asked, split = [], J._split
+    monkeypatch.setattr(J, "_split", lambda runs, similarity: asked.append(runs) or split(runs, similarity))
+    reps = J.fingerprints(spark.createDataFrame([(i, f"a b c d e f {i}") for i in range(4)], "doc_id long, text string")).select("doc_id", "sketch")
+    for depth in (2, 6):
+        asked.clear()
+        J.candidates(reps, depth=depth)
+        assert 1 - (1 - J.chance(0.8, 0.8, depth)) ** asked[0] >= 0.999
+
+
+def test_equal_buckets_are_split_in_every_run(spark, monkeypatch):
+    levels, plain = [], J.written
+
+    def noted(df, name):
+        out = plain(df, name)
+        if name == "split":
+            levels.append(out)
+        return out
+
+    monkeypatch.setattr(J, "written", noted)
+    tokens = bytes(range(256))
+    sketch = [(i, tokens) for i in range(12)]  # all alike: the same documents in every bucket
+    J.candidates(spark.createDataFrame(sketch, "doc_id long, sketch binary"), limit=8, dense=1.1, depth=2)
+    assert levels[0].select("key").distinct().count() > J.runs_for(0.999, 0.8, 2) / 2
