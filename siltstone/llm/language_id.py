@@ -17,17 +17,17 @@ from pyspark.sql import types as T
 from siltstone.llm.common import slices, table
 from siltstone.llm.quality_cnn import crc
 
-#: Letters of the automata's alphabet: 0 is anything that isn't a letter, 1 a letter that no language has, PAD no letter at all.
-WIDTH, PAD = 64, 63
-BREAK = 1 << 30
+#: Codes of the alphabet: 0 is anything that isn't a letter, 1 a letter that no language has; each letter of the training texts has its own from 2.
+#: Cells of a table that is held whole, 64 MB; a larger one (many letters) is held as its matches.
+DENSE = 1 << 24
 LANE = 256
 
 
 def alphabet(texts: dict[str, str]) -> np.ndarray:
-    """Code point to letter, lower-cased: the most frequent letters of the training texts have their own."""
-    seen = Counter(c for t in texts.values() for c in t.lower() if c.isalpha())
-    own = {c: i for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: PAD - 2], 2)}
-    out = np.zeros(0x110000, np.uint8)
+    """Code point to letter, lower-cased: each letter of the training texts has its own."""
+    seen = {x for t in texts.values() for c in t if c.isalpha() for x in c.lower()[:1]}
+    own = {c: i for i, c in enumerate(sorted(seen), 2)}
+    out = np.zeros(0x110000, np.int32)
     for code in range(0x110000):
         c = chr(code)
         if c.isalpha():
@@ -41,10 +41,43 @@ def letters(text: str, codes: np.ndarray) -> np.ndarray:
     return out[(out != 0) | np.concatenate(([True], out[:-1] != 0))] if len(out) else out
 
 
-def automaton(text: np.ndarray) -> np.ndarray:
-    """The suffix automaton of a text as a table: next state times WIDTH; where there is no match, the state after the letter alone, with BREAK set.
+class Matches:
+    """The table of ``automaton`` as its matches alone: the cells' places, ascending, and what is there; ``root`` is what a letter gives where there is no match."""
 
-    The last state is that after a letter the text doesn't have, which is a phrase by itself.
+    bits = 62
+
+    def __init__(self, places: np.ndarray, values: np.ndarray, root: np.ndarray):
+        order = np.argsort(places)
+        self.places, self.values, self.root = np.append(places[order], 1 << 62), np.append(values[order], 0), root
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        width = len(self.root)
+        letter = at % width
+        i = np.searchsorted(self.places, at)
+        value = np.where(at < width, self.root[letter] & ~(1 << self.bits), self.root[letter])
+        value = np.where(self.places[i] == at, self.values[i], value)
+        return np.where(letter == width - 1, at - letter, value)
+
+
+class Table:
+    """The table of ``automaton``, whole."""
+
+    bits = 30
+
+    def __init__(self, matches: Matches, states: int):
+        width = len(matches.root)
+        root = (matches.root & ~(1 << matches.bits) | 1 << self.bits).astype(np.int32)
+        out = np.tile(root, states)
+        out[:width] = root & ~(1 << self.bits)  # the start: nothing to break off
+        out[matches.places[:-1]] = matches.values[:-1]
+        out[width - 1 :: width] = np.arange(states) * width
+        self.take = out.take
+
+
+def automaton(text: np.ndarray, width: int) -> Table | Matches:
+    """The suffix automaton of a text as a table with ``width`` columns, one for each code below ``width - 1``: next state times ``width``; where there is no match, the state after the letter alone, with bit ``bits`` set.
+
+    The last state is that after a letter the text doesn't have, which is a phrase by itself. The last column is no letter at all.
     """
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -72,15 +105,12 @@ def automaton(text: np.ndarray) -> np.ndarray:
                 link[q] = link[new] = copy
         last = new
     unknown = len(step)
-    out = np.full((unknown + 1, WIDTH), unknown * WIDTH | BREAK, np.int32)
+    root = np.full(width, unknown * width | 1 << Matches.bits, np.int64)
     for c, to in step[0].items():
-        out[:, c] = to * WIDTH | BREAK
-    out[0] = unknown * WIDTH  # the start: nothing to break off
-    rows = np.repeat(np.arange(len(step)), [len(s) for s in step])
-    cols = np.array([c for s in step for c in s], np.int64)
-    out[rows, cols] = np.array([t for s in step for t in s.values()], np.int64) * WIDTH
-    out[:, PAD] = np.arange(unknown + 1) * WIDTH
-    return out.ravel()
+        root[c] = to * width | 1 << Matches.bits
+    places = np.array([i * width + c for i, s in enumerate(step) for c in s], np.int64)
+    found = Matches(places, np.array([t for s in step for t in s.values()], np.int64) * width, root)
+    return Table(found, unknown + 1) if (unknown + 1) * width <= DENSE else found
 
 
 class Languages:
@@ -89,27 +119,37 @@ class Languages:
     def __init__(self, texts: dict[str, str]):
         self.names = sorted(texts)
         self.codes = alphabet(texts)
-        self.tables = [automaton(letters(texts[n], self.codes)) for n in self.names]
+        self.own, self.tables = [], []
+        for n in self.names:  # a language's table has columns for its own letters only; all others are the letter 1 to it
+            text = letters(texts[n], self.codes)
+            has = np.unique(text[text > 1])
+            own = np.ones(int(self.codes.max()) + 2, np.int32)
+            own[0] = 0
+            own[has] = np.arange(2, len(has) + 2)
+            own[-1] = len(has) + 2
+            self.own.append(own)
+            self.tables.append(automaton(own[text], len(has) + 3))
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``(phrases, letters)``: a row per text, a column per language; the text is parsed in lanes of LANE letters, side by side."""
         coded = [letters(t, self.codes) for t in texts]
         size = np.array([len(x) for x in coded], np.int64)
         lanes = -(-size // LANE)
-        board = np.full((int(lanes.sum()), LANE), PAD, np.uint8)
+        board = np.full((int(lanes.sum()), LANE), int(self.codes.max()) + 1, np.int32)
         at = 0
         for x, n in zip(coded, lanes.tolist(), strict=True):
             board[at : at + n].reshape(-1)[: len(x)] = x
             at += n
-        steps = np.ascontiguousarray(board.T).astype(np.int32)
+        steps = np.ascontiguousarray(board.T)
         owner = np.repeat(np.arange(len(texts)), lanes)
         out = np.zeros((len(texts), len(self.names)))
         for k, table_ in enumerate(self.tables):
-            state, breaks = np.zeros(len(board), np.int32), np.ones(len(board), np.int32)
+            state, breaks = np.zeros(len(board), np.int32 if table_.bits == 30 else np.int64), np.ones(len(board), np.int32)
+            own = self.own[k]
             for row in steps:
-                value = table_.take(state + row)
-                breaks += value >> 30
-                state = value & (BREAK - 1)
+                value = table_.take(state + own.take(row))
+                breaks += (value >> table_.bits).astype(np.int32)
+                state = value & ((1 << table_.bits) - 1)
             out[:, k] = np.bincount(owner, breaks, len(texts))
         alpha = np.array([bool((x > 0).any()) for x in coded])
         return out, np.where(alpha, size, 0)

@@ -41,6 +41,25 @@ def test_lanes_only_cut_phrases():
     assert got[0, 0] < got[0, 1]
 
 
+def test_every_letter_of_the_training_texts_counts():
+    many = "".join(chr(0x4E00 + i) for i in range(80))
+    langs = L.Languages({"zh": many * 60, "el": "η γάτα και ο σκύλος " * 3, "ru": "кошка и собака дома " * 3})
+    names, _ = langs.predict(["η γάτα", "и собака", "ο σκύλος", "кошка"])
+    assert names == ["el", "ru", "el", "ru"]
+    assert len({int(langs.codes[ord(c)]) for c in many + "ηγκш"}) == len(many) + 4
+
+
+def test_wide_tables_are_held_as_matches(monkeypatch):
+    train = {"a": "the cat sat on the mat " * 9, "zh": "".join(chr(0x4E00 + i * i % 900) for i in range(700))}
+    texts = ["the cat on a mat", train["zh"][30:400], "x", "", "η" + train["zh"][5:9] + " the"]
+    whole = L.Languages(train).phrases(texts)
+    monkeypatch.setattr(L, "DENSE", 0)
+    narrow = L.Languages(train)
+    assert all(isinstance(t, L.Matches) for t in narrow.tables)
+    for x, y in zip(whole, narrow.phrases(texts), strict=True):
+        assert np.array_equal(x, y)
+
+
 def test_languages_of_documents(spark):
     sf = "/root/testdata/sf0.01"
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
