@@ -19,7 +19,7 @@ _built: dict[str, ahocorasick.Automaton | None] = {}
 
 
 def windows(items: DataFrame, size: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``gram, n, item``: all windows of ``size`` consecutive words of each item, or all its words if fewer; no row for an item without words or id."""
+    """``gram, n, item``: all windows of ``size`` consecutive words of each item, or all its words if fewer; no row for an item without words. An item without an id has its windows, with a null as item."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -31,7 +31,7 @@ def windows(items: DataFrame, size: int = 10, id_col: str = "item_id", text_col:
                 out += [(g.decode(), k, item) for g in sorted(grams)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.string())], ["gram", "n", "item"])
 
-    return items.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).mapInArrow(cut, "gram string, n int, item string")
+    return items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).mapInArrow(cut, "gram string, n int, item string")
 
 
 def _automaton(shared: Broadcast) -> ahocorasick.Automaton | None:
@@ -63,7 +63,7 @@ def _hits(machine: ahocorasick.Automaton | None, words: list[bytes]) -> tuple[li
             gaps = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
         first = int(np.searchsorted(gaps, end - length + 1))
         spans.append([first, first + n])
-        items.update(of)
+        items.update(x for x in of if x is not None)
     return merge(spans), items
 
 
@@ -91,7 +91,8 @@ def scan(docs: DataFrame, items: DataFrame, size: int = 10, block_bytes: int = 1
     """Finds every occurrence of an item's window in every document.
 
     Returns one row per row of ``docs``: ``doc_id, n_words, n_hit, items array<string>, spans array<struct<start,end>>``;
-    spans are merged character offsets in the original text, items are sorted as strings. A null or empty text has no
+    spans are merged character offsets in the original text, items are sorted as strings; an item without an id is hit,
+    but not listed. A null or empty text has no
     words. Without items, or with items that have no words, nothing is hit. Repeated rows are each returned.
 
     The automaton is sent to all executors in blocks of about ``block_bytes``: a larger benchmark is split by window

@@ -73,6 +73,15 @@ def test_scan_against_brute_force(spark):
     assert L.scan(docs.limit(0), items).count() == 0
 
 
+def test_items_without_an_id_are_hit(spark):
+    docs = spark.createDataFrame([(1, "some Lost, words and a short item"), (2, "other words")], "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for block in (128 << 20, 9000):
+        got = {r.doc_id: (r.n_hit, r["items"]) for r in L.scan(docs, items, block_bytes=block).collect()}
+        assert got == {1: (4, ["2", "5"]), 2: (0, [])}
+        assert [r.doc_id for r in L.keep_clean(docs, items.filter("item_id IS NULL"), block_bytes=block).collect()] == [2]
+
+
 def test_query_hashes(spark):
     r = L.query(spark, "/root/testdata/sf0.001").filter("n_hit = 0").first()
     assert (r.contaminated, r.items_sha256) == (False, hashlib.sha256(b"").hexdigest())
