@@ -38,6 +38,8 @@ NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side|aside|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|foot|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|comments?|commentlist|respond|replies|disqus|related|recommended|widget|toolbar|pagination|pager|skip|copyright|legal|hidden)(?:$|[\s_-])",
     re.I,
 )
+#: Names that say so inside an article or main element too, where the others may name parts of the text.
+NAMES_INSIDE = re.compile(r"(?:^|[\s_-])(?:ads|adsense|advert\w*|sidebar|nav|navbar|navigation|breadcrumbs?|footer|newsletter|comments?|commentlist|disqus|pagination|pager)(?:$|[\s_-])", re.I)
 TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
 ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/>"']+)""")
 
@@ -105,19 +107,19 @@ def _close(stack: list[Node], names: set[str]) -> None:
 
 
 @lru_cache(20_000)
-def _named_apart(attrs: str) -> bool:
+def _named_apart(attrs: str, inside: bool) -> bool:
     got = Node("", attrs).get()
-    return "hidden" in got or got.get("aria-hidden") == "true" or got.get("role", "").lower() in ROLES or bool(NAMES.search(got.get("class", "") + " " + got.get("id", "")) or "display:none" in got.get("style", "").replace(" ", ""))
+    return "hidden" in got or got.get("aria-hidden") == "true" or got.get("role", "").lower() in ROLES or bool((NAMES_INSIDE if inside else NAMES).search(got.get("class", "") + " " + got.get("id", "")) or "display:none" in got.get("style", "").replace(" ", ""))
 
 
 def pruned(node: Node, inside: bool = False) -> Node:
-    """A copy without the parts that say they aren't content. A header counts as one only outside of an article."""
+    """A copy without the parts that say they aren't content. Inside an article or main element a header is none, and names that may be those of its text's parts aren't heeded: that is left to the template."""
     out = Node(node.name, node.attrs)
     inside = inside or node.name in ("article", "main")
     for c in node.children:
         if isinstance(c, str):
             out.children.append(c)
-        elif c.name in DROPPED or (c.name == "header" and not inside) or (c.attrs and c.name not in ("html", "body") and _named_apart(c.attrs)):
+        elif c.name in DROPPED or (c.name == "header" and not inside) or (c.attrs and c.name not in ("html", "body") and _named_apart(c.attrs, inside or c.name in ("article", "main"))):
             out.children.append(" ")
         else:
             out.children.append(pruned(c, inside))
@@ -125,7 +127,7 @@ def pruned(node: Node, inside: bool = False) -> Node:
 
 
 def content_root(tree: Node) -> Node:
-    """The article with the most text, else the main element, else all. Articles in an article are its parts."""
+    """The article or main element, several side by side in page order, else all. Articles in an article are its parts."""
     found: list[Node] = []
 
     def walk(node: Node) -> None:
@@ -137,7 +139,11 @@ def content_root(tree: Node) -> Node:
                     walk(c)
 
     walk(tree)
-    return max(found, key=lambda x: len(raw_text(x)), default=tree)
+    if len(found) < 2:
+        return found[0] if found else tree
+    root = Node("#parts")
+    root.children = found
+    return root
 
 
 def raw_text(node: Node) -> str:

@@ -148,6 +148,19 @@ def test_text_of_single_pages(html, text):
     assert H.main_text(html, []) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<div class=header>site</div><article><header class='entry-header'><h1>T</h1></header><p>one</article>", "T one"),
+        ("<main><div class='article-header'>T</div><p class='legal'>law<p class='notice'>note<div class='related social'>kin</div></main>", "T law note kin"),
+        ("<article class='promo alert'>a<div class='comments'>no</div></article>", "a"),
+        ("<p>out<article>first</article><div><article>second, and longer</article></div><main>third</main>", "first second, and longer third"),
+    ],
+)
+def test_articles_are_whole(html, text):
+    assert H.main_text(html, []) == text
+
+
 def test_simple_tree_matching():
     leaf = lambda name, digest="": [name, digest, []]
     a = ["r", "1", [leaf("a"), leaf("b"), leaf("c")]]
