@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.sources.scratch import scratch, shared_dir, written
 
-__all__ = ["FOLD", "LOWER", "UPPER", "ascii_lower", "blobs", "scratch", "shared_dir", "slices", "splitmix", "table", "written"]
+__all__ = ["FOLD", "LOWER", "UPPER", "Characters", "ascii_lower", "blobs", "kept", "lean", "scratch", "shared_dir", "slices", "splitmix", "table", "written"]
 
 #: A-Z and a-z, for lower-casing of ASCII letters only.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,6 +54,74 @@ def blobs(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+_kept: dict[Hashable, object] = {}
+
+
+def kept(key: Hashable, make: Callable[[], object]) -> object:
+    """A worker's one model, made by the first task that asks for ``key``. Another key takes its place, so a worker that serves many operators holds no more than the largest of their models."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, giving what it has freed back to the machine when its task ends: workers are used again, and wait with what they hold."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return whole
+
+
+def _release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+class Characters:
+    """Which characters a library treats as our own pattern does, learned as they come; ASCII is taken to be alike.
+
+    ``alike`` says of a string of characters whether all of them are treated alike; it is asked about 64 at a time, and
+    halves of those if they aren't. What ``never`` finds isn't, without asking.
+    """
+
+    def __init__(self, alike: Callable[[str], bool], never: regex.Pattern | None = None):
+        self.alike, self.never = alike, never
+        self.kind = np.zeros(0x110000, np.uint8)  # 0 not met, 1 alike, 2 not
+        self.kind[:128] = 1
+
+    def all_alike(self, text: str) -> bool:
+        if text.isascii():
+            return True
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = self.kind[codes]
+        new = np.unique(codes[kinds == 0])
+        if len(new):
+            self._learn("".join(map(chr, new.tolist())))
+            kinds = self.kind[codes]
+        return not (kinds == 2).any()
+
+    def _learn(self, new: str) -> None:
+        if self.never is not None:
+            self.kind[[ord(c) for c in self.never.findall(new)]] = 2
+            new = self.never.sub("", new)
+        waiting = [new[i : i + 64] for i in range(0, len(new), 64)]
+        while waiting:
+            some = waiting.pop()
+            fine = self.alike(some)
+            if fine or len(some) == 1:
+                self.kind[[ord(c) for c in some]] = 1 if fine else 2
+            else:
+                waiting += [some[: len(some) // 2], some[len(some) // 2 :]]
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: mixes all bits of each value."""
     x = x ^ (x >> np.uint64(30))

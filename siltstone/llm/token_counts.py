@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from siltstone.llm.common import slices, table
+from siltstone.llm.common import Characters, kept, lean, slices, table
 
 # How byte-level BPE vocabularies of this kind cut a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Counts(dict):
-    """Tokens of a piece, from the library, once for each distinct piece; emptied when it holds too many characters."""
+    """Tokens of a piece, from the library, once for each distinct piece; emptied when it takes about ``LIMIT`` bytes."""
 
-    LIMIT = 8 << 20
+    LIMIT = 32 << 20
 
     def __init__(self, tok: Tokenizer):
         super().__init__()
@@ -29,15 +29,18 @@ class Counts(dict):
 
     def __missing__(self, piece: str) -> int:
         n = len(self.tok.encode(piece, add_special_tokens=False))
-        self.held += len(piece) + 60
         if len(piece) < 200:
+            self.held += 4 * len(piece) + 160
             self[piece] = n
         return n
 
     def trim(self) -> None:
-        if self.held > 10 * self.LIMIT:
+        if self.held > self.LIMIT:
             self.clear()
-            self.held = 0
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
 
 
 class ChunkCounter:
@@ -60,31 +63,17 @@ class ChunkCounter:
         self.special_re = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.margin = max(map(len, self.special), default=1)
         self.pieces = regex.compile(PIECES)
-        self.kinds = (regex.compile(r"\s"), regex.compile(r"\p{L}"), regex.compile(r"\p{N}"))
         self.counts = Counts(self.tok)
-        self.same: set[str] = set(map(chr, range(128)))
-        self.odd: set[str] = set()
-        self.unknown = regex.compile(r"[^\x00-\x7f]")
-
-    def _as_library(self, text: str) -> bool:
-        """True if the library puts every character of the text into the class that our pattern puts it into; learned a character at a time."""
-        if self.odd and not self.odd.isdisjoint(text):
-            return False
-        while m := self.unknown.search(text):
-            c = m[0]
-            ours = next((i for i, k in enumerate(self.kinds) if k.match(c)), 3)
-            cut = lambda s: [x[1] for x in self.tok.pre_tokenizer.pre_tokenize_str(s)]
-            theirs = 1 if len(cut("a" + c)) == 1 else 2 if len(cut("1" + c)) == 1 else 3 if len(cut("," + c)) == 1 else 0
-            if ours != theirs:
-                self.odd.add(c)
-                return False
-            self.same.add(c)
-            self.unknown = regex.compile("[^" + "".join(map(regex.escape, sorted(self.same))) + "]")
-        return True
+        self.characters = Characters(self._alike)
+
+    def _alike(self, some: str) -> bool:
+        """True if the library puts every one of these characters into the class that our pattern puts it into: behind a letter, a digit and a sign each joins what is of its class, and a blank joins none."""
+        text = "".join(f"a{c} ~ 1{c} ~ ,{c} ~ " for c in some)
+        return [len(x[0]) for x in self.tok.pre_tokenizer.pre_tokenize_str(text)] == [len(x.encode()) for x in self.pieces.findall(text)]
 
     def pieces_of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ends of the pieces, and tokens up to each end."""
-        if not self._as_library(text):
+        if not self.characters.all_alike(text):
             e = self.tok.encode(text, add_special_tokens=False)
             word, off = e.word_ids, e.offsets
             last = [i for i in range(len(off)) if i + 1 == len(off) or word[i] != word[i + 1] or word[i] is None]
@@ -108,7 +97,7 @@ class ChunkCounter:
             yield text[at:], False
 
     def _short(self, text: str) -> int:
-        if not self._as_library(text):
+        if not self.characters.all_alike(text):
             return len(self.tok.encode(text, add_special_tokens=False))
         if any(s in text for s in self.special):
             return sum(1 if special else sum(map(self.counts.__getitem__, self.pieces.findall(part))) for part, special in self._parts(text))
@@ -154,24 +143,23 @@ class ChunkCounter:
         return int(upto[i - 1]) if i else 0
 
 
-_counters: dict[tuple, ChunkCounter] = {}
-
-
 def count_tokens(docs: DataFrame, path: Callable[[], str] | str, chunk: int = 32768, overlap: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens`` for every row; a null text counts as empty and has no tokens. Repeated rows are each returned.
 
     ``path`` is the tokenizer's file, or a function that gives it where it is called, on an executor. A Python worker
-    keeps one tokenizer and its memo of pieces, which is emptied when large.
+    keeps one tokenizer; a task's memo of pieces is bounded in bytes and emptied at its end.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = path() if callable(path) else path
-        if (where, chunk, overlap) not in _counters:
-            _counters[where, chunk, overlap] = ChunkCounter(where, chunk, overlap)
-        counter = _counters[where, chunk, overlap]
-        for batch in slices(batches, 1):
-            n = [counter.count(t) if t else 0 for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        counter = kept(("counter", where, chunk, overlap), lambda: ChunkCounter(where, chunk, overlap))
+        try:
+            for batch in slices(batches, 1):
+                n = [counter.count(t) if t else 0 for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        finally:
+            counter.counts.clear()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"))
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])

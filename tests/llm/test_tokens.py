@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import public_tokenizers as P
 import pytest
@@ -46,6 +47,44 @@ def test_odd_texts(small, library, codec, word_library):
         assert codec.ids(t) == word_library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_many_distinct_characters(library, codec, word_library):
+    text = "".join(map(chr, range(0x4E00, 0x4E00 + 20_000)))
+    counter = token_counts.ChunkCounter(P.path("byte_bpe_50k.json"))
+    began = time.process_time()
+    assert counter.characters.all_alike(text) and codec.characters.all_alike(text)
+    assert time.process_time() - began < 4  # one pass; about a second on a quiet machine
+    assert counter.count(text) == len(library.encode(text, add_special_tokens=False))
+    assert codec.ids(text) == word_library.encode(text, add_special_tokens=False).ids
+
+
+def test_characters_that_differ_go_to_the_library(library, codec, word_library):
+    signs = [chr(c) for c in range(0x80, 0x3400) if not 0xD800 <= c < 0xE000]
+    text = " ".join("".join(signs[i : i + 3]) for i in range(0, len(signs), 3))
+    counter = token_counts.ChunkCounter(P.path("byte_bpe_50k.json"))
+    assert counter.count(text) == len(library.encode(text, add_special_tokens=False))
+    assert codec.ids(text) == word_library.encode(text, add_special_tokens=False).ids
+
+
+def test_one_trie_for_all_texts_of_a_batch(codec, word_library):
+    texts = ["the then there", "", "thereof then " + "x" * 300, "<|endoftext|> there", "éé there"]
+    ids = [word_library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert list(codec.encode(texts)) == ids
+    assert [codec.decode(i) for i in ids] == [word_library.decode(i, skip_special_tokens=False) for i in ids]
+
+
+def test_long_texts_in_segments(spark, word_library):
+    text = ("lorem <|endoftext|>ipsum\n" * 40 + "y" * 500 + " ") * 90
+    assert "".join(bpe_codec.segments(text, 100)) == text
+    assert [i for part in bpe_codec.segments(text, 100) for i in word_library.encode(part, add_special_tokens=False).ids] == word_library.encode(text, add_special_tokens=False).ids
+    docs = spark.createDataFrame([(1, text * 15), (2, "b"), (3, text)], "doc_id long, text string")  # over a million characters
+    got = {r.doc_id: r for r in bpe_codec.encode(docs, P.path("word_bpe_49k.json"), digest=True).collect()}
+    for k, t in ((1, text * 15), (2, "b"), (3, text)):
+        ids = word_library.encode(t, add_special_tokens=False).ids
+        assert got[k].n_tokens == len(ids)
+        assert got[k].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got[k].decoded_sha256 == hashlib.sha256(word_library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_overlaps_widen(small):
     n, places, widened = small._spliced("ab " * 10 + "x" * 200 + " cd" * 20)
     assert widened >= 1 and places
