@@ -8,86 +8,198 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from siltstone.llm.common import ascii_lower, scratch, written
+from siltstone.llm.common import ascii_lower, scratch, table, written
+
+COLUMNS = ("digest", "keep_id", "copies", "repeats", "batch")
 
 
 class DigestIndex:
-    """``digest binary, keep_id long, copies long, repeats long``, bucketed and sorted by digest.
+    """``digest binary, keep_id, copies long, repeats long, batch string``, bucketed and sorted by digest.
 
     ``keep_id`` is the document that stands for the text, ``copies`` the rows that had the text when it was first
-    appended, ``repeats`` how many of those rows carried ``keep_id`` itself. The bucket count is fixed when the index
-    is created: the session's shuffle partitions unless given.
+    appended, ``repeats`` how many of those rows carried ``keep_id`` itself, ``batch`` the batch that brought it. What
+    holds for the whole index, the number of buckets and the type of the ids, is written beside it when it is created
+    (buckets: the session's shuffle partitions unless given) and read when it is opened; a number or a type that
+    differs is refused. After ``merge_after`` appends the files of each bucket are merged into one sorted file.
+
+    Used with ``with``, or closed by ``close``, it leaves no table in the session's catalog; the files stay.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
-        self.spark, self.path = spark, path or scratch(spark, "digests")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, id_type: T.DataType | None = None, merge_after: int = 8):
+        self.spark, self.path, self.merge_after = spark, path or scratch(spark, "digests"), merge_after
+        kind = id_type.simpleString() if id_type is not None else None
+        try:
+            state = self._states().orderBy(F.desc("version")).first()
+        except AnalysisException:  # nothing there: a new index
+            state = None
+        if state is None:
+            state = T.Row(version=0, buckets=buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), id_type=kind or "bigint", appends=0, folder="data-0")
+            self._put(state)
+        if buckets not in (None, state["buckets"]):
+            raise ValueError(f"the index at {self.path} has {state['buckets']} buckets, not {buckets}")
+        if kind not in (None, state["id_type"]):
+            raise ValueError(f"the index at {self.path} has ids of type {state['id_type']}, not {kind}")
+        self.state, self.name = state, None
+        self._open()
+
+    def __enter__(self) -> DigestIndex:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def _states(self) -> DataFrame:
+        return self.spark.read.schema("version long, buckets int, id_type string, appends int, folder string").parquet(f"{self.path}/states")
+
+    def _put(self, state: T.Row) -> None:
+        self.spark.createDataFrame([tuple(state)], "version long, buckets int, id_type string, appends int, folder string").coalesce(1).write.mode("append").parquet(f"{self.path}/states")
+
+    def _open(self) -> None:
+        if self.name:
+            self.close()
         self.name = f"siltstone_digests_{uuid.uuid4().hex}"
-        spark.sql(
-            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, copies BIGINT, repeats BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
+        self.spark.sql(
+            f"CREATE TABLE {self.name} (digest BINARY, keep_id {self.state['id_type']}, copies BIGINT, repeats BIGINT, batch STRING) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.state['buckets']} BUCKETS LOCATION '{self.path}/{self.state['folder']}'"
         )
 
+    @property
+    def buckets(self) -> int:
+        return self.state["buckets"]
+
     def table(self) -> DataFrame:
         self.spark.catalog.refreshTable(self.name)
         return self.spark.table(self.name)
 
     def append(self, rows: DataFrame) -> None:
-        """Adds rows whose digests aren't in the index; one file per bucket."""
-        out = rows.select("digest", "keep_id", "copies", "repeats").repartition(self.buckets, "digest").sortWithinPartitions("digest")
-        out.write.format("parquet").mode("append").option("path", self.path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+        """Adds rows whose digests aren't in the index, a sorted file for each bucket; merges the files when there are many."""
+        if self.state["appends"] >= self.merge_after:
+            self.merge()
+        self._write(rows.select(*COLUMNS), self.name, self.state["folder"])
+        self._step(appends=self.state["appends"] + 1)
+
+    def merge(self) -> None:
+        """Rewrites the index with one file for each bucket. The buckets stay as they are, so nothing is shuffled. The new files are used once all are written; the old ones are left for readers that have them open."""
+        folder, name = f"data-{uuid.uuid4().hex}", f"siltstone_digests_{uuid.uuid4().hex}"
+        self._write(self.table(), name, folder)
+        self.spark.sql(f"DROP TABLE {name}")
+        self._step(appends=1, folder=folder)
+        self._open()
+
+    def _write(self, rows: DataFrame, name: str, folder: str) -> None:
+        dealt = rows.repartition(self.buckets, "digest").sortWithinPartitions("digest")
+        dealt.write.format("parquet").mode("append").option("path", f"{self.path}/{folder}").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(name)
+
+    def _step(self, **changes: object) -> None:
+        self.state = T.Row(**(self.state.asDict() | changes | {"version": self.state["version"] + 1}))
+        self._put(self.state)
+
+
+def text_digest(c: Column) -> Column:
+    """SHA-256 of a text with A-Z lower-cased; a null text counts as empty."""
+    return F.unhex(F.sha2(ascii_lower(c), 256))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, digest``: SHA-256 of the text with A-Z lower-cased; a null text counts as empty."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(ascii_lower(F.col(text_col)), 256)).alias("digest"))
+    """``doc_id, digest`` of every row; the id keeps its type."""
+    return docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("digest"))
 
 
-def dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
     """Decides for every row of ``docs`` whether it stays; appends the new texts to ``index``.
 
-    Returns one row per input row: ``doc_id, keep_id, group_size, kept, repeats, text_sha256``. Of equal texts in the
-    batch, the row with the largest id stays, unless the index has the text: then none of them stays and ``keep_id``
+    Returns one row per input row: ``doc_id, digest, keep_id, group_size, kept, repeats, text_sha256``. Of equal texts in
+    the batch, the row with the largest id stays, unless the index has the text: then none of them stays and ``keep_id``
     names the indexed document. ``group_size`` counts the batch's rows with the text. Texts are equal when identical
     after lower-casing A-Z; null is empty. Rows that repeat an id and a text are all marked kept, with ``repeats`` over
     1; a null id stays only if all ids of its text are null. An empty table gives no rows. Other columns are ignored.
+    Ids are of any type that has an order; one that isn't the index's is refused.
+
+    ``batch`` names the rows: when the same rows are given again under the same name, as after a driver was lost, they
+    meet the index as it was before them, so the decisions are the same and nothing is appended twice.
 
     Narrow rows (id and digest) are written once and grouped with map-side combination; decisions are joined back by a
     sort-merge join of two plain scans, whose hot digests adaptive execution can split.
     """
-    index = index or DigestIndex(docs.sparkSession)
+    own = index is None
+    index = index or DigestIndex(docs.sparkSession, id_type=docs.schema[id_col].dataType)
+    if docs.schema[id_col].dataType.simpleString() != index.state["id_type"]:
+        raise ValueError(f"the index has ids of type {index.state['id_type']}, the rows of type {docs.schema[id_col].dataType.simpleString()}")
+    batch = batch or uuid.uuid4().hex
     rows = written(digests(docs, id_col, text_col), "rows")
     per_id = rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    batch = written(
-        per_id.groupBy("digest").agg(F.max(F.struct("doc_id", "n")).alias("last"), F.sum("n").alias("copies")).select("digest", F.col("last.doc_id").alias("keep_id"), "copies", F.col("last.n").alias("repeats")),
-        "batch",
-    )
-    known = index.table().select("digest", F.col("keep_id").alias("known_id"))
-    fresh = batch.hint("merge").join(known, "digest", "left_anti")
-    seen = batch.hint("merge").join(known, "digest").select("digest", F.col("known_id").alias("keep_id"), "copies", "repeats", F.lit(False).alias("fresh"))
-    decided = written(fresh.withColumn("fresh", F.lit(True)).unionByName(seen), "decided")
-    index.append(decided.filter("fresh"))
+    texts = per_id.groupBy("digest").agg(F.max(F.struct("doc_id", "n")).alias("last"), F.sum("n").alias("copies"))
+    texts = written(texts.select("digest", F.col("last.doc_id").alias("keep_id"), "copies", F.col("last.n").alias("repeats")), "batch")
+    known = index.table().select("digest", F.col("keep_id").alias("known_id"), F.col("batch").alias("by"))
+    before = known.filter(F.col("by") != batch).drop("by")
+    fresh = texts.hint("merge").join(before, "digest", "left_anti").withColumn("fresh", F.lit(True))
+    if own:
+        decided = written(fresh, "decided")
+    else:
+        seen = texts.hint("merge").join(before, "digest").select("digest", F.col("known_id").alias("keep_id"), "copies", "repeats", F.lit(False).alias("fresh"))
+        decided = written(fresh.unionByName(seen), "decided")
+    new = decided.filter("fresh")
+    if not own:  # what an earlier run of this batch has appended is there already
+        new = new.hint("merge").join(known.filter(F.col("by") == batch).select("digest"), "digest", "left_anti")
+    index.append(new.withColumn("batch", F.lit(batch)))
+    if own:
+        index.close()
+    stays = F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return (
         rows.hint("merge")
         .join(decided, "digest")
         .select(
             "doc_id",
+            "digest",
             "keep_id",
             F.col("copies").alias("group_size"),
-            (F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-            F.when(F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id")), F.col("repeats")).otherwise(F.lit(0)).alias("repeats"),
+            stays.alias("kept"),
+            F.when(stays, F.col("repeats")).otherwise(F.lit(0)).alias("repeats"),
             F.lower(F.hex("digest")).alias("text_sha256"),
         )
     )
 
 
+def keep_last(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: of equal texts that with the largest id, and of rows that repeat both id and text one.
+
+    Decided row by row: a row with a repeated id and another text is another document. A null id counts as smaller than
+    any other. An empty table gives no rows.
+    """
+    decided = written(dedup(docs, index, id_col, text_col), "decided")
+    keyed = docs.withColumn("_digest", text_digest(F.col(text_col)))
+    return one_per_row(without(keyed, decided.filter("NOT kept").select("doc_id", "digest"), id_col), decided.filter("repeats > 1").select("doc_id", "digest"), id_col).select(docs.columns)
+
+
+def without(keyed: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``keyed`` whose id and ``_digest`` aren't ``doc_id, digest`` of a row of ``dropped``; null ids are equal. Joined by both, so neither a hot text nor a hot id is one task's."""
+    gone = dropped.distinct().select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_of"))
+    return keyed.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (F.col("_digest") == F.col("_of")), "left_anti")
+
+
+def one_per_row(keyed: DataFrame, repeated: DataFrame, id_col: str) -> DataFrame:
+    """One row of those that share id and ``_digest``, where ``repeated`` has their ``doc_id, digest``: the first in the order of their JSON. Without any, the rows as they are."""
+    repeated = written(repeated.distinct(), "repeated")
+    if not repeated.limit(1).count():
+        return keyed
+    some = repeated.select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_of"))
+    same = F.col(id_col).eqNullSafe(F.col("_gone")) & (F.col("_digest") == F.col("_of"))
+    row = F.struct(*keyed.columns)
+    one = keyed.join(some, same, "left_semi").groupBy(F.col(id_col).alias("_gone"), F.col("_digest").alias("_of")).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return keyed.join(some, same, "left_anti").unionByName(one.select("row.*"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: every document with the one that stays of its group."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 ORACLE = """

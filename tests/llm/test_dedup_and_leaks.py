@@ -2,6 +2,10 @@ import hashlib
 import re
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 import corpus_pipeline
 from siltstone.llm import decontaminate as L
 from siltstone.llm import exact_dedup as X
@@ -24,9 +28,66 @@ def test_index_keeps_what_it_knows(spark):
     assert X.dedup(first.limit(0)).count() == 0
 
 
+def test_index_is_opened_as_it_was_made(spark):
+    docs = spark.range(200).selectExpr("id doc_id", "concat('text ', id) text")
+    with X.DigestIndex(spark, buckets=16) as index:
+        assert X.dedup(docs, index).filter("kept").count() == 200
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")  # no longer what it was made with
+    try:
+        with X.DigestIndex(spark, path=index.path) as again:
+            assert again.buckets == 16
+            assert X.dedup(docs, again).filter("kept").count() == 0
+            assert again.table().count() == 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    for wrong in ({"buckets": 4}, {"id_type": T.StringType()}):
+        with pytest.raises(ValueError):
+            X.DigestIndex(spark, path=index.path, **wrong)
+    assert index.name not in {t.name for t in spark.catalog.listTables()}
+
+
+def test_a_batch_given_again_is_decided_as_before(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "A"), (3, "b"), (4, "old")], "doc_id long, text string")
+    with X.DigestIndex(spark, buckets=3) as index:
+        X.dedup(spark.createDataFrame([(9, "old")], "doc_id long, text string"), index, batch="zero")
+        first = {(r.doc_id, r.keep_id, r.kept) for r in X.dedup(docs, index, batch="one").collect()}
+        assert first == {(1, 2, False), (2, 2, True), (3, 3, True), (4, 9, False)}
+        assert {(r.doc_id, r.keep_id, r.kept) for r in X.dedup(docs, index, batch="one").collect()} == first
+        assert index.table().count() == 3
+        assert X.dedup(docs, index, batch="two").filter("kept").count() == 0
+
+
+def test_index_merges_its_files(spark):
+    with X.DigestIndex(spark, buckets=2, merge_after=2) as index:
+        for i in range(5):
+            X.dedup(spark.createDataFrame([(i, f"t{i}"), (i + 10, f"t{i}")], "doc_id long, text string"), index)
+        assert index.table().count() == 5
+        assert X.dedup(spark.createDataFrame([(7, "T3")], "doc_id long, text string"), index).first().keep_id == 13
+        with X.DigestIndex(spark, path=index.path) as again:
+            assert again.table().count() == 5
+
+
+def test_rows_not_ids_are_dropped(spark):
+    docs = spark.createDataFrame([(1, "aa"), (1, "unique one"), (2, "aa"), (3, "x"), (3, "x"), (4, "y"), (4, "z"), (None, "aa"), (None, None), (None, "")], "doc_id long, text string")
+    docs = docs.withColumns({"digest": F.lit(1), "keep_id": F.lit("k"), "kept": F.lit(False)})  # names that the operator uses
+    got = X.keep_last(docs)
+    assert got.columns == docs.columns
+    left = sorted((str(r.doc_id), r.text or "") for r in got.collect())
+    assert left == [("1", "unique one"), ("2", "aa"), ("3", "x"), ("4", "y"), ("4", "z"), ("None", "")]
+    assert X.keep_last(docs.limit(0)).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a-1", "t"), ("b-2", "T"), ("c", "u")], "doc_id string, text string")
+    assert {(r.doc_id, r.keep_id, r.kept) for r in X.dedup(docs).collect()} == {("a-1", "b-2", False), ("b-2", "b-2", True), ("c", "c", True)}
+    with X.DigestIndex(spark, buckets=2) as index, pytest.raises(ValueError):
+        X.dedup(docs, index)
+
+
 def test_index_side_is_not_shuffled(spark):
     index = X.DigestIndex(spark, buckets=4)
-    index.append(spark.createDataFrame([(bytes(32), 1, 1, 1)], "digest binary, keep_id long, copies long, repeats long"))
+    index.append(spark.createDataFrame([(bytes(32), 1, 1, 1, "")], "digest binary, keep_id long, copies long, repeats long, batch string"))
     batch = spark.range(10).selectExpr("unhex(sha2(string(id), 256)) digest")
     plan = batch.hint("merge").join(index.table().select("digest"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
