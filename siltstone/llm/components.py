@@ -8,22 +8,24 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import written
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """``node, label`` for every node of ``a, b``: the smallest id of its component.
+def components(edges: DataFrame) -> DataFrame:
+    """``node, label`` for every node of the edges ``a, b``: the smallest of its component.
 
-    Each round takes the smallest label among a node's neighbours, then that label's own label, so labels travel twice as
-    far each round; it ends when no label changes. Everything stays in tables: joins and groupings with map-side
-    combination, written to the shared folder in each round. More than ``rounds`` rounds (a chain of over 2**60 nodes)
-    is an error, never a partial result. No edges give no rows; loops and repeated edges are fine.
+    First each node's smaller neighbours are tied to the smallest of them, which leaves a node one edge and ties those
+    that it had in common only once. Then each round takes the smallest label among a node's neighbours, and that label's
+    own label, so labels travel twice as far each round; it ends when no label changes, after some log2 of the longest
+    path rounds. Everything stays in tables: joins and groupings with map-side combination, written to the shared folder
+    in each round. No edges give no rows; repeated edges are fine, and a loop, or a node that has only loops, is left out.
     """
-    both = edges.select(F.col("a"), F.col("b")).union(edges.select(F.col("b"), F.col("a")))
-    links = written(both.distinct(), "links")
+    tied = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "tied")
+    low = tied.groupBy("a").agg(F.min("b").alias("low"))
+    thin = tied.join(low, "a").filter("b != low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct().unionByName(low.select("a", F.col("low").alias("b")))
+    thin = written(thin, "thin")
+    links = written(thin.union(thin.select("b", "a")), "links")
     labels = written(links.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label"), F.lit(True).alias("changed")), "labels")
-    for _ in range(rounds):
+    while labels.filter("changed").limit(1).count():
         near = links.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.select("node", F.col("label").alias("old")).join(near, "node").withColumn("label", F.least("old", "near"))
         owner = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         labels = written(step.join(owner, "label").select("node", F.least("label", "up").alias("label"), (F.least("label", "up") != F.col("old")).alias("changed")), "labels")
-        if labels.filter("changed").limit(1).count() == 0:
-            return labels.select("node", "label")
-    raise RuntimeError(f"labels still change after {rounds} rounds")
+    return labels.select("node", "label")

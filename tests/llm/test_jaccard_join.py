@@ -75,20 +75,49 @@ def test_splitting_finds_what_brute_force_finds(spark, monkeypatch):
     plain = J.candidates
     monkeypatch.setattr(J, "candidates", lambda reps, s, r: plain(reps, s, r, limit=8, dense=1.1))
     monkeypatch.setattr(J, "BLOCK", 16)
+    monkeypatch.setattr(J, "MOST", 24)
     assert got(J.near_duplicates(docs)) == brute(dict(enumerate(texts)))
 
 
+def test_blocks_by_size_lose_no_link(spark, monkeypatch):
+    """A chain of texts of growing length, each like the next, in one family: many bands."""
+    rng = random.Random(9)
+    words = [f"c{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(words[:n]) for n in range(20, 400, 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block, most in ((8, 8), (16, 64)):
+        monkeypatch.setattr(J, "BLOCK", block)
+        monkeypatch.setattr(J, "MOST", most)
+        monkeypatch.setattr(J, "BYTES", 20_000)
+        assert got(J.near_duplicates(docs)) == brute(dict(enumerate(texts)))
+
+
 def test_nulls_repeats_empty_tables_and_extra_columns(spark):
     t = "a b c d e f g"
-    docs = spark.createDataFrame([(1, t, 5), (1, t, 6), (2, t, 7), (None, t, 8), (3, None, 9), (4, "", 9)], "doc_id long, text string, class_id long")
-    rows = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in J.near_duplicates(docs).collect())
-    assert rows == [("1", "1", 2), ("1", "1", 2), ("2", "1", 2), ("3", "3", 0), ("4", "4", 0), ("None", "None", 0)]
+    docs = spark.createDataFrame([(1, t, 5), (1, t, 6), (2, t, 7), (None, t, 8), (3, None, 9), (4, "", 9), (None, "h i", 9)], "doc_id long, text string, class_id long")
+    rows = sorted((str(r.doc_id), str(r.class_id), r.n_links, r.kept) for r in J.near_duplicates(docs).collect())
+    assert rows == [("1", "1", 3, True), ("1", "1", 3, True), ("2", "1", 3, False), ("3", "3", 0, True), ("4", "4", 0, True), ("None", "1", 3, False), ("None", "None", 0, True)]
     assert J.near_duplicates(docs.limit(0)).count() == 0
     assert {r.n_links for r in J.near_duplicates(docs.filter("text is null")).collect()} == {0}
 
 
+def test_rows_not_ids_stay(spark):
+    t = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    docs = spark.createDataFrame([(1, t, 0), (1, "something else altogether here now", 0), (2, t + " !", 0), (2, "and a third one of its own", 0), (1, t, 0), (None, t.upper(), 0), (None, None, 0), (5, "", 0)], "doc_id long, text string, kept int").withColumnRenamed("kept", "digest")
+    left = J.keep_one(docs)
+    assert left.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in left.collect()) == [("1", t), ("1", "something else altogether here now"), ("2", "and a third one of its own"), ("5", ""), ("None", "")]
+    assert J.keep_one(docs.limit(0)).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    t = "a b c d e f g h i"
+    docs = spark.createDataFrame([("x-1", t), ("b", t.upper()), ("c", "q")], "doc_id string, text string")
+    assert got(J.near_duplicates(docs)) == {"x-1": ("b", 1), "b": ("b", 1), "c": ("c", 0)}
+
+
 def test_components(spark):
-    path = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
+    path = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (500, 500)]
     labels = {r.node: r.label for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert labels == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
@@ -113,13 +142,15 @@ def test_recall_of_runs():
 
 
 def test_recall_holds_however_deep_buckets_are_split(spark, monkeypatch):
+    """The first runs are enough for SHALLOW splits; what was split more often goes through the runs that the depth takes."""
     asked, split = [], J._split
     monkeypatch.setattr(J, "_split", lambda runs, similarity: asked.append(runs) or split(runs, similarity))
-    reps = J.fingerprints(spark.createDataFrame([(i, f"a b c d e f {i}") for i in range(4)], "doc_id long, text string")).select("doc_id", "sketch")
-    for depth in (2, 6):
+    sketch = [(i, bytes(range(256)), bytes(64)) for i in range(12)]  # all alike: every bucket is large
+    reps = spark.createDataFrame(sketch, "node long, sketch binary, short binary")
+    for depth in (2, 4):
         asked.clear()
-        J.candidates(reps, depth=depth)
-        assert 1 - (1 - J.chance(0.8, 0.8, depth)) ** asked[0] >= 0.999
+        J.candidates(reps, limit=8, dense=1.1, depth=depth)
+        assert 1 - (1 - J.chance(0.8, 0.8, depth)) ** len({r for runs in asked for r in runs}) >= 0.999
 
 
 def test_equal_buckets_are_split_in_every_run(spark, monkeypatch):
@@ -132,7 +163,6 @@ def test_equal_buckets_are_split_in_every_run(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(J, "written", noted)
-    tokens = bytes(range(256))
-    sketch = [(i, tokens) for i in range(12)]  # all alike: the same documents in every bucket
-    J.candidates(spark.createDataFrame(sketch, "doc_id long, sketch binary"), limit=8, dense=1.1, depth=2)
+    sketch = [(i, bytes(range(256)), bytes(64)) for i in range(12)]  # all alike: the same documents in every bucket
+    J.candidates(spark.createDataFrame(sketch, "node long, sketch binary, short binary"), limit=8, dense=1.1, depth=2)
     assert levels[0].select("key").distinct().count() > J.runs_for(0.999, 0.8, 2) / 2
