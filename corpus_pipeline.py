@@ -1,14 +1,14 @@
 """A corpus in five stages: quality, exact copies, near copies, benchmark leaks, encoding.
 
 Each stage takes ``(spark, docs, sf_dir)`` with the columns of ``documents`` and works on all rows it is given. All but
-the last return the same columns. Rows without a ``doc_id`` can't be told apart and are kept by the two stages that
-compare rows; columns besides ``doc_id`` and ``text`` are passed on untouched. An empty input gives an empty result.
+the last return the same columns. Decisions are made row by row, by id and text: rows that share an id and differ in text
+are documents of their own. A null id is one more id, the last that a group of equal or like texts keeps. Columns besides
+``doc_id`` and ``text`` are passed on untouched. A null text counts as empty; an empty input gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from siltstone.llm import bpe_codec, decontaminate, exact_dedup, jaccard_join, quality_cnn
 from siltstone.llm.common import table, written
@@ -21,18 +21,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of equal texts the row with the largest ``doc_id``, and of rows that repeat it one."""
-    decided = written(exact_dedup.dedup(docs), "decided")
-    left = docs.join(decided.filter("NOT kept AND doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    if decided.filter("repeats > 1 AND doc_id IS NOT NULL").limit(1).count():
-        left = left.filter("doc_id IS NULL").unionByName(left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
-    return left
+    """Keeps of equal texts the row with the largest ``doc_id``, and of rows that repeat both id and text one."""
+    return exact_dedup.keep_last(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each class of near-duplicates the document with the smallest ``doc_id``."""
-    classes = jaccard_join.near_duplicates(docs).filter("doc_id != class_id").select("doc_id")
-    return docs.join(classes, "doc_id", "left_anti").select(docs.columns)
+    """Keeps of each class of near-duplicates the document with the smallest ``doc_id``; texts without words aren't compared."""
+    return jaccard_join.keep_one(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
