@@ -1,29 +1,35 @@
 """Main text of HTML pages by wrapper induction.
 
-Each page is parsed to a tree. Parts that say what they are (menus, headers, footers, sidebars, adverts, forms, scripts,
-styles, reader comments) are cut off. What is left is aligned, by simple tree matching, with the trees of a few other
-pages of the same host: nodes that carry the same text in most of them are the host's template, all others are slots, and
-the slots' text is the content.
+Each page is parsed to a tree. Pages of one host that are built alike (a layout) share a wrapper: what is constant over
+them is template, what varies fills slots. A node is a candidate for the template if, counted over all differing pages of
+the layout, more than half have a node of that name with the same text. Whole trees are then aligned by simple tree
+matching with a few trees of the layout; candidates that meet their like in the same place are template and are cut off.
+The slots are the content, but for those whose element or name says that they are something else: menus and adverts vary
+from page to page, too.
 """
 
 from __future__ import annotations
 
 import html
-import json
+import marshal
 import re
-from collections import Counter
-from collections.abc import Iterator
+import sys
+import zlib
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import slices, table, written
+from siltstone.llm.common import lean, slices, splitmix, table, written
+from siltstone.llm.shingles import _powers
 from siltstone.llm.url_filter import host_and_path
 
+#: Trees of a layout that a page is aligned with; whether a node is constant is counted over all pages.
 REFERENCES = 5
 # Element names of HTML by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,182 +38,249 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 BLOCK = CLOSES_P | frozenset("body br caption dd dt html legend li option summary tbody td tfoot th thead tr".split())
 CLOSES_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 SCOPE = frozenset("table ul ol dl select article aside nav section div body html".split())
-DROPPED = frozenset("head script style noscript template nav footer aside form button select input textarea iframe svg canvas dialog menu object embed audio video title datalist".split())
+#: Never content, and never content unless the page's main part is in it.
+DROPPED = frozenset("head script style noscript template nav footer aside button select input textarea iframe svg canvas dialog menu object embed audio video title datalist".split())
+DROPPED_ROUND = frozenset("form header".split())
+#: Elements that a page is built of; which of them there are tells its layout.
+STRUCTURE = frozenset("div section article main nav header footer aside table form center".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side|aside|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|foot|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|comments?|commentlist|respond|replies|disqus|related|recommended|widget|toolbar|pagination|pager|skip|copyright|legal|hidden)(?:$|[\s_-])",
-    re.I,
+# Words of classes and ids that say what a part is: anywhere, and outside an article only, where they may not name a part of the text.
+APART = frozenset("ads adsense sidebar nav navbar navigation breadcrumb breadcrumbs footer newsletter comment comments commentlist disqus pagination pager".split())
+APART_OUTSIDE = APART | frozenset(
+    "ad adv banner promo promotion side aside menu header masthead foot cookie cookies consent gdpr notice notices notification alert popup modal overlay subscribe signup login share sharing social respond replies related recommended widget widgets toolbar skip copyright legal hidden".split()
 )
-#: Names that say so inside an article or main element too, where the others may name parts of the text.
-NAMES_INSIDE = re.compile(r"(?:^|[\s_-])(?:ads|adsense|advert\w*|sidebar|nav|navbar|navigation|breadcrumbs?|footer|newsletter|comments?|commentlist|disqus|pagination|pager)(?:$|[\s_-])", re.I)
-TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
+APART_STARTS = ("advert", "sponsor")
+#: A name that starts with one of these tells what the part hasn't got, or how it is laid out.
+NEGATIONS = frozenset("no not non without has have with is hide".split())
+TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*'|["'])*+)>?|[^<]+|<""", re.S)
 ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/>"']+)""")
+BLOCKS, HIDDEN, NAMED, NAMED_INSIDE = 1, 2, 4, 8  # flags of an element
 
 
-class Node:
-    """An element: its name, what its attributes say, and its children (elements and strings)."""
+class Page:
+    """A page's elements in page order, the root first, as columns; its text as pieces.
+
+    ``end`` is the first element behind an element's last, ``first`` and ``last`` are where its pieces begin and end. The
+    edges of a block are pieces of one space.
+    """
 
-    __slots__ = ("name", "attrs", "children", "text")
+    __slots__ = ("names", "attrs", "flags", "parent", "end", "first", "last", "pieces")
 
-    def __init__(self, name: str, attrs: str = ""):
-        self.name, self.attrs, self.children, self.text = name, attrs, [], None
+    def __init__(self) -> None:
+        self.names, self.attrs, self.flags, self.parent, self.end, self.first, self.last = ["#root"], [""], [0], [-1], [0], [0], [0]
+        self.pieces: list[str] = []
 
-    def get(self) -> dict[str, str]:
-        return {m[1].lower() if m[1] else m[5].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(self.attrs)} if self.attrs.strip(" /") else {}
 
+def attributes(attrs: str) -> dict[str, str]:
+    return {m[1].lower() if m[1] else m[5].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)}
 
-def parse(page: str) -> Node:
-    """The tree of a page; unclosed and misplaced tags are mended the way browsers do in the common cases. Any string gives a tree."""
-    root = Node("#root")
-    stack = [root]
-    at, n = 0, len(page)
+
+@lru_cache(20_000)
+def flags_of(attrs: str) -> int:
+    """What an element's attributes say of it."""
+    got = attributes(attrs)
+    out = 0
+    if "hidden" in got or got.get("aria-hidden") == "true" or got.get("role", "").lower() in ROLES or "display:none" in got.get("style", "").replace(" ", "").lower():
+        out |= HIDDEN
+    for name in (got.get("class", "") + " " + got.get("id", "")).lower().split():
+        words = re.split("[-_]+", name)
+        if words[0] not in NEGATIONS:
+            if not APART.isdisjoint(words) or any(w.startswith(APART_STARTS) for w in words):
+                out |= NAMED | NAMED_INSIDE
+            elif not APART_OUTSIDE.isdisjoint(words):
+                out |= NAMED
+    return out
+
+
+def parse(text: str) -> Page:
+    """The tree of a page, in time linear in its length; unclosed and misplaced tags are mended the way browsers do in the common cases, a tag that never ends runs to the end of the page. Any string gives a tree."""
+    page = Page()
+    stack = [0]
+    opened: dict[str, list[int]] = {}  # where in the stack the open elements of a name are
+    scopes: list[int] = []  # and the containers, which an end tag doesn't reach through
+
+    def close(to: int) -> None:
+        while len(stack) > to:
+            v = stack.pop()
+            if page.flags[v] & BLOCKS:
+                page.pieces.append(" ")
+            page.end[v], page.last[v] = len(page.names), len(page.pieces)
+            if stack:
+                opened[page.names[v]].pop()
+                if scopes and scopes[-1] == len(stack):
+                    scopes.pop()
+
+    def close_nearest(names: Iterable[str]) -> None:
+        at = max((opened[n][-1] for n in names if opened.get(n)), default=0)
+        if at > (scopes[-1] if scopes else 0):
+            close(at)
+
+    at, n = 0, len(text)
     while at < n:
-        m = TOKEN.match(page, at)
+        m = TOKEN.match(text, at)
         at = m.end()
-        name = m[2] or m[5]
+        name = m[2]
         if name is None:
             if m[0][0] != "<" or len(m[0]) == 1:
-                stack[-1].children.append(html.unescape(m[0]))
+                page.pieces.append(html.unescape(m[0]))
             continue
         name = name.lower()
-        if m[1] or m[4]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
-                if stack[i].name in SCOPE and name not in SCOPE:
-                    break
+        if m[1]:
+            if opened.get(name) and (name in SCOPE or opened[name][-1] > (scopes[-1] if scopes else 0)):
+                close(opened[name][-1])
             continue
-        attrs = m[3] or m[6] or ""
+        attrs = m[3]
         if name in CLOSES_P:
-            _close(stack, {"p"})
+            close_nearest(("p",))
         if name in CLOSES_SAME:
-            _close(stack, CLOSES_SAME[name])
-        node = Node(name, attrs)
-        stack[-1].children.append(node)
+            close_nearest(CLOSES_SAME[name])
+        v = len(page.names)
+        page.names.append(name)
+        page.attrs.append(attrs)
+        page.flags.append((BLOCKS if name in BLOCK else 0) | (flags_of(attrs) if "=" in attrs or "hidden" in attrs else 0))
+        page.parent.append(stack[-1])
+        page.first.append(len(page.pieces))
+        if name in BLOCK:
+            page.pieces.append(" ")
+        page.end.append(v + 1)
+        page.last.append(len(page.pieces))
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            if name in ("title", "textarea"):
-                node.children.append(html.unescape(page[at : end.start() if end else n]))
+            end = _raw_end(name).search(text, at)
             at = end.end() if end else n
         elif name not in VOID and not (attrs.endswith("/") and name in ("svg", "path")):
-            if len(stack) < 400:  # deeper elements become siblings, so that no page is too deep to walk
-                stack.append(node)
-    return root
-
-
-def _close(stack: list[Node], names: set[str]) -> None:
-    """Closes the nearest open element of ``names``, unless a container lies between."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].name in names:
-            del stack[i:]
-            return
-        if stack[i].name in SCOPE:
-            return
-
+            opened.setdefault(name, []).append(len(stack))
+            if name in SCOPE:
+                scopes.append(len(stack))
+            stack.append(v)
+    close(0)
+    return page
 
-@lru_cache(20_000)
-def _named_apart(attrs: str, inside: bool) -> bool:
-    got = Node("", attrs).get()
-    return "hidden" in got or got.get("aria-hidden") == "true" or got.get("role", "").lower() in ROLES or bool((NAMES_INSIDE if inside else NAMES).search(got.get("class", "") + " " + got.get("id", "")) or "display:none" in got.get("style", "").replace(" ", ""))
-
-
-def pruned(node: Node, inside: bool = False) -> Node:
-    """A copy without the parts that say they aren't content. Inside an article or main element a header is none, and names that may be those of its text's parts aren't heeded: that is left to the template."""
-    out = Node(node.name, node.attrs)
-    inside = inside or node.name in ("article", "main")
-    for c in node.children:
-        if isinstance(c, str):
-            out.children.append(c)
-        elif c.name in DROPPED or (c.name == "header" and not inside) or (c.attrs and c.name not in ("html", "body") and _named_apart(c.attrs, inside or c.name in ("article", "main"))):
-            out.children.append(" ")
-        else:
-            out.children.append(pruned(c, inside))
-    return out
 
+@lru_cache(64)
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I)
 
-def content_root(tree: Node) -> Node:
-    """The article or main element, several side by side in page order, else all. Articles in an article are its parts."""
-    found: list[Node] = []
 
-    def walk(node: Node) -> None:
-        for c in node.children:
-            if isinstance(c, Node):
-                if c.name == "article" or c.name == "main":
-                    found.append(c)
-                else:
-                    walk(c)
+def apart(page: Page) -> list[bool]:
+    """Of each element, whether it says that it isn't content.
 
-    walk(tree)
-    if len(found) < 2:
-        return found[0] if found else tree
-    root = Node("#parts")
-    root.children = found
-    return root
+    Elements that never are say so by themselves. A form, a header or what a name sets apart doesn't if the page's main
+    part (an article, a main element or the title) is in it. Inside an article or main element a header is part of it,
+    and only names that can't be those of its parts are heeded.
+    """
+    n = len(page.names)
+    inside, holds, title = [False] * n, [False] * n, [False] * n
+    for v in range(1, n):
+        up = page.parent[v]
+        inside[v] = inside[up] or page.names[v] in ("article", "main")
+    for v in range(n - 1, 0, -1):
+        up, name = page.parent[v], page.names[v]
+        part = name in ("article", "main") and not page.flags[v] & (NAMED_INSIDE | HIDDEN)
+        title[up] |= title[v] or name == "h1"
+        holds[up] |= holds[v] or part
+    out = [False] * n
+    for v in range(1, n):
+        name, flag = page.names[v], page.flags[v]
+        if name in DROPPED or flag & HIDDEN:
+            out[v] = True
+        elif name in DROPPED_ROUND:
+            out[v] = not holds[v] and not (name == "form" and title[v]) and not (name == "header" and inside[v])
+        if name not in ("html", "body", "main") and flag & (NAMED_INSIDE if inside[v] else NAMED):
+            out[v] |= inside[page.parent[v]] or not (holds[v] or title[v])
+    return out
 
 
-def raw_text(node: Node) -> str:
-    """All text below a node, a space at each edge of a block."""
-    if node.text is None:
-        parts: list[str] = []
+def keys(page: Page) -> np.ndarray:
+    """Of each element, a hash of its name and of the words below it; 0 without words. One pass over the text, whatever the depth."""
+    hashes: list[int] = []
+    upto = [0]
+    for piece in page.pieces:
+        if piece != " ":
+            hashes += [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in piece.split()]
+        upto.append(len(hashes))
+    power, inverse = _powers(max(16, len(hashes).bit_length()))
+    label = np.array([zlib.crc32(n.encode("utf-8", "surrogatepass")) for n in page.names], np.uint64)
+    place = np.array(upto)
+    a, b = place[page.first], place[page.last]
+    with np.errstate(over="ignore"):
+        word = splitmix(np.array(hashes, np.uint64) + np.uint64(1))
+        prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(word * power[: len(word)], dtype=np.uint64)))
+        out = splitmix((prefix[b] - prefix[a]) * inverse[a] ^ splitmix(label + np.uint64(1) << np.uint64(20)))
+    return np.where(a == b, np.uint64(0), out | np.uint64(1)).view(np.int64)
+
+
+def layout(page: Page, key: np.ndarray, host: str) -> int:
+    """A hash of the host and of what kinds of parts the page is built of: the elements below the first element with several that have text."""
+    children: dict[int, list[int]] = {}
+    for v in range(1, len(page.names)):
+        if key[v]:
+            children.setdefault(page.parent[v], []).append(v)
+    at = next((v for v, name in enumerate(page.names) if name == "body"), 0)
+    while len(below := children.get(at, [])) == 1 and page.names[below[0]] not in ("article", "main"):
+        at = below[0]
+    kinds = sorted({f"{page.names[v]}.{_kind(page.attrs[v])}" for v in below if page.names[v] in STRUCTURE})
+    return int.from_bytes(blake2b("\n".join([host, *kinds]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-        def walk(x: Node) -> None:
-            edge = x.name in BLOCK
-            parts.append(" " if edge else "")
-            for c in x.children:
-                if isinstance(c, str):
-                    parts.append(c)
-                else:
-                    walk(c)
-            parts.append(" " if edge else "")
 
-        walk(node)
-        node.text = "".join(parts)
-    return node.text
+@lru_cache(20_000)
+def _kind(attrs: str) -> str:
+    return " ".join(sorted(c for c in attributes(attrs).get("class", "").split() if not any(x.isdigit() for x in c)))
 
 
-def squeezed(text: str) -> str:
-    return " ".join(text.split())
+class Node:
+    """A node of a tree for matching: its name's hash, its key if that may be template's (else 0), its children, how many nodes it has, and its number in its page."""
 
+    __slots__ = ("label", "key", "children", "size", "number")
 
-def skeleton(node: Node) -> list:
-    """``[name, digest of all text below, children]``; a run of like siblings is one child, ``[name, digest, []]`` with a plus, as a list is one slot however long."""
-    kids: list[list] = []
-    held: list[Node] = []
+    def __init__(self, label: int, key: int, number: int):
+        self.label, self.key, self.number, self.size = label, key, number, 1
+        self.children: list[Node] = []
 
-    def flush() -> None:
-        if len(held) == 1:
-            kids.append(skeleton(held[0]))
-        elif held:
-            kids.append([held[0].name + "+", digest(" ".join(raw_text(x) for x in held)), []])
-        held.clear()
 
-    for c in node.children:
-        if isinstance(c, Node) and squeezed(raw_text(c)):
-            if held and held[0].name != c.name:
-                flush()
-            held.append(c)
-    flush()
-    return [node.name, digest(raw_text(node)), kids]
+def skeleton(parent: list[int], labels: list[int], key: list[int], constant: set[int]) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Parent, label, key and number of the nodes whose key is in ``constant`` and of those above them, whose key is 0. All other nodes vary, so none of them can be template."""
+    wanted = [k in constant for k in key]
+    for v in range(len(key) - 1, 0, -1):
+        if wanted[v]:
+            wanted[parent[v]] = True
+    number = [v for v, w in enumerate(wanted) if w]
+    place = {v: i for i, v in enumerate(number)}
+    return [place.get(parent[v], -1) for v in number], [labels[v] for v in number], [key[v] if key[v] in constant else 0 for v in number], number
 
 
-def digest(text: str) -> str:
-    return blake2b(squeezed(text).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+def tree(parent: list[int], labels: list[int], key: list[int], number: list[int]) -> Node:
+    """The root of a skeleton's tree."""
+    nodes = [Node(*x) for x in zip(labels, key, number, strict=True)]
+    for v in range(1, len(nodes)):
+        nodes[parent[v]].children.append(nodes[v])
+    for v in range(len(nodes) - 1, 0, -1):
+        nodes[parent[v]].size += nodes[v].size
+    return nodes[0]
 
 
-def matching(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
-    """Simple tree matching: the largest number of node pairs of two trees that keeps levels and order, and the pairs."""
-    if a[0] != b[0]:
+def matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
+    """Simple tree matching: the largest number of node pairs of two trees that keeps levels and order, and the pairs. Nodes with the same key match as a whole, as one pair."""
+    if a.label != b.label:
         return 0, []
-    if a[1] == b[1] and a[2] == b[2]:
-        return _size(a), _same(a, b)
-    m, n = len(a[2]), len(b[2])
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    inner = [[matching(x, y) for y in b[2]] for x in a[2]]
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
+    if a.key and a.key == b.key:
+        return a.size, [(a, b)]
+    x, y, pairs, total = a.children, b.children, [(a, b)], 1
+    lo = 0
+    while lo < min(len(x), len(y)) and x[lo].key and (x[lo].key, x[lo].label) == (y[lo].key, y[lo].label):
+        lo += 1  # the same at both ends is matched in the best way already
+    hi = 0
+    while hi < min(len(x), len(y)) - lo and x[-1 - hi].key and (x[-1 - hi].key, x[-1 - hi].label) == (y[-1 - hi].key, y[-1 - hi].label):
+        hi += 1
+    for i in [*range(lo), *range(-hi, 0)]:
+        total += x[i].size
+        pairs.append((x[i], y[i]))
+    x, y = x[lo : len(x) - hi], y[lo : len(y) - hi]
+    inner = [[matching(c, d) for d in y] for c in x]
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(1, len(x) + 1):
+        for j in range(1, len(y) + 1):
             best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + inner[i - 1][j - 1][0])
-    pairs, i, j = [(a, b)], m, n
+    i, j = len(x), len(y)
     while i and j:
         w, below = inner[i - 1][j - 1]
         if w and best[i][j] == best[i - 1][j - 1] + w:
@@ -217,103 +290,170 @@ def matching(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
             i -= 1
         else:
             j -= 1
-    return 1 + best[m][n], pairs
-
-
-def _size(a: list) -> int:
-    return 1 + sum(map(_size, a[2]))
-
-
-def _same(a: list, b: list) -> list[tuple[list, list]]:
-    return [(a, b)] + [p for x, y in zip(a[2], b[2], strict=True) for p in _same(x, y)]
-
-
-def template(tree: list, references: list[list]) -> set[int]:
-    """``id()`` of the skeleton's nodes that carry the same text in most references. References with the same text as the page, or as one another, say nothing about the template; fewer than three of others neither."""
-    others = list({r[1]: r for r in references if r[1] != tree[1]}.values())
-    if len(others) < 3:
-        return set()
-    votes: Counter[int] = Counter()
-    for r in others:
-        for x, y in matching(tree, r)[1]:
-            if x[1] == y[1]:
-                votes[id(x)] += 1
-    return {k for k, n in votes.items() if 2 * n > len(others)}
-
-
-def main_text(page: str, references: list[list]) -> str:
-    """The page's content as one line: its slots' blocks in page order, joined by a space. If nothing but template were left, nothing is taken for template."""
-    root = content_root(pruned(parse(page)))
-    if references:
-        tree = skeleton(root)
-        constant = template(tree, references)
-        if constant:
-            text = squeezed(_slots(root, tree, constant))
-            if text:
-                return text
-    return squeezed(raw_text(root))
-
-
-def _slots(node: Node, tree: list, constant: set[int]) -> str:
-    """The text of a node without that of its constant children; ``tree`` is its skeleton."""
-    parts: list[str] = []
-    kids = iter(tree[2])
-    current, name = None, None
-    for c in node.children:
-        if isinstance(c, str):
-            parts.append(c)
-            continue
-        edge = " " if c.name in BLOCK else ""
-        if squeezed(raw_text(c)):
-            if current is None or name != c.name:
-                current, name = next(kids), c.name
-            if id(current) not in constant:
-                parts += [edge, raw_text(c) if current[0].endswith("+") else _slots(c, current, constant), edge]
-        else:
-            parts.append(raw_text(c))
-    return "".join(parts)
+    return total + best[len(x)][len(y)], pairs
 
 
-def references(pages: DataFrame, n: int = REFERENCES, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
-    """``host, trees``: skeletons (JSON) of up to ``n`` pages of each host, the smallest under ``n`` hash functions; a grouping with map-side combination, so a hot host is no large group."""
-    host, _ = host_and_path(F.col(url_col))
-    drawn = pages.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("page_id"), host.alias("host"))
-    picked = drawn.groupBy("host").agg(F.array_distinct(F.array(*[F.min_by("page_id", F.xxhash64(F.lit(i), "page_id")) for i in range(n)])).alias("ids"))
-    picked = written(picked.select("host", F.explode("ids").alias("id")), "picked")
+class Wrapper:
+    """A layout's template: the keys that are constant over its pages, and trees (from ``skeleton``) that tell where."""
 
-    def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            trees = [json.dumps(skeleton(content_root(pruned(parse(t or "")))), separators=(",", ":")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees, pa.string())], ["host", "tree"])
+    def __init__(self, constant: Iterable[int], skeletons: Iterable[tuple[list[int], list[int], list[int], list[int]]]):
+        self.constant = set(constant)
+        self.trees = [tree(*x) for x in skeletons]
+
+    def template(self, parent: list[int], labels: list[int], key: list[int]) -> set[int]:
+        """The nodes of a page that are template: constant, and matched with the same in a reference."""
+        if self.constant.isdisjoint(key):
+            return set()
+        sys.setrecursionlimit(1 << 20)  # trees are walked as deep as they are
+        own = tree(*skeleton(parent, labels, key, self.constant))
+        return {x.number for t in self.trees for x, y in matching(own, t)[1] if x.key and x.key == y.key}
+
+
+def labels(page: Page) -> list[int]:
+    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) for n in page.names]
+
+
+def content(page: Page, gone: list[bool], template: set[int]) -> str:
+    """The text of a page as one line: its blocks in page order, joined by a space, without the elements that are ``gone`` or template. If nothing else were left, nothing is taken for template.
+
+    Where articles or main elements hold at least half of what is left, the rest is dropped: it surrounds them.
+    """
+    names, end, first, last, pieces = page.names, page.end, page.first, page.last, page.pieces
+    for cut in (template, set()) if template else (set(),):
+        spans, parts, v, at = [], [], 0, 0
+        inside = 0  # the end of the article at hand
+        while v < len(names):
+            if gone[v] or v in cut:
+                spans.append((at, first[v]))
+                at, v = last[v], end[v]
+                continue
+            if v >= inside and names[v] in ("article", "main"):
+                inside = end[v]
+                parts.append((first[v], last[v]))
+            v += 1
+        spans.append((at, len(pieces)))
+        whole = _joined(pieces, spans)
+        if parts:
+            within = _joined(pieces, _within(spans, parts))
+            if 2 * len(within) >= len(whole):
+                whole = within
+        if whole:
+            return whole
+    return ""
+
+
+def _within(spans: list[tuple[int, int]], parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What of some spans lies in some parts; both are in order and don't overlap."""
+    out, i = [], 0
+    for lo, hi in parts:
+        while i < len(spans) and spans[i][1] <= lo:
+            i += 1
+        j = i
+        while j < len(spans) and spans[j][0] < hi:
+            out.append((max(spans[j][0], lo), min(spans[j][1], hi)))
+            j += 1
+        i = max(i, j - 1)
+    return out
+
+
+def _joined(pieces: list[str], spans: list[tuple[int, int]]) -> str:
+    return " ".join(" ".join("".join(pieces[a:b]) for a, b in spans if a < b).split())
 
-    shaped = pages.join(picked, F.col(id_col) == F.col("id")).select("host", F.col(text_col).alias("html")).mapInArrow(shape, "host string, tree string")
-    return shaped.groupBy("host").agg(F.array_sort(F.collect_set("tree")).alias("trees"))
 
+def main_text(text: str, wrapper: Wrapper | None = None) -> str:
+    """The content of a single page."""
+    page = parse(text)
+    return content(page, apart(page), wrapper.template(page.parent, labels(page), keys(page).tolist()) if wrapper else set())
 
-@lru_cache(4096)
-def _loaded(trees: tuple[str, ...]) -> list[list]:
-    return [json.loads(t) for t in trees]
+
+def wrappers(pages: DataFrame, n: int = REFERENCES, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
+    """``layout, wrapper binary`` of every layout with at least three differing pages and something constant.
+
+    Pages with the same text count once. What is constant is counted over all pages, by groupings with map-side
+    combination, so a hot host is no large group. The references are up to ``n`` pages, the smallest under as many hash
+    functions.
+    """
+    host, _ = host_and_path(F.col(url_col))
+
+    @lean
+    def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            out: list[tuple] = []
+            for where, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                page = parse(text or "")
+                key = keys(page)
+                if key[0]:
+                    full = np.flatnonzero(key)  # elements without text hold none with
+                    number = np.zeros(len(key), np.int64)
+                    number[full] = np.arange(len(full))
+                    up = number[np.maximum(np.array(page.parent)[full], 0)]
+                    out.append((layout(page, key, where or ""), int(key[0]), key[full].tolist(), np.concatenate((up, np.array(labels(page))[full])).astype(np.uint32).tobytes()))
+            columns = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["layout", "root", "keys", "shape"])
+
+    shapes = pages.select(host.alias("host"), F.col(text_col).alias("html")).mapInArrow(shape, "layout long, root long, keys array<long>, shape binary")
+    shapes = written(shapes.dropDuplicates(["layout", "root"]), "shapes")
+    sizes = shapes.groupBy("layout").agg(F.count(F.lit(1)).alias("pages")).filter("pages > 2")
+    counts = shapes.select("layout", F.explode(F.array_distinct("keys")).alias("key")).groupBy("layout", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    constant = counts.join(sizes, "layout").filter("2 * n > pages").groupBy("layout").agg(F.collect_list("key").alias("constant"))  # fewer than two pages' nodes
+    references = shapes.groupBy("layout").agg(F.array_distinct(F.array(*[F.min_by(F.struct("keys", "shape"), F.xxhash64(F.lit(i), "root")) for i in range(n)])).alias("references"))
+
+    @lean
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for known, refs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                trees = []
+                for r in refs:
+                    up, label = np.frombuffer(r["shape"], np.uint32).reshape(2, -1).tolist()
+                    if not set(known).isdisjoint(r["keys"]):
+                        trees.append(skeleton(up, label, r["keys"], set(known)))
+                met = {k for t in trees for k in t[2]} - {0}
+                out.append(zlib.compress(marshal.dumps((list(met), trees)), 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["layout", "wrapper"])
+
+    return constant.join(references, "layout").select("layout", "constant", "references").mapInArrow(pack, "layout long, wrapper binary")
 
 
 def extract(pages: DataFrame, n: int = REFERENCES, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` for every row, from its whole html (null: empty).
 
     Character references are decoded, white space inside a block is one space, blocks are joined in page order by one
-    space; nothing else is dropped. A page without text gives an empty text. Pages whose url is null or has no host are
-    one another's references. Repeated rows are each returned; other columns are not read.
+    space. A page without text gives an empty text. Pages whose url is null or has no host are taken for one host's.
+    Repeated rows are each returned; an empty table gives no rows; other columns are not read.
+
+    The html itself is never shuffled: a page meets its layout's wrapper as its packed tree.
     """
     host, _ = host_and_path(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(text_col).alias("html"), host.alias("_host"))
-    known = written(references(pages.select(id_col, url_col, text_col), n, id_col, url_col, text_col), "references").withColumnRenamed("host", "_of")
-    joined = rows.hint("merge").join(known, F.col("_host") == F.col("_of"), "left").select("page_id", "url", "html", "trees")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = written(wrappers(pages, n, id_col, url_col, text_col), "wrappers").withColumnRenamed("layout", "of")
+
+    @lean
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 3):
+            layouts, packed = [], []
+            for where, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                page = parse(text or "")
+                key = keys(page)
+                layouts.append(layout(page, key, where or ""))
+                packed.append(zlib.compress(marshal.dumps((page.names, page.parent, page.end, page.first, page.last, page.pieces, apart(page), key.tolist())), 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(layouts, pa.int64()), pa.array(packed, pa.binary())], ["page_id", "url", "layout", "packed"])
+
+    @lean
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = lru_cache(64)(lambda raw: Wrapper(*marshal.loads(zlib.decompress(raw))))
         for batch in slices(batches, 2):
-            text = [main_text(h or "", _loaded(tuple(t or ()))) for h, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    schema = T.StructType([T.StructField("page_id", pages.schema[id_col].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return joined.mapInArrow(run, schema)
+            texts = []
+            for packed, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                page = Page()
+                page.names, page.parent, page.end, page.first, page.last, page.pieces, gone, key = marshal.loads(zlib.decompress(packed))
+                texts.append(content(page, gone, load(own).template(page.parent, labels(page), key) if own else set()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    first = T.StructField("page_id", pages.schema[id_col].dataType)
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(text_col).alias("html"))
+    rows = rows.mapInArrow(pack, T.StructType([first, *T._parse_datatype_string("url string, layout long, packed binary").fields]))
+    joined = rows.hint("merge").join(known, F.col("layout") == F.col("of"), "left").select("page_id", "url", "packed", "wrapper")
+    return joined.mapInArrow(finish, T.StructType([first, *T._parse_datatype_string("url string, text string, n_chars long").fields]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import hashlib
 import os
+import random
+import time
 import zlib
 
 import pytest
@@ -145,7 +147,7 @@ def test_a_label_only_among_the_kept_is_counted(spark):
     ],
 )
 def test_text_of_single_pages(html, text):
-    assert H.main_text(html, []) == text
+    assert H.main_text(html) == text
 
 
 @pytest.mark.parametrize(
@@ -158,23 +160,88 @@ def test_text_of_single_pages(html, text):
     ],
 )
 def test_articles_are_whole(html, text):
-    assert H.main_text(html, []) == text
+    assert H.main_text(html) == text
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<div class='layout no-sidebar'><article><p>Hello world</p></article></div>", "Hello world"),
+        ("<div class='layout sidebar'><article><p>Hello</p></article></div>", "Hello"),
+        ("<article><div class='entry-header'><h1>Title</h1></div><p>one</article>", "Title one"),
+        ("<article>teaser</article><div class=long>" + "the long text " * 5 + "</div>", "teaser" + " the long text" * 5),
+        ("<form id=aspnet><div class=menu>m</div><main>text</main></form>", "text"),
+        ("<body class='sidebar'><p>a<div class='sidebar-left'>no</div>", "a"),
+        ("<main class='with-comments'>x<div id=comments>no<article>comment with an article</article></div></main>", "x"),
+        ("<div class=comments><h3>said</h3><article class=comment>no</article></div><p>yes", "yes"),
+        ("<p>a<b", "a"),
+    ],
+)
+def test_names_decide_nothing_about_the_main_part(html, text):
+    assert H.main_text(html) == text
+
+
+def test_parsing_is_linear_and_depth_has_no_limit():
+    for piece in ("<a ", "<b>", "<div>x", "<p>", "<a title='", "</p>", "<a \">", "<li><ul>", "<!--", "<div class=nav>"):
+        took = []
+        for n in (20_000, 80_000):
+            page = piece * n
+            began = time.process_time()
+            H.main_text(page)
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * took[0] + 0.5, piece
+    began = time.process_time()
+    assert H.main_text("<p>x" + "<a " * 350_000) == "x"  # 1 MB
+    assert time.process_time() - began < 5
+    deep = "<div>" * 5000 + "<nav>menu</nav>text" + "</div>" * 5000
+    assert H.main_text(deep) == "text"
+
+
+def nodes(spec, number=None):
+    number = number if number is not None else iter(range(10**6))
+    node = H.Node(spec[0], spec[1], next(number))
+    for c in spec[2:]:
+        node.children.append(nodes(c, number))
+    node.size += sum(c.size for c in node.children)
+    return node
+
+
+def brute_matching(a, b):
+    """Simple tree matching by trying every choice."""
+    if a.label != b.label:
+        return 0
+    if a.key and a.key == b.key:
+        return a.size
+
+    def best(x, y):
+        return 0 if not x or not y else max(best(x[1:], y), best(x, y[1:]), best(x[1:], y[1:]) + brute_matching(x[0], y[0]))
+
+    return 1 + best(a.children, b.children)
 
 
 def test_simple_tree_matching():
-    leaf = lambda name, digest="": [name, digest, []]
-    a = ["r", "1", [leaf("a"), leaf("b"), leaf("c")]]
-    b = ["r", "2", [leaf("b"), leaf("a"), leaf("c")]]
-    n, pairs = H.matching(a, b)
-    assert n == 3 and [x[0] for x, _ in pairs].count("c") == 1
-    assert H.matching(a, ["s", "1", []]) == (0, [])
+    a, b = (1, 0, (2, 0), (3, 0), (4, 7)), (1, 0, (3, 0), (2, 0), (4, 7))
+    n, pairs = H.matching(nodes(a), nodes(b))
+    assert n == 3 and [x.key for x, _ in pairs].count(7) == 1
+    assert H.matching(nodes(a), nodes((9, 0)))[0] == 0
+    rng = random.Random(4)
+
+    def draw(depth):
+        label, key = rng.randrange(2), rng.choice((0, 0, 5, 6))
+        return (label, key, *([draw(depth - 1) for _ in range(rng.randrange(4))] if depth and not key else []))
+
+    for _ in range(400):
+        x, y = nodes((0, 0, *[draw(2) for _ in range(4)])), nodes((0, 0, *[draw(2) for _ in range(4)]))
+        n, pairs = H.matching(x, y)
+        assert n == brute_matching(x, y) == sum(p.size if p.key and p.key == q.key else 1 for p, q in pairs)
 
 
 def test_constant_nodes_are_template(spark):
     page = lambda i: f"<body><div><span>Welcome to our site</span></div><h2>Title {i}</h2><p>Body of {i} &amp; more.</p><div>Call us today</div></body>"
     rows = [(i, f"http://h.example/{i}", page(i)) for i in range(12)] + [(50, "http://other.example/", page(50)), (51, None, None), (52, "http://h.example/e", "")]
-    got = {r.page_id: r for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert len(got) == len(rows)
+    rows = [(*r, "x", 0) for r in rows] + [(*rows[0], "y", 1)]
+    got = {r.page_id: r for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string, layout int")).collect()}
+    assert len(got) == len(rows) - 1
     assert all(got[i].text == f"Title {i} Body of {i} & more." for i in range(12))
     assert got[50].text == "Welcome to our site Title 50 Body of 50 & more. Call us today"  # nothing to compare with
     assert (got[51].text, got[51].n_chars, got[52].text) == ("", 0, "")
@@ -182,6 +249,32 @@ def test_constant_nodes_are_template(spark):
     assert H.extract(empty).count() == 0
 
 
+def test_constant_members_of_a_run_are_template(spark):
+    """Siblings of one kind only; several layouts on a host, none of them in most pages; constant notes in the text."""
+    def page(i):
+        if i % 3 == 0:
+            return f"<body><div>site menu</div><div>content {i}</div><div>imprint</div>"
+        if i % 3 == 1:
+            return f"<body><section><p>Read this first.<p>words of {i}<p>Share your thoughts.<p>and {i} more</section><section>links</section>"
+        return f"<body><table><tr><td>left {i // 3 % 2}<td>cell {i}<td>right</table>"
+
+    rows = [(i, "http://one.example/", page(i)) for i in range(30)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(30):
+        assert got[i] == (f"content {i}", f"words of {i} and {i} more", f"left {i // 3 % 2} cell {i}")[i % 3]
+    alone = [H.main_text(page(i)) for i in range(30)]
+    assert all(a != got[i] for i, a in enumerate(alone))  # without the wrapper, all boilerplate stays
+
+
+def test_the_same_words_elsewhere_are_content(spark):
+    """A constant node is template in its place only, and copies of a page don't make it constant."""
+    rows = [(i, "http://h.example/", f"<body><div><i>Home</i></div><section><p>text {i}</p>{'<p><i>Home</i></p>' if i == 3 else ''}</section>") for i in range(9)]
+    rows += [(100 + i, "http://copies.example/", "<body><div>menu</div><p>all the same</p>") for i in range(9)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "text 3 Home" and got[4] == "text 4"
+    assert got[100] == "menu all the same"
+
+
 def test_pages_table(spark):
     got = H.query(spark, "/root/testdata/sf0.001")
     pages = {r.page_id: r for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
