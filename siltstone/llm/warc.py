@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -20,21 +22,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import blobs, scratch, slices, table, written
+from siltstone.llm.common import blobs, lean, scratch, slices, table, written
 
 INDEX = "page_id long, file string, offset long, length long, url string, payload_digest string, record_type string, refers_to long"
 
 
 def _fs(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    """The file system and path of a folder that driver and executors share. Hadoop's names for S3 are understood; a scheme that Arrow has no file system for is an error."""
+    if not re.match("[a-zA-Z][a-zA-Z0-9+.-]*:", path):
+        return pafs.LocalFileSystem(), path
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
 
 
 def _uri(page: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(page))}>"
 
 
-def record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    """One WARC/1.1 record, as its own gzip member. A revisit carries no payload, but the digest and the record it refers to."""
+def record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str, size: int | None = None) -> bytes:
+    """One WARC/1.1 record, as its own gzip member. A revisit carries no payload, but its digest and ``size`` and the record it refers to. A header of our own has the URL as it is, which the target URI can't have if it holds blanks or control characters."""
     kind = "response" if refers_to is None else "revisit"
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload if refers_to is None else b"")
     target = "".join(c if " " < c else f"%{ord(c):02X}" for c in url or "")
@@ -45,7 +50,8 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, refer
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {target}",
         f"X-Page-ID: {'' if page is None else page}",
-        f"X-Payload-Length: {len(payload)}",
+        f"X-Page-URL: {json.dumps(url)}",
+        f"X-Payload-Length: {len(payload) if size is None else size}",
         f"WARC-Payload-Digest: sha1:{digest}",
         *([] if refers_to is None else [f"WARC-Refers-To: {_uri(refers_to)}", f"X-Refers-To-Page: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]),
         "Content-Type: application/http; msgtype=response",
@@ -65,44 +71,63 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def mark_revisits(pages: DataFrame, least: int = 1000, id_col: str = "page_id", text_col: str = "html") -> DataFrame:
-    """``page_id, digest, refers_to``: of pages with equal payloads of at least ``least`` bytes all but that with the largest id refer to it.
+    """``page_id, digest, size, refers_to``: of pages with equal payloads of at least ``least`` bytes all but that with the largest id refer to it. A null id is smaller than any other, and refers to the largest.
 
     Only ids and digests are shuffled. Pages with a shared payload are found by a grouping with map-side combination and
     joined by two plain scans, so adaptive execution can split the hot ones.
     """
     payload = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    narrow = written(pages.select(F.col(id_col).cast("long").alias("page_id"), F.unhex(F.sha1(payload)).alias("digest"), F.octet_length(payload).alias("size")), "payloads")
+    kind = pages.schema[id_col].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{id_col} must be a whole number, not {kind.simpleString()}")
+    narrow = written(pages.select(F.col(id_col).cast("long").alias("page_id"), F.unhex(F.sha1(payload)).alias("digest"), F.octet_length(payload).cast("long").alias("size")), "payloads")
     shared = written(narrow.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "size", "first_id"), "shared")
-    return narrow.hint("merge").join(shared, ["digest", "size"], "left").select("page_id", "digest", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")).alias("refers_to"))
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
+    return narrow.hint("merge").join(shared, ["digest", "size"], "left").select("page_id", "digest", "size", refers.alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, least: int = 1000, date: str | None = None, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
     """Writes one record per page and returns the committed index.
 
-    Null html is an empty payload, a null url an empty target. ``page_id`` must identify a page; pages that repeat an id
-    and a payload become a record each and refer to nothing in their own id. Extra columns are ignored.
+    Null html is an empty payload, a null url an empty target. Ids are whole numbers; pages that repeat one are told apart
+    by their payloads, and those that repeat both become a record each and refer to nothing in their own id. An empty
+    table gives an empty index. Extra columns are ignored.
+
+    A page's record is made and compressed where the page is read, so what meets its decision is the compressed record.
     """
     when = date or datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    revisits = mark_revisits(pages, least, id_col, text_col).filter("refers_to IS NOT NULL").select(F.col("page_id").alias("id"), "refers_to").dropDuplicates(["id"])
+    revisits = mark_revisits(pages, least, id_col, text_col).filter("refers_to IS NOT NULL").select(F.col("page_id").alias("id"), F.col("digest").alias("of"), "size", "refers_to").dropDuplicates(["id", "of"])
+
+    @lean
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            digests, records = [], []
+            for page, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), blobs(batch.column(2)), strict=True):
+                digest = hashlib.sha1(html)
+                digests.append(digest.digest())
+                records.append(record(page, url, html, digest.hexdigest(), None, when))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(records, pa.binary())], ["page_id", "url", "digest", "record"])
+
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(text_col).alias("html"))
-    rows = rows.join(revisits, rows.page_id == revisits.id, "left").select("page_id", "url", "html", "refers_to")
+    rows = rows.mapInArrow(pack, "page_id long, url string, digest binary, record binary")
+    rows = rows.join(revisits, rows.page_id.eqNullSafe(revisits.id) & (rows.digest == revisits.of), "left").select("page_id", "url", "digest", "size", "refers_to", "record")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _fs(folder)
         fs.create_dir(base, recursive=True)
         name = f"part-{uuid.uuid4().hex}.warc.gz"
         at, out = 0, None
         try:
-            for batch in slices(batches, 2):
+            for batch in slices(batches, 5):
                 made = []
-                ids, urls, refs = (batch.column(i).to_pylist() for i in (0, 1, 3))
-                for page, url, html, ref in zip(ids, urls, blobs(batch.column(2)), refs, strict=True):
+                for page, url, digest, size, ref, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                     if out is None:
                         out = fs.open_output_stream(f"{base}/{name}", compression=None)
-                    digest = hashlib.sha1(html).hexdigest()
-                    data = record(page, url, html, digest, ref, when)
+                    if ref is not None:
+                        data = record(page, url, b"", digest.hex(), ref, when, size)
                     out.write(data)
-                    made.append({"page_id": page, "file": f"{folder}/{name}", "offset": at, "length": len(data), "url": url, "payload_digest": digest, "record_type": "response" if ref is None else "revisit", "refers_to": ref})
+                    made.append({"page_id": page, "file": f"{folder}/{name}", "offset": at, "length": len(data), "url": url, "payload_digest": digest.hex(), "record_type": "response" if ref is None else "revisit", "refers_to": ref})
                     at += len(data)
                 yield pa.RecordBatch.from_pylist(made, schema=_arrow_index())
         finally:
@@ -135,11 +160,13 @@ def read(selected: DataFrame, partitions: int | None = None, payload: bool = Tru
     """Reads the records of the selected index rows: ``page_id, url, record_type, refers_to, payload_bytes, payload_digest`` and ``payload`` (null for a revisit).
 
     All is taken from the archive's records, the digest of a response computed anew from its payload. Rows are range
-    partitioned and sorted by file and offset, so that a task reads few archives forwards, in coalesced ranges.
+    partitioned and sorted by file and offset, so that a task reads few archives forwards, in coalesced ranges. ``url`` is
+    the page's, null if it had none.
     """
     fields = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payload
     schema = T._parse_datatype_string(fields)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, name, fs = None, None, None
         for batch in batches:
@@ -165,7 +192,7 @@ def read(selected: DataFrame, partitions: int | None = None, payload: bool = Tru
                         head, body = parse(data[spots[i][0] - start : sum(spots[i]) - start])
                         ref = head.get("X-Refers-To-Page")
                         digest = hashlib.sha1(body).hexdigest() if ref is None else head["WARC-Payload-Digest"].removeprefix("sha1:")
-                        out.append({"page_id": int(head["X-Page-ID"]) if head["X-Page-ID"] else None, "url": head["WARC-Target-URI"], "record_type": head["WARC-Type"], "refers_to": None if ref is None else int(ref), "payload_bytes": len(body) if ref is None else int(head["X-Payload-Length"]), "payload_digest": digest} | ({"payload": body if ref is None else None} if payload else {}))
+                        out.append({"page_id": int(head["X-Page-ID"]) if head["X-Page-ID"] else None, "url": json.loads(head["X-Page-URL"]), "record_type": head["WARC-Type"], "refers_to": None if ref is None else int(ref), "payload_bytes": len(body) if ref is None else int(head["X-Payload-Length"]), "payload_digest": digest} | ({"payload": body if ref is None else None} if payload else {}))
                     yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), *([("payload", pa.binary())] if payload else [])]))
         if file is not None:
             file.close()

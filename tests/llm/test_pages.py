@@ -36,12 +36,23 @@ def test_warc_round_trip(spark):
         ref = {1: 2, 5: 6}.get(page)
         assert (r.record_type, r.refers_to) == (("revisit", ref) if ref else ("response", None))
         assert r.payload == (None if ref else raw)
-        assert "\n" not in r.url
+        assert r.url == url
     some = W.read(index.filter("page_id IN (2, 7)"))
     assert {r.page_id for r in some.collect()} == {2, 7}
     assert W.write(pages.limit(0), scratch(spark, "warc")).count() == 0
 
 
+def test_repeated_and_null_ids_are_told_apart_by_payload(spark):
+    long, other = "long " * 300, "other " * 300
+    pages = spark.createDataFrame([(1, "u", long), (1, "u", other), (2, "u", long), (None, "u", long), (2, "u", long), (3, None, "z" * 999), (4, "", "z" * 999)], "page_id long, url string, html string")
+    index = W.write(pages, scratch(spark, "warc"))
+    got = sorted((str(r.page_id), r.payload_bytes, r.record_type, str(r.refers_to)) for r in W.read(index).collect())
+    assert got == [("1", 1500, "revisit", "2"), ("1", 1800, "response", "None"), ("2", 1500, "response", "None"), ("2", 1500, "response", "None"), ("3", 999, "response", "None"), ("4", 999, "response", "None"), ("None", 1500, "revisit", "2")]
+    assert {r.url for r in W.read(index.filter("page_id IN (3, 4)")).collect()} == {None, ""}
+    with pytest.raises(TypeError):
+        W.write(pages.withColumn("page_id", F.col("page_id").cast("string")), scratch(spark, "warc"))
+
+
 def test_records_are_gzip_members_in_order(spark, tmp_path):
     import gzip
 
