@@ -17,11 +17,10 @@ def components(edges: DataFrame) -> DataFrame:
     path rounds. Everything stays in tables: joins and groupings with map-side combination, written to the shared folder
     in each round. No edges give no rows; repeated edges are fine, and a loop, or a node that has only loops, is left out.
     """
-    tied = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "tied")
-    low = tied.groupBy("a").agg(F.min("b").alias("low"))
-    thin = tied.join(low, "a").filter("b != low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct().unionByName(low.select("a", F.col("low").alias("b")))
-    thin = written(thin, "thin")
-    links = written(thin.union(thin.select("b", "a")), "links")
+    pairs = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+    low = pairs.groupBy("a").agg(F.min("b").alias("low"))
+    thin = written(pairs.join(low, "a").filter("b != low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct().unionByName(low.select("a", F.col("low").alias("b"))), "thin")
+    links = thin.union(thin.select("b", "a"))
     labels = written(links.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label"), F.lit(True).alias("changed")), "labels")
     while labels.filter("changed").limit(1).count():
         near = links.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))

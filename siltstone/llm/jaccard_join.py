@@ -15,20 +15,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.common import blobs, lean, slices, splitmix, table, written
 from siltstone.llm.components import components
-from siltstone.llm.exact_dedup import one_per_row, text_digest, without
+from siltstone.llm.exact_dedup import one_per_row, without
 from siltstone.llm.shingles import distinct, hashed
 
 TOKENS = 64
 MULTIPLY = splitmix(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
 ADD = splitmix(np.arange(1001, TOKENS + 1001, dtype=np.uint64))
 #: Rows of a bucket that are compared in one go.
-LIMIT = 512
+LIMIT = 2048
 #: Splits for which the first runs are enough.
 SHALLOW = 2
 #: A block of sets to compare has BLOCK rows; those of a group of over 16 * BLOCK rows have more, up to MOST, and none has over BYTES of shingles.
@@ -48,8 +48,13 @@ def runs_for(recall: float, similarity: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - chance(similarity, similarity, depth)))
 
 
+def text_key(c: Column) -> Column:
+    """The MD5 of a text as it is (null: empty), which with a document's id tells a row."""
+    return F.unhex(F.md5(F.coalesce(c, F.lit("")).cast("binary")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, digest, copy_key, sketch, short`` of each whole text: digest of the text, digest of its folded words, 64 minhash values of its shingles and the lowest byte of each (null without words). The id keeps its type."""
+    """``doc_id, digest, copy_key, sketch, short`` of each whole text: MD5 of the text, MD5 of its folded words, 64 minhash values of its shingles and the lowest byte of each (null without words). The id keeps its type."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     short[i] = low[row].astype(np.uint8).tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sketch, pa.binary()), pa.array(short, pa.binary())], ["doc_id", "digest", "copy_key", "sketch", "short"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T._parse_datatype_string("digest binary, copy_key binary, sketch binary, short binary").fields]))
 
 
@@ -192,22 +197,25 @@ def _search(reps: DataFrame, runs: range, similarity: float, least: int, limit:
     deep: DataFrame | None = None
     for at in range(1, depth + 1):
         paths = written(level.mapInArrow(_split(runs, similarity), "node long, key long, within long"), "paths")
-        sizes = written(paths.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
-        rows = written(paths.join(sizes, "key").select("node", "key", "size", "within"), "shared")
         same = ["size", "hub", "total", "mix"]
-        marks = rows.groupBy("key").agg(F.max("size").alias("size"), F.max("within").alias("within"), F.min("node").alias("hub"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("total"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("mix"))
-        marks = written(marks, "marks")
+        marks = paths.groupBy("key").agg(
+            F.count(F.lit(1)).alias("size"), F.max("within").alias("within"), F.min("node").alias("hub"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("total"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("mix")
+        )
+        marks = marks.filter("size > 1")
         picked = written(marks.groupBy(*same).agg(F.min("key").alias("key"), F.min("within").alias("within")), "picked")
         over = F.col("size") > limit
         family = over & (F.coalesce(F.col("size") >= dense * F.col("within"), F.lit(False)) | F.lit(at == depth))
-        small = rows.filter(~over).join(picked.filter(~over).select("key"), "key").join(reps.select("node", "short"), "node").select("key", "node", "short")
+        small = paths.join(picked.filter(~over).select("key"), "key").join(reps.select("node", "short"), "node").select("key", "node", "short")
         edges = small.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_edges(least), "a long, b long")
-        stars = rows.filter(over).join(picked.filter(family).select("key", "hub"), "key").filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        out = edges.unionByName(stars) if out is None else out.unionByName(edges).unionByName(stars)
-        again = marks.filter(over).join(picked.filter(over & ~family).select(*same), same).select("key")
-        if at == depth or again.limit(1).count() == 0:
+        out = edges if out is None else out.unionByName(edges)
+        if not picked.filter(over).limit(1).count():
+            break
+        stars = paths.join(picked.filter(family).select("key", "hub"), "key").filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        out = out.unionByName(stars)
+        if at == depth or not picked.filter(over & ~family).limit(1).count():
             break
-        level = written(rows.join(again, "key").join(reps.select("node", "sketch"), "node").select("node", "sketch", "key", "size"), "split")
+        again = marks.filter(over).join(picked.filter(over & ~family).select(*same), same).select("key", "size")
+        level = written(paths.join(again, "key").join(reps.select("node", "sketch"), "node").select("node", "sketch", "key", "size"), "split")
         if at == SHALLOW:
             deep = level.select("node")
     return out, deep
@@ -308,6 +316,20 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _perhaps(texts: DataFrame, wanted: DataFrame, bits: int = 26) -> DataFrame:
+    """The rows of ``texts`` whose ``digest`` may be in ``wanted``, so that few others are shuffled to meet it.
+
+    A bit for each hash of a wanted digest, in at most 2**bits bits (8 MB, however many there are: all that is broadcast).
+    With very many all bits are set, and all rows pass.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    maps = wanted.select(slot("digest").alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("map"))
+    at = F.bitmap_bit_position(slot("digest"))
+    byte = F.conv(F.hex(F.substring("map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = texts.join(F.broadcast(written(maps, "bits")), F.bitmap_bucket_number(slot("digest")) == F.col("bucket"))
+    return met.filter(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).select(*texts.columns)
+
+
 def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, digest, copy_id, class_id, n_links, kept`` for every row.
 
@@ -320,7 +342,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recal
     An empty table gives no rows; other columns are ignored.
 
     ``kept`` is true for one document of each class: that with the smallest id, of several with that id the one with the
-    smallest ``digest`` (SHA-256 of the text with A-Z lower-cased). Rows that repeat both are all marked.
+    smallest ``digest`` (MD5 of the text as it is). Rows that repeat both are all marked.
 
     Copies of the same words are one set in the join, counted by a grouping with map-side combination. Links are found
     with at least the given recall, and those found are exact.
@@ -331,9 +353,9 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recal
     reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "reps")  # numbers are fixed by writing them
     labels = written(components(candidates(reps, similarity[0] / similarity[1], recall)).select(F.col("node").alias("of"), F.col("label").alias("group")), "labels")
     members = written(reps.join(labels, F.col("node") == F.col("of")).select("node", "group", "copies", "lead"), "members")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("digest", text_digest(F.col("text")))
+    texts = _perhaps(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("digest")), members.select("lead.digest"))
     same = texts.digest.eqNullSafe(members["lead.digest"]) & texts.id.eqNullSafe(members["lead.doc_id"])
-    sets = texts.join(members, same).select("node", "group", "copies", "text").mapInArrow(_sets, "node long, group long, copies long, shingles binary")
+    sets = texts.hint("merge").join(members, same).select("node", "group", "copies", "text").mapInArrow(_sets, "node long, group long, copies long, shingles binary")
     sets = written(sets.dropDuplicates(["node"]), "sets")  # rows repeated whole
     pairs = _blocks(sets, similarity[0] / similarity[1])
     found = pairs.repartition("group", *SIDES).sortWithinPartitions("group", *SIDES).mapInArrow(_exact(*similarity), "node long, links long, root long")
@@ -362,7 +384,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recal
 def keep_one(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, less all but one document of each class of ``near_duplicates``; decided row by row, not by id. Of rows that repeat id and text one stays. Texts without words all stay, but for such repeats. An empty table gives no rows."""
     decided = written(near_duplicates(docs, similarity, recall, id_col, text_col).select("doc_id", "digest", "kept"), "decided")
-    keyed = docs.withColumn("_digest", text_digest(F.col(text_col)))
+    keyed = docs.withColumn("_digest", text_key(F.col(text_col)))
     repeated = decided.filter("kept").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "digest")
     return one_per_row(without(keyed, decided.filter("NOT kept").select("doc_id", "digest"), id_col), repeated, id_col).select(docs.columns)
 

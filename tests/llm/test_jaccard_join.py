@@ -123,6 +123,15 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_the_bits_let_all_wanted_rows_pass(spark):
+    texts = spark.range(3000).selectExpr("id", "string(id) text", "unhex(md5(string(id))) digest")
+    wanted = texts.filter("id % 30 = 0").select("digest")
+    for bits, most in ((26, 110), (10, 500), (4, 3000)):
+        got = {r.id for r in J._perhaps(texts, wanted, bits).collect()}
+        assert got >= set(range(0, 3000, 30)) and len(got) <= most
+    assert J._perhaps(texts, wanted.limit(0)).count() == 0
+
+
 def test_shingles_of_segments_and_parts(monkeypatch):
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["the", "of", "né", "x1", "A", "..."]) + rng.choice(["", ",", "  "]) for _ in range(rng.randrange(120))).encode() for _ in range(80)] + [b"", b"a b", b"z" * 300]
