@@ -13,10 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import FOLD, blobs, slices, table, written
-
-_built: dict[str, ahocorasick.Automaton | None] = {}
-
+from siltstone.llm.common import FOLD, blobs, kept, lean, slices, table, written
 
 def windows(items: DataFrame, size: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``gram, n, item``: all windows of ``size`` consecutive words of each item, or all its words if fewer; no row for an item without words. An item without an id has its windows, with a null as item."""
@@ -35,19 +32,19 @@ def windows(items: DataFrame, size: int = 10, id_col: str = "item_id", text_col:
 
 
 def _automaton(shared: Broadcast) -> ahocorasick.Automaton | None:
-    """The automaton over one block of windows, built once per Python worker. Its alphabet is bytes, so offsets are byte offsets."""
-    if shared.value["key"] not in _built:
-        _built.clear()
-        found: dict[str, tuple[int, list[str]]] = {}
-        for gram, n, item in shared.value["grams"]:
-            found.setdefault(" " + gram.encode().decode("latin-1") + " ", (n, []))[1].append(item)
+    """The automaton over one block of windows, held by a Python worker until it needs another model. Its alphabet is bytes, so offsets are byte offsets."""
+
+    def build() -> ahocorasick.Automaton | None:
         machine = ahocorasick.Automaton()
-        for gram, (n, items) in found.items():
-            machine.add_word(gram, (len(gram), n, tuple(items)))
-        if found:
-            machine.make_automaton()
-        _built[shared.value["key"]] = machine if found else None
-    return _built[shared.value["key"]]
+        for gram, n, items in shared.value["grams"]:
+            padded = " " + gram.encode().decode("latin-1") + " "
+            machine.add_word(padded, (len(padded), n, tuple(items)))
+        if not len(machine):
+            return None
+        machine.make_automaton()
+        return machine
+
+    return kept(("windows", shared.value["key"]), build)
 
 
 def _hits(machine: ahocorasick.Automaton | None, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
@@ -63,7 +60,7 @@ def _hits(machine: ahocorasick.Automaton | None, words: list[bytes]) -> tuple[li
             gaps = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
         first = int(np.searchsorted(gaps, end - length + 1))
         spans.append([first, first + n])
-        items.update(x for x in of if x is not None)
+        items.update(of)
     return merge(spans), items
 
 
@@ -112,7 +109,7 @@ def scan(docs: DataFrame, items: DataFrame, size: int = 10, block_bytes: int = 1
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, size: int = 10, block_bytes: int = 128 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, in which no window of an item occurs; decided where the rows are, without a shuffle."""
+    """The rows of ``docs``, with all their columns, in which no window of an item occurs; decided where the rows are, without a shuffle. A null text has no words and stays; repeated rows are each judged; without items all rows stay; an empty table gives no rows. A larger benchmark is met in blocks, as in ``scan``."""
     at = docs.columns.index(text_col)
     for shared in _blocks(items, size, block_bytes, item_col, item_text_col):
         docs = docs.mapInArrow(_filter(shared, at), docs.schema)
@@ -120,17 +117,19 @@ def keep_clean(docs: DataFrame, items: DataFrame, size: int = 10, block_bytes: i
 
 
 def _blocks(items: DataFrame, size: int, block_bytes: int, item_col: str, item_text_col: str) -> Iterator[Broadcast]:
-    """The benchmark's windows, split by their hash into as many blocks as keep each under ``block_bytes`` as an automaton; one empty block if there is none."""
-    grams = written(windows(items, size, item_col, item_text_col), "windows")
-    # in an automaton each byte of a window takes some 40 bytes; a row and its Python objects some 60 more
-    total = (grams.agg(F.sum(F.octet_length("gram") + 60)).first()[0] or 0) * 40
+    """The benchmark's distinct windows with the ids of their items, split by their hash into as many blocks as keep each under ``block_bytes`` as an automaton; one empty block if there is none."""
+    grams = windows(items, size, item_col, item_text_col).groupBy("gram", "n").agg(F.array_sort(F.collect_set("item")).alias("of"))
+    grams = written(grams, "windows")
+    # in an automaton each byte of a window takes some 40 bytes; a window, its Python objects and ids some 60 and 60 each more
+    total = grams.agg(F.sum(40 * F.octet_length("gram") + 60 + 60 * F.size("of"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     for block in range(blocks):
-        rows = grams.filter(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == block).select("gram", "n", "item").collect()
+        rows = grams.filter(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == block).select("gram", "n", "of").collect()
         yield items.sparkSession.sparkContext.broadcast({"key": uuid.uuid4().hex, "grams": [tuple(r) for r in rows]})
 
 
 def _filter(shared: Broadcast, at: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _automaton(shared)
         for batch in slices(batches, at):
@@ -140,6 +139,7 @@ def _filter(shared: Broadcast, at: int):
 
 
 def _pass(shared: Broadcast, last: bool):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _automaton(shared)
         for batch in slices(batches, 1):

@@ -9,12 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import slices, table
+from siltstone.llm.common import kept, lean, slices, table
 from siltstone.llm.quality_cnn import crc
 
 #: Codes of the alphabet: 0 is anything that isn't a letter, 1 a letter that no language has; each letter of the training texts has its own from 2.
@@ -189,23 +188,13 @@ def sample(docs: DataFrame, letters_in_all: int = 160_000, piece: int = 512, fol
     return {k: v[:each] for k, v in out.items()}
 
 
-_learned: dict[int, Languages] = {}
-
-
-def _languages(shared: Broadcast) -> Languages:
-    key = hash(tuple(sorted(shared.value.items())))
-    if key not in _learned:
-        _learned.clear()
-        _learned[key] = Languages(shared.value)
-    return _learned[key]
-
-
 def identify(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score`` for every row from its whole text. A null text, or one without a letter, is ``und`` with score 0. Repeated rows are each returned; other columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(texts)  # bounded by the sample
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _languages(shared)
+        known = kept(("languages", hash(tuple(sorted(shared.value.items())))), lambda: Languages(shared.value))
         for batch in slices(batches, 1, 1 << 20):
             names, sure = known.predict([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(sure, pa.float64())], ["doc_id", "lang_pred", "score"])

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import blobs, slices, table
+from siltstone.llm.common import blobs, lean, slices, table
 
 CHUNK, OVERLAP, STRIDE, DIM, HIDDEN = 256, 16, 4, 8, 16
 
@@ -34,7 +34,7 @@ def chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(texts)), n)
     base = np.concatenate(([0], np.cumsum(size)[:-1]))
     start = base[owner] + (np.arange(len(owner)) - first[owner]) * (CHUNK - OVERLAP)
-    data = np.frombuffer(b"".join(texts) + bytes(CHUNK), np.uint8)
+    data = np.frombuffer(b"".join([*texts, bytes(CHUNK)]), np.uint8)
     out = np.lib.stride_tricks.sliding_window_view(data, CHUNK)[np.minimum(start, len(data) - CHUNK)]
     left = (base + size)[owner] - start
     short = np.flatnonzero(left < CHUNK)
@@ -107,10 +107,9 @@ class Network:
         return [g_emb.astype(np.float32), g_filters, g_pool.sum(0), pooled.T @ g_hidden, g_hidden.sum(0), both.T @ g, g.sum(keepdims=True)]
 
 
-def train(texts: list[list[bytes]], labels: np.ndarray, weights: np.ndarray, filters: int = 32, epochs: int = 14, batch: int = 48, rate: float = 0.02, seed: int = 7) -> Network:
-    """Fits a network to texts that are given as lists of chunks, with Adam and a falling rate; deterministic."""
+def train(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, filters: int = 32, epochs: int = 14, batch: int = 48, rate: float = 0.02, seed: int = 7) -> Network:
+    """Fits a network to texts that are given as their chunks, with Adam and a falling rate; deterministic."""
     net = Network.new(filters, seed)
-    rows = [np.stack([np.frombuffer(c.ljust(CHUNK, b"\0"), np.uint8) for c in t]) for t in texts]
     rng = np.random.default_rng(seed)
     names = ("emb", "filters", "bias", "mix", "mix_bias", "out", "off")
     m = [np.zeros_like(getattr(net, n)) for n in names]
@@ -130,41 +129,49 @@ def train(texts: list[list[bytes]], labels: np.ndarray, weights: np.ndarray, fil
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2000, chunks_per_text: int = 8, fold: int = 1, folds: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
-    """Learns from a bounded sample of labelled documents outside the held-out fold.
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1200, bytes_per_label: int = 3 << 20, fold: int = 1, folds: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
+    """Learns from all of the texts of a bounded sample of labelled documents outside the held-out fold.
 
-    The bound: at most ``per_label`` documents of each label (those with the smallest hash of their id), and of each at
-    most ``chunks_per_text`` chunks, spread evenly over the whole text. Each label's documents are weighted so that the
-    labels count as often as in all labelled rows. Without labels the network is untrained; with one label only, it
-    learns that label. Null and other labels than 0 and 1 are left out.
+    The bound: at most ``per_label`` documents of each label and ``bytes_per_label`` bytes of text, in the order of a
+    hash of their ids; a document that would go over the bytes is left out. Each label's documents are weighted so that
+    the labels count as often as in all labelled rows. Without labels the network is untrained; with one label only, it
+    learns that label. Null and other labels than 0 and 1 are left out; a null text counts as empty; rows that repeat an
+    id are each learned.
     """
     rows = labels.filter((F.pmod(crc(id_col), F.lit(folds)) != fold) & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    picked = [rows.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(per_label) for k in (0, 1)]
-    chosen = picked[0].unionByName(picked[1])  # at most 2 * per_label narrow rows: broadcast
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2):
-            out = []
-            for text in blobs(batch.column(2)):
-                got, _ = chunks([text])
-                keep = np.unique(np.linspace(0, len(got) - 1, min(len(got), chunks_per_text)).round().astype(int))
-                out.append([got[i].tobytes() for i in keep])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.binary()))], ["id", "label", "parts"])
-
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "text")
-    got = sample.mapInArrow(cut, T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("label int, parts array<binary>").fields])).collect()
-    got.sort(key=lambda r: (r["id"], r["parts"]))
+    if not counts:
+        return Network.new(32, 7)
+    # by a share of the hashes some more than are needed are drawn, in all tasks alike
+    draw = F.pmod(F.xxhash64("id"), F.lit(1_000_000_007))
+    share = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, min(1.0, 1.5 * per_label / n + 50 / n))])
+    drawn = rows.withColumn("draw", draw).filter(F.col("draw") < share[F.col("label")] * 1_000_000_007)  # about 3 * per_label narrow rows: broadcast
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(drawn), "id")
+    sizes = texts.select("id", "label", "draw", F.octet_length("text").alias("size")).collect()
+    left = {label: [per_label, bytes_per_label] for label in counts}
+    chosen = set()
+    for r in sorted(sizes, key=lambda r: (r["draw"], str(r["id"]), r["label"], r["size"])):
+        room = left[r["label"]]
+        if room[0] and r["size"] <= room[1]:
+            room[0] -= 1
+            room[1] -= r["size"]
+            chosen.add((r["id"], r["label"], r["size"]))
+    kinds = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("label int, size int").fields])
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(sorted(chosen, key=str), kinds))
+    got = texts.withColumn("size", F.octet_length("text")).join(wanted, ["id", "label", "size"]).select("id", "label", "text").collect()
+    got.sort(key=lambda r: (str(r["id"]), r["text"]))
     if not got:
         return Network.new(32, 7)
     label = np.array([r["label"] for r in got], np.float64)
     weight = np.array([counts[r["label"]] / max(1, sum(label == r["label"])) for r in got])
-    return train([[bytes(p) for p in r["parts"]] for r in got], label, weight / weight.mean())
+    rows_, first = chunks([r["text"].encode("utf-8", "surrogatepass") for r in got])
+    return train([rows_[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], label, weight / weight.mean())
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score, predicted`` for every row from its whole text; a null text counts as empty. Other columns are not read."""
+    """``doc_id, score, predicted`` for every row from its whole text; a null text counts as empty. Repeated rows are each returned, an empty table gives no rows. Other columns are not read."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 1 << 20):
             p = net.score(blobs(batch.column(1)))
@@ -175,9 +182,10 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the network predicts to be good; decided where the rows are, without a shuffle."""
+    """The rows of ``docs``, with all their columns, that the network predicts to be good; decided where the rows are, without a shuffle. A null text is judged as an empty one; repeated rows are each judged; an empty table gives no rows."""
     at = docs.columns.index(text_col)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, at, 1 << 20):
             yield batch.filter(pa.array(net.score(blobs(batch.column(at))) >= 0.5))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import LOWER, UPPER, table, written
+from siltstone.llm.common import LOWER, UPPER, lean, table, written
 
 #: Rules of the registered query: host and path, and whether they allow.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -46,6 +46,7 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
 def grams(urls: DataFrame, order: int = ORDER) -> DataFrame:
     """``label, gram, n``: how often each run of up to ``order + 1`` characters occurs in the URLs of each label, over all rows. A URL starts with ``order`` starts of text and ends with one end."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[tuple[str, str]] = Counter()
 
@@ -108,6 +109,7 @@ class Ratio:
 def asked_runs(urls: DataFrame, order: int = ORDER) -> DataFrame:
     """``row, gram, n``: the runs of ``order + 1`` characters of each URL, which has one for each of its characters and its end; ``urls`` has ``row`` and a non-null ``url``."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[int] = []
         found: list[str] = []

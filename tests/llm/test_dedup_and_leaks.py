@@ -121,7 +121,7 @@ DOCS = [(1, "x one,two THREE four five; six seven eight nine ten eleven y"), (2,
 def test_scan_against_brute_force(spark):
     docs, items = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
     want = brute(DOCS, [x for x in ITEMS if x[0] is not None])
-    for block in (128 << 20, 9000):  # one automaton, and several
+    for block in (128 << 20, 2500):  # one automaton, and several
         got = {r.doc_id: r for r in L.scan(docs, items, block_bytes=block).collect()}
         assert {d: (r.n_words, r.n_hit, r["items"]) for d, r in got.items()} == want
         assert [DOCS[0][1][s.start : s.end] for s in got[1].spans] == ["one,two THREE four five; six seven eight nine ten eleven"]
@@ -129,7 +129,7 @@ def test_scan_against_brute_force(spark):
         kept = L.keep_clean(docs.selectExpr("'x' items", "text", "doc_id"), items, block_bytes=block)
         assert kept.columns == ["items", "text", "doc_id"]
         assert {r.doc_id for r in kept.collect()} == {d for d, (_, n, _) in want.items() if not n}
-    assert len(list(L._blocks(items, 10, 9000, "item_id", "text"))) > 1
+    assert len(list(L._blocks(items, 10, 2500, "item_id", "text"))) > 1
     assert {r.n_hit for r in L.scan(docs, items.limit(0)).collect()} == {0}
     assert L.scan(docs.limit(0), items).count() == 0
 
@@ -137,7 +137,7 @@ def test_scan_against_brute_force(spark):
 def test_items_without_an_id_are_hit(spark):
     docs = spark.createDataFrame([(1, "some Lost, words and a short item"), (2, "other words")], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    for block in (128 << 20, 9000):
+    for block in (128 << 20, 2500):
         got = {r.doc_id: (r.n_hit, r["items"]) for r in L.scan(docs, items, block_bytes=block).collect()}
         assert got == {1: (4, ["2", "5"]), 2: (0, [])}
         assert [r.doc_id for r in L.keep_clean(docs, items.filter("item_id IS NULL"), block_bytes=block).collect()] == [2]

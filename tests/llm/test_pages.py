@@ -1,8 +1,11 @@
 import hashlib
+import math
 import os
 import random
+import re
 import time
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,6 +137,64 @@ def test_every_run_counts(spark):
         assert abs(got[i].score - model.score(u)) < 1e-8, u
 
 
+def plain_verdicts(urls, rules):
+    """Rules, counts, smoothed likelihoods, calibration and verdicts by dictionaries and loops."""
+
+    def rule(u):
+        if "://" not in u:
+            return None
+        rest = u.split("://", 1)[1]
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        host = host.translate({c: c + 32 for c in range(65, 91)})
+        fits = [r for r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        return max(fits, key=len, default=None)
+
+    decided = {u: rules[rule(u)] for u in urls if rule(u)}
+    n, total = {"allow": Counter(), "block": Counter()}, {"allow": Counter(), "block": Counter()}
+    pad = lambda u: "\x02" * 5 + u.translate({c: c + 32 for c in range(65, 91)}) + "\x03"
+    for u in urls:
+        if u in decided and zlib.crc32(u.encode()) % 5:
+            t = pad(u)
+            for i in range(5, len(t)):
+                for k in range(6):
+                    n[decided[u]][t[i - k : i + 1]] += 1
+                    total[decided[u]][t[i - k : i]] += 1
+
+    def p(label, gram):
+        out = 1 / 256
+        for k in range(1, 7):
+            part = gram[-k:]
+            if total[label][part[:-1]]:
+                out = (n[label][part] + 4 * out) / (total[label][part[:-1]] + 4)
+        return out
+
+    def score(u):
+        t = pad(u)
+        return sum(math.log(p("allow", t[i - 5 : i + 1]) / p("block", t[i - 5 : i + 1])) for i in range(5, len(t))) / (len(t) - 5)
+
+    kept = [(decided[u], max(-400, min(400, math.floor(score(u) * 100 + 1e-9)))) for u in urls if u in decided and zlib.crc32(u.encode()) % 5 == 0]
+    sizes = Counter(x for x, _ in kept)
+    wrong = lambda c: sum(1 / sizes[x] for x, b in kept if (b >= c) != (x == "allow"))
+    cut = min(range(-400, 401), key=lambda c: (round(wrong(c), 9), abs(c), c)) / 100
+    return {u: decided.get(u) or ("allow" if score(u) >= cut else "block") for u in urls}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_against_a_plain_scorer(spark, sf):
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").collect()}
+    want = plain_verdicts(list(pages.values()), U.RULES)
+    got = {r.page_id: r.verdict for r in U.query(spark, f"/root/testdata/{sf}").collect()}
+    assert got == {i: want[u] for i, u in pages.items()}
+
+
+def test_url_filter_takes_any_row(spark):
+    rows = [(1, "http://a.org/fr/1"), (1, "http://a.org/fr/1"), (2, None), (3, "http://b.net/x"), (None, "http://c.com/" + "q" * 100_000), (4, "")]
+    df = spark.createDataFrame([(*r, "h", "p", "g", 5, "l") for r in rows], "page_id long, url string, host string, path string, gram string, row int, label string")
+    got = U.judge(df, U.RULES).collect()
+    assert sorted((str(r.page_id), r.host, r.rule) for r in got) == [("1", "a.org", "org/fr/"), ("1", "a.org", "org/fr/"), ("2", "", None), ("3", "b.net", "net/"), ("4", "", None), ("None", "c.com", None)]
+
+
 def test_a_label_only_among_the_kept_is_counted(spark):
     kept = next(u for i in range(99) if zlib.crc32((u := f"http://bad.biz/{i}").encode()) % 5 == 0)
     df = spark.createDataFrame([(1, "http://good.org/news"), (2, kept), (3, "http://bad.com/7"), (4, "http://god.org/news")], "page_id long, url string")
@@ -292,7 +353,6 @@ def test_pages_table(spark):
     for r in got.collect():
         inner = pages[r.page_id].html.split("<article>", 1)[1].split("</article>")[0]
         import html as h
-        import re
 
         plain = h.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1|br)[^>]*>", " ", inner)))
         assert r.text == " ".join(plain.split()) and r.n_chars == len(r.text)
