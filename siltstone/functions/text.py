@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Words of code that carry no meaning for retrieval.
 STOPWORDS = (
     "def class return import from self cls the a an is are was were be been to of in on for with and or not if else elif while try except "
-    "finally as pass break continue lambda yield global nonlocal assert del raise True False None fn let mut pub impl struct enum trait mod "
+    "finally as pass break continue lambda yield global nonlocal assert del raise fn let mut pub impl struct enum trait mod "
     "use match where ref move const static type async await box dyn"
 ).split()
 # Keywords of each kind of claim; the first kind with a keyword in the text is the claim's.

@@ -28,13 +28,13 @@ bm AS (
   FROM q JOIN df USING (term) JOIN tf USING (term) JOIN dl USING (id), tot GROUP BY ALL)"""
 
 
-def _bm25(t):
-    return R.bm25(t("documents"), t("benchmark"))
+def _bm25(t, k):
+    return R.bm25(t("documents"), t("benchmark"), k)
 
 
 @query(f"WITH {BM25} SELECT query_id, id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm QUALIFY rank <= 5")
 def bm25_top5(t):
-    return R.top(_bm25(t), 5).withColumn("score", F.round("score", 5))
+    return _bm25(t, 5).withColumn("score", F.round("score", 5))
 
 
 @query(f"""WITH {BM25},
@@ -42,7 +42,7 @@ pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 boost AS (SELECT query_id, id, CASE WHEN source = 'src0' THEN score * 1.1 ELSE score END AS score FROM pool JOIN documents ON doc_id = id)
 SELECT query_id, id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM boost QUALIFY rank <= 3""")
 def bm25_boosted_pool(t):
-    scores = _bm25(t).join(t("documents").select(F.col("doc_id").alias("id"), "source"), "id")
+    scores = _bm25(t, 6).drop("rank").join(t("documents").select(F.col("doc_id").alias("id"), "source"), "id")
     return R.boosted(scores, 3, F.col("source") == "src0").select("query_id", "id", F.round("score", 5).alias("score"), "rank")
 
 
@@ -53,7 +53,7 @@ k AS (SELECT query_id, id, score FROM a LEFT JOIN f USING (id) WHERE score >= 5
 SELECT query_id, id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM k QUALIFY rank <= 3""")
 def quality_filtered(t):
     facts = t("documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 5).alias("retries"))
-    return R.filtered(R.top(_bm25(t), 10), facts, 5.0, 2, 3).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
+    return R.filtered(_bm25(t, 10), facts, 5.0, 2, 3).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
 
 
 COS = """
@@ -84,7 +84,7 @@ sem AS (SELECT query_id // 20 AS query_id, id, score, rank FROM (SELECT *, row_n
 
 def _both(t):
     sem = nearest(_asked(t), t("embeddings"), 10).withColumn("query_id", F.expr("query_id div 20"))
-    return R.top(_bm25(t), 10), sem
+    return _bm25(t, 10), sem
 
 
 @query(f"""{LEX}, u AS (SELECT query_id, id, round(coalesce(1.0 / (59 + lex.rank), 0) + coalesce(1.0 / (59 + sem.rank), 0), 9) AS score FROM lex FULL JOIN sem USING (query_id, id))
