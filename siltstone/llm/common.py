@@ -12,9 +12,9 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.sources.scratch import scratch, shared_dir, written
+from siltstone.sources.scratch import scratch, shared_dir, sized, written
 
-__all__ = ["FOLD", "LOWER", "UPPER", "Characters", "ascii_lower", "blobs", "kept", "lean", "scratch", "shared_dir", "slices", "splitmix", "table", "written"]
+__all__ = ["FOLD", "LOWER", "UPPER", "Characters", "ascii_lower", "blobs", "kept", "lean", "scratch", "shared_dir", "sized", "slices", "splitmix", "table", "written"]
 
 #: A-Z and a-z, for lower-casing of ASCII letters only.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,13 +55,15 @@ def blobs(column: pa.Array) -> list[bytes]:
 
 
 _kept: dict[Hashable, object] = {}
+_used: set[Hashable] = set()
 
 
 def kept(key: Hashable, make: Callable[[], object]) -> object:
-    """A worker's one model, made by the first task that asks for ``key``. Another key takes its place, so a worker that serves many operators holds no more than the largest of their models."""
+    """A worker's one model, made by the first task that asks for ``key``. Another key, or a ``lean`` task that asks for none, takes its place, so a worker that serves many operators holds no more than the one at work needs."""
     if key not in _kept:
         _kept.clear()
         _kept[key] = make()
+    _used.add(key)
     return _kept[key]
 
 
@@ -69,6 +71,7 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     """``run`` for ``mapInArrow``, giving what it has freed back to the machine when its task ends: workers are used again, and wait with what they hold."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _used.clear()
         try:
             yield from run(batches)
         finally:
@@ -78,6 +81,8 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 
 def _release() -> None:
+    if not _used:
+        _kept.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

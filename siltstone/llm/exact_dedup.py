@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import ascii_lower, scratch, table, written
+from siltstone.llm.common import ascii_lower, scratch, sized, table, written
 
 COLUMNS = ("digest", "keep_id", "copies", "repeats", "batch")
 
@@ -130,22 +130,25 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_
     sort-merge join of two plain scans, whose hot digests adaptive execution can split.
     """
     own = index is None
-    index = index or DigestIndex(docs.sparkSession, id_type=docs.schema[id_col].dataType)
+    rows = written(digests(docs, id_col, text_col), "rows")
+    n = rows.count()
+    if own:  # asked and forgotten: as many buckets as these rows need
+        most = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        index = DigestIndex(docs.sparkSession, buckets=max(1, min(most, -(-n // 100_000))), id_type=docs.schema[id_col].dataType)
     if docs.schema[id_col].dataType.simpleString() != index.state["id_type"]:
         raise ValueError(f"the index has ids of type {index.state['id_type']}, the rows of type {docs.schema[id_col].dataType.simpleString()}")
     batch = batch or uuid.uuid4().hex
-    rows = written(digests(docs, id_col, text_col), "rows")
     per_id = rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     texts = per_id.groupBy("digest").agg(F.max(F.struct("doc_id", "n")).alias("last"), F.sum("n").alias("copies"))
-    texts = written(texts.select("digest", F.col("last.doc_id").alias("keep_id"), "copies", F.col("last.n").alias("repeats")), "batch")
+    texts = written(sized(texts.select("digest", F.col("last.doc_id").alias("keep_id"), "copies", F.col("last.n").alias("repeats")), n, 100_000), "batch")
     known = index.table().select("digest", F.col("keep_id").alias("known_id"), F.col("batch").alias("by"))
     before = known.filter(F.col("by") != batch).drop("by")
     fresh = texts.hint("merge").join(before, "digest", "left_anti").withColumn("fresh", F.lit(True))
     if own:
-        decided = written(fresh, "decided")
+        decided = written(sized(fresh, n, 100_000), "decided")
     else:
         seen = texts.hint("merge").join(before, "digest").select("digest", F.col("known_id").alias("keep_id"), "copies", "repeats", F.lit(False).alias("fresh"))
-        decided = written(fresh.unionByName(seen), "decided")
+        decided = written(sized(fresh.unionByName(seen), n, 100_000), "decided")
     new = decided.filter("fresh")
     if not own:  # what an earlier run of this batch has appended is there already
         new = new.hint("merge").join(known.filter(F.col("by") == batch).select("digest"), "digest", "left_anti")
@@ -174,7 +177,8 @@ def keep_last(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "
     Decided row by row: a row with a repeated id and another text is another document. A null id counts as smaller than
     any other. An empty table gives no rows.
     """
-    decided = written(dedup(docs, index, id_col, text_col), "decided")
+    decided = dedup(docs, index, id_col, text_col)
+    decided = written(sized(decided.filter("NOT kept OR repeats > 1").select("doc_id", "digest", "kept", "repeats"), docs.count(), 100_000), "decided")
     keyed = docs.withColumn("_digest", text_digest(F.col(text_col)))
     return one_per_row(without(keyed, decided.filter("NOT kept").select("doc_id", "digest"), id_col), decided.filter("repeats > 1").select("doc_id", "digest"), id_col).select(docs.columns)
 
@@ -187,9 +191,10 @@ def without(keyed: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
 
 def one_per_row(keyed: DataFrame, repeated: DataFrame, id_col: str) -> DataFrame:
     """One row of those that share id and ``_digest``, where ``repeated`` has their ``doc_id, digest``: the first in the order of their JSON. Without any, the rows as they are."""
-    repeated = written(repeated.distinct(), "repeated")
+    repeated = repeated.distinct()
     if not repeated.limit(1).count():
         return keyed
+    repeated = written(repeated, "repeated")
     some = repeated.select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_of"))
     same = F.col(id_col).eqNullSafe(F.col("_gone")) & (F.col("_digest") == F.col("_of"))
     row = F.struct(*keyed.columns)

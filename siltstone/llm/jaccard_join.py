@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import blobs, lean, slices, splitmix, table, written
+from siltstone.llm.common import blobs, lean, sized, slices, splitmix, table, written
 from siltstone.llm.components import components
 from siltstone.llm.exact_dedup import one_per_row, without
 from siltstone.llm.shingles import distinct, hashed
@@ -181,7 +181,7 @@ def candidates(reps: DataFrame, similarity: float = 0.8, recall: float = 0.999,
     edges, deep = _search(reps, range(first), similarity, least, limit, depth, dense)
     if deep is not None:
         more = runs_for(recall, similarity, depth)
-        again, _ = _search(reps.join(written(deep.distinct(), "deep"), "node"), range(first, max(more, first + 1)), similarity, least, limit, depth, dense)
+        again, _ = _search(reps.join(written(sized(deep.distinct(), reps.count()), "deep"), "node"), range(first, max(more, first + 1)), similarity, least, limit, depth, dense)
         edges = edges.unionByName(again)
     return edges
 
@@ -202,7 +202,7 @@ def _search(reps: DataFrame, runs: range, similarity: float, least: int, limit:
             F.count(F.lit(1)).alias("size"), F.max("within").alias("within"), F.min("node").alias("hub"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("total"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("mix")
         )
         marks = marks.filter("size > 1")
-        picked = written(marks.groupBy(*same).agg(F.min("key").alias("key"), F.min("within").alias("within")), "picked")
+        picked = written(sized(marks.groupBy(*same).agg(F.min("key").alias("key"), F.min("within").alias("within")), paths.count(), 500_000), "picked")
         over = F.col("size") > limit
         family = over & (F.coalesce(F.col("size") >= dense * F.col("within"), F.lit(False)) | F.lit(at == depth))
         small = paths.join(picked.filter(~over).select("key"), "key").join(reps.select("node", "short"), "node").select("key", "node", "short")
@@ -215,7 +215,8 @@ def _search(reps: DataFrame, runs: range, similarity: float, least: int, limit:
         if at == depth or not picked.filter(over & ~family).limit(1).count():
             break
         again = marks.filter(over).join(picked.filter(over & ~family).select(*same), same).select("key", "size")
-        level = written(paths.join(again, "key").join(reps.select("node", "sketch"), "node").select("node", "sketch", "key", "size"), "split")
+        level = paths.join(again, "key").join(reps.select("node", "sketch"), "node").select("node", "sketch", "key", "size")
+        level = written(sized(level, paths.count(), 100_000), "split")
         if at == SHALLOW:
             deep = level.select("node")
     return out, deep
@@ -241,7 +242,9 @@ def _blocks(sets: DataFrame, similarity: float) -> DataFrame:
     of other bands can't hold a link and aren't made.
     """
     size = F.octet_length("shingles").cast("long")
-    large = written(sets.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).filter((F.col("n") > BLOCK) | (F.col("bytes") > BYTES)).select("group"), "large")
+    n = sets.count()
+    large = sets.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).filter((F.col("n") > BLOCK) | (F.col("bytes") > BYTES)).select("group")
+    large = written(sized(large, n), "large")
     if not large.limit(1).count():
         zero = F.lit(0)
         return sets.select("group", *[zero.alias(x) for x in (*SIDES, "band", "block")], "node", "copies", "shingles")
@@ -249,7 +252,7 @@ def _blocks(sets: DataFrame, similarity: float) -> DataFrame:
     counts = sets.join(large, "group").groupBy("group", band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))
     rows = F.least(F.greatest(F.col("n") / 16, F.lit(BLOCK)), F.lit(MOST))
     counts = counts.withColumn("blocks", F.greatest(F.ceil(F.col("n") / rows), F.ceil(F.col("bytes") / BYTES)).cast("int"))
-    bands = written(counts.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("bands")), "bands")  # a few dozen bands at most
+    bands = written(sized(counts.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("bands")), n), "bands")  # a few dozen bands at most
     dealt = sets.join(bands, "group", "left").withColumn("band", F.when(F.col("bands").isNull(), 0).otherwise(band))
     blocks = lambda b: F.coalesce(F.col("bands")[b], F.lit(0))
     dealt = dealt.withColumn("block", F.when(F.col("bands").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), blocks(F.col("band")))).cast("int"))
@@ -326,7 +329,7 @@ def _perhaps(texts: DataFrame, wanted: DataFrame, bits: int = 26) -> DataFrame:
     maps = wanted.select(slot("digest").alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("map"))
     at = F.bitmap_bit_position(slot("digest"))
     byte = F.conv(F.hex(F.substring("map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    met = texts.join(F.broadcast(written(maps, "bits")), F.bitmap_bucket_number(slot("digest")) == F.col("bucket"))
+    met = texts.join(F.broadcast(written(sized(maps, 1), "bits")), F.bitmap_bucket_number(slot("digest")) == F.col("bucket"))
     return met.filter(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).select(*texts.columns)
 
 
@@ -350,22 +353,23 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recal
     prints = written(fingerprints(docs, id_col, text_col), "prints")
     lead = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
     reps = prints.filter("sketch IS NOT NULL").groupBy("copy_key").agg(F.min(lead).alias("lead"), F.count(F.lit(1)).alias("copies"), F.min("sketch").alias("sketch"), F.min("short").alias("short"))
-    reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "reps")  # numbers are fixed by writing them
-    labels = written(components(candidates(reps, similarity[0] / similarity[1], recall)).select(F.col("node").alias("of"), F.col("label").alias("group")), "labels")
-    members = written(reps.join(labels, F.col("node") == F.col("of")).select("node", "group", "copies", "lead"), "members")
+    n = prints.count()
+    reps = written(sized(reps, n, 25_000).withColumn("node", F.monotonically_increasing_id()), "reps")  # numbers are fixed by writing them
+    labels = components(candidates(reps, similarity[0] / similarity[1], recall)).select(F.col("node").alias("of"), F.col("label").alias("group"))
+    members = written(sized(reps.join(labels, F.col("node") == F.col("of")).select("node", "group", "copies", "lead"), n), "members")
     texts = _perhaps(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("digest")), members.select("lead.digest"))
     same = texts.digest.eqNullSafe(members["lead.digest"]) & texts.id.eqNullSafe(members["lead.doc_id"])
     sets = texts.hint("merge").join(members, same).select("node", "group", "copies", "text").mapInArrow(_sets, "node long, group long, copies long, shingles binary")
-    sets = written(sets.dropDuplicates(["node"]), "sets")  # rows repeated whole
+    sets = written(sized(sets.dropDuplicates(["node"]), members.count(), 10_000), "sets")  # rows repeated whole
     pairs = _blocks(sets, similarity[0] / similarity[1])
     found = pairs.repartition("group", *SIDES).sortWithinPartitions("group", *SIDES).mapInArrow(_exact(*similarity), "node long, links long, root long")
     found = written(found, "links")
     classes = components(found.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("of"), "label")
     links = found.groupBy(F.col("node").alias("linked")).agg(F.sum("links").alias("links"))
     known = reps.select("copy_key", "node", "lead", "copies").join(links, F.col("node") == F.col("linked"), "left").join(classes, F.col("node") == F.col("of"), "left")
-    known = written(known.select("copy_key", "lead", F.col("copies").alias("n"), "links", F.coalesce("label", "node").alias("label")), "known")
+    known = written(sized(known.select("copy_key", "lead", F.col("copies").alias("n"), "links", F.coalesce("label", "node").alias("label")), n), "known")
     heads = known.groupBy("label").agg(F.min("lead").alias("head"))
-    known = written(known.join(heads, "label").select("copy_key", F.col("lead.doc_id").alias("copy"), "n", "links", "head"), "copies")
+    known = written(sized(known.join(heads, "label").select("copy_key", F.col("lead.doc_id").alias("copy"), "n", "links", "head"), n), "copies")
     rows = prints.select("doc_id", "digest", "copy_key", F.col("sketch").isNull().alias("bare"))
     return (
         rows.hint("merge")
@@ -383,7 +387,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recal
 
 def keep_one(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, less all but one document of each class of ``near_duplicates``; decided row by row, not by id. Of rows that repeat id and text one stays. Texts without words all stay, but for such repeats. An empty table gives no rows."""
-    decided = written(near_duplicates(docs, similarity, recall, id_col, text_col).select("doc_id", "digest", "kept"), "decided")
+    decided = written(sized(near_duplicates(docs, similarity, recall, id_col, text_col).select("doc_id", "digest", "kept"), docs.count()), "decided")
     keyed = docs.withColumn("_digest", text_key(F.col(text_col)))
     repeated = decided.filter("kept").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "digest")
     return one_per_row(without(keyed, decided.filter("NOT kept").select("doc_id", "digest"), id_col), repeated, id_col).select(docs.columns)
