@@ -25,6 +25,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
 
 
+def sized(df: DataFrame, rows: int, each: int = 250_000) -> DataFrame:
+    """``df`` in as many partitions as ``rows``, the most that one of its steps handles, need at ``each`` a task; never more than it has. Small tables then are few files and few tasks, however many partitions a shuffle has."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage is cut, and a lost executor loses nothing."""
     path = scratch(df.sparkSession, name)
