@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.sources.scratch import written
+
 
 def sigmoid(z: Column) -> Column:
     """Logistic function that never overflows."""
@@ -24,71 +26,161 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
+def dealt(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``rows`` dealt by ranges of keys and order, with the number of their range, and written. Rows that are equal in both share a range; a large group has many."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(rows.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    out = a["_range"] == b["_range"]
+    for k in keys:
+        out = out & a[k].eqNullSafe(b[k])
+    return out
+
+
+def running(rows: DataFrame, keys: list[str], order: list[str], amounts: dict[str, Column]) -> DataFrame:
+    """``rows`` with each amount summed over the rows of the group up to and with those of equal ``order`` (under its name), and over the whole group (``_all`` behind its name). Null keys are a group, null orders come first.
+
+    No group is one task's: rows are dealt by ranges, each range is summed, and counts on from the sums of the ranges
+    before it, of which there is one row for each range and group.
+    """
+    parts = dealt(rows.withColumns(amounts), keys, order)
+    sums = parts.groupBy(*keys, "_range").agg(*[F.sum(a).alias(a) for a in amounts])
+    before, whole = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    base = sums.select(*keys, "_range", *[F.coalesce(F.sum(a).over(before), F.lit(0)).alias(f"_{a}_before") for a in amounts], *[F.sum(a).over(whole).alias(f"{a}_all") for a in amounts])
+    within = Window.partitionBy(*keys, "_range").orderBy(*order)
+    parts = parts.withColumns({a: F.sum(a).over(within) for a in amounts})
+    out = parts.join(base, _same(parts, base, keys))
+    return out.select(*[parts[c] for c in rows.columns if c not in amounts], *[(F.col(a) + F.col(f"_{a}_before")).alias(a) for a in amounts], *[f"{a}_all" for a in amounts])
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Per group the exact quantiles of a column, interpolated between neighbouring values, from counts of its distinct values. Null values are left out."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_m"))
+    rows = running(counts, keys, ["_v"], {"_upto": F.col("_m")})
+    at = lambda i: F.max(F.when((F.col("_upto") > i) & (F.col("_upto") - F.col("_m") <= i), F.col("_v")))
+    place = {name: F.lit(float(q)) * (F.col("_upto_all") - 1) for name, q in shares.items()}
+    found = rows.groupBy(*keys).agg(*[x for name, p in place.items() for x in (at(F.floor(p)).alias(f"_lo_{name}"), at(F.ceil(p)).alias(f"_hi_{name}"), F.max(p - F.floor(p)).alias(f"_t_{name}"))])
+    return found.select(*keys, *[(F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_t_{name}")).alias(name) for name in shares])
+
+
 def spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per group: ``n, low, high, mean, mid`` (median) ``, mad`` (median absolute deviation) ``, mad_scaled``. Null values are left out. Medians are exact."""
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
-    base = rows.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"), F.percentile("v", 0.5).alias("mid"))
-    off = rows.join(base.select(*keys, "mid"), keys).groupBy(*keys).agg(F.percentile(F.abs(F.col("v") - F.col("mid")), 0.5).alias("mad"))
+    base = rows.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean")).join(quantiles(rows, keys, "v", {"mid": 0.5}), keys)
+    off = quantiles(rows.join(base.select(*keys, "mid"), keys).withColumn("off", F.abs(F.col("v") - F.col("mid"))), keys, "off", {"mad": 0.5})
     return base.join(off, keys).withColumn("mad_scaled", F.col("mad") * 1.4826)
 
 
 def trimmed(df: DataFrame, keys: list[str], value: str, share: float, tie: str) -> DataFrame:
-    """The rows left after dropping floor(n * share) of the smallest and of the largest values of each group; ``tie`` orders equal values."""
-    order = Window.partitionBy(*keys).orderBy(value, tie)
-    whole = Window.partitionBy(*keys)
-    cut = F.floor(F.col("_n") * share)
-    return df.withColumns({"_i": F.row_number().over(order), "_n": F.count(F.lit(1)).over(whole)}).filter((F.col("_i") > cut) & (F.col("_i") <= F.col("_n") - cut)).drop("_i", "_n")
+    """The rows left after dropping floor(n * share) of the smallest and of the largest values of each group; ``tie`` orders equal values and is unique among them."""
+    cut = F.floor(F.col("_i_all") * share)
+    return running(df, keys, [value, tie], {"_i": F.lit(1)}).filter((F.col("_i") > cut) & (F.col("_i") <= F.col("_i_all") - cut)).drop("_i", "_i_all")
 
 
 def ks(df: DataFrame, keys: list[str], value: str, in_first: Column) -> DataFrame:
     """Per group: the largest distance between the distributions of the values of two samples, ``in_first`` telling which; 0 if one is empty. Equal values advance together."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count_if(in_first).alias("a"), F.count_if(~in_first).alias("b"))
-    upto = Window.partitionBy(*keys).orderBy(value)
-    whole = Window.partitionBy(*keys)
-    gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(whole) - F.sum("b").over(upto) / F.sum("b").over(whole))
-    return counts.select(*keys, gap.alias("gap")).groupBy(*keys).agg(F.coalesce(F.max("gap"), F.lit(0.0)).alias("ks"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count_if(in_first).alias("n1"), F.count_if(~in_first).alias("n2"))
+    rows = running(counts, keys, [value], {"_a": F.col("n1"), "_b": F.col("n2")})
+    gap = F.abs(F.try_divide(F.col("_a"), F.col("_a_all")) - F.try_divide(F.col("_b"), F.col("_b_all")))
+    return rows.groupBy(*keys).agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"))
+
 
+def shift(df: DataFrame, keys: list[str], value: str, in_first: Column) -> DataFrame:
+    """Per group: the median of all differences between a value of the first sample and one of the second (Hodges-Lehmann); no row where one is empty.
 
-def shift(a: Column, b: Column) -> Column:
-    """Median of all differences between the values of two arrays of a row (Hodges-Lehmann); null if one is empty. For samples of a bounded size."""
-    diffs = F.array_sort(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: x - y))))
-    n = F.size(diffs)
-    lo, hi = F.floor((n + 1) / 2).cast("int"), F.floor((n + 2) / 2).cast("int")
-    return F.when(n > 0, (F.get(diffs, lo - 1) + F.get(diffs, hi - 1)) / 2)
+    Differences are formed between distinct values and weighted by their counts, a row each, so a group of many rows with
+    few values is small; a group with very many distinct values gives as many rows as pairs of them.
+    """
+    counts = df.filter(F.col(value).isNotNull() & in_first.isNotNull()).groupBy(*keys, in_first.alias("_first"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    a = counts.filter("_first").select(*keys, F.col("_v").alias("_x"), F.col("_n").alias("_nx"))
+    b = counts.filter("NOT _first").select(*keys, F.col("_v").alias("_y"), F.col("_n").alias("_ny"))
+    diffs = a.join(b, keys).groupBy(*keys, (F.col("_x") - F.col("_y")).alias("_d")).agg(F.sum(F.col("_nx") * F.col("_ny")).alias("_w"))
+    rows = running(diffs, keys, ["_d"], {"_upto": F.col("_w")})
+    at = lambda i: F.max(F.when((F.col("_upto") > i) & (F.col("_upto") - F.col("_w") <= i), F.col("_d")))
+    last = F.col("_upto_all") - 1
+    return rows.groupBy(*keys).agg(((at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2).alias("shift"))
 
 
 def gap_threshold(df: DataFrame, keys: list[str], score: str, related: Column, tie: str) -> DataFrame:
-    """Per group: the middle of the widest gap between neighbouring scores of different class; the middle of the two medians if no such gap is wider than 0, or the one median if there is one class."""
+    """Per group: the middle of the widest gap between neighbouring scores of different class; the middle of the two medians if no such gap is wider than 0, or the one median if there is one class. ``tie`` orders equal scores."""
     rows = df.filter(F.col(score).isNotNull()).select(*keys, F.col(score).alias("s"), related.alias("r"), F.col(tie).alias("_t"))
-    w = Window.partitionBy(*keys).orderBy("s", "_t")
-    near = rows.withColumns({"next": F.lead("s").over(w), "other": F.lead("r").over(w)})
-    gaps = near.filter((F.col("other") != F.col("r")) & (F.col("next") > F.col("s"))).groupBy(*keys).agg(F.max(F.struct((F.col("next") - F.col("s")).alias("gap"), (-F.col("s")).alias("first"), ((F.col("next") + F.col("s")) / 2).alias("mid"))).alias("best"))
-    mids = rows.groupBy(*keys).agg(F.percentile(F.when(F.col("r"), F.col("s")), 0.5).alias("a"), F.percentile(F.when(~F.col("r"), F.col("s")), 0.5).alias("b"))
+    # of equal scores the first has the score before as its neighbour, the last the score after
+    ends = dealt(rows.groupBy(*keys, "s").agg(F.min_by("r", "_t").alias("first"), F.max_by("r", "_t").alias("last")), keys, ["s"])
+    heads = ends.groupBy(*keys, "_range").agg(F.min(F.struct("s", "first")).alias("head"))
+    after = heads.select(*keys, "_range", F.lead("head").over(Window.partitionBy(*keys).orderBy("_range")).alias("after"))
+    within = Window.partitionBy(*keys, "_range").orderBy("s")
+    near = ends.withColumn("next", F.lead(F.struct("s", "first")).over(within))
+    near = near.join(after, _same(near, after, keys)).select(*[near[k] for k in keys], "s", "last", F.coalesce("next", "after").alias("next"))
+    gaps = near.filter((F.col("next.first") != F.col("last")) & (F.col("next.s") > F.col("s")))
+    gaps = gaps.groupBy(*keys).agg(F.max(F.struct((F.col("next.s") - F.col("s")).alias("gap"), (-F.col("s")).alias("least"), ((F.col("next.s") + F.col("s")) / 2).alias("mid"))).alias("best"))
+    mids = rows.select(*keys).distinct().join(quantiles(rows.filter("r"), keys, "s", {"a": 0.5}), keys, "left").join(quantiles(rows.filter("NOT r"), keys, "s", {"b": 0.5}), keys, "left")
     both = F.when(F.col("a").isNull(), F.col("b")).when(F.col("b").isNull(), F.col("a"))
     return mids.join(gaps, keys, "left").select(*keys, both.otherwise(F.coalesce("best.mid", (F.col("a") + F.col("b")) / 2)).alias("threshold"))
 
 
+def _pool(sums: list[float], weights: list[float]) -> list[int]:
+    """How many points each block has after pooling adjacent violators."""
+    blocks: list[list[float]] = []
+    for s, n in zip(sums, weights, strict=True):
+        blocks.append([s, n, 1])
+        while len(blocks) > 1 and blocks[-1][0] / blocks[-1][1] < blocks[-2][0] / blocks[-2][1] - 1e-12:
+            last = blocks.pop()
+            blocks[-1] = [p + q for p, q in zip(blocks[-1], last, strict=True)]
+    return [int(b[2]) for b in blocks]
+
+
 def pooled(df: DataFrame, x: str, y: str, weight: str | None = None, keys: list[str] | None = None) -> DataFrame:
     """Monotone fit by pooling adjacent violators: ``x, fitted`` per distinct x of each group.
 
-    Equal x are pooled first, by a grouping with map-side combination, so a group's task holds one row per distinct x.
+    Equal x are pooled first, by a grouping with map-side combination. Then the points are dealt by ranges of x, and each
+    range is pooled by itself; what is left, a row for each block of a range, is pooled again for the group as a whole.
+    Pooling in any order gives the same fit.
     """
     keys = keys or []
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    points = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("x")).agg(F.sum(w * F.col(y)).alias("s"), F.sum(w).alias("w"))
-    schema = ", ".join([*(f"{k} {dict(points.dtypes)[k]}" for k in keys), "x double", "fitted double"])
+    points = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("x")).agg(F.sum(w * F.col(y)).alias("s"), F.sum(w).alias("w")).filter("w > 0")
+    kinds = [f"{k} {dict(points.dtypes)[k]}" for k in keys]
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
+    def in_range(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("x").reset_index(drop=True)
-        blocks: list[list[float]] = []
-        for s, n in zip(part["s"], part["w"], strict=True):
-            blocks.append([s, n, 1])
-            while len(blocks) > 1 and blocks[-1][0] / blocks[-1][1] < blocks[-2][0] / blocks[-2][1] - 1e-12:
-                last = blocks.pop()
-                blocks[-1] = [p + q for p, q in zip(blocks[-1], last, strict=True)]
-        return part[[*keys, "x"]].assign(fitted=[s / n for s, n, k in blocks for _ in range(k)])
+        size = _pool(part["s"].tolist(), part["w"].tolist())
+        return part.assign(block=part["x"].iloc[[sum(size[:i]) for i in range(len(size))]].repeat(size).to_numpy())[[*keys, "x", "s", "w", "block"]] if len(part) else part.assign(block=[])
+
+    def over_all(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("block").reset_index(drop=True)
+        size = _pool(part["s"].tolist(), part["w"].tolist())
+        number = pd.Series(range(len(size))).repeat(size).to_numpy()
+        total = part.groupby(number)[["s", "w"]].transform("sum")
+        return part.assign(fitted=total["s"] / total["w"])[[*keys, "block", "fitted"]]
+
+    first = written(dealt(points, keys, ["x"]).groupBy(*keys, "_range").applyInPandas(lambda p: in_range(p.drop(columns="_range")), ", ".join([*kinds, "x double, s double, w double, block double"])), "pooled")
+    blocks = first.groupBy(*keys, "block").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
+    fit = blocks.groupBy(*keys).applyInPandas(over_all, ", ".join([*kinds, "block double, fitted double"]))
+    return first.join(fit, [*keys, "block"]).select(*keys, "x", "fitted")
 
-    return points.groupBy(*keys).applyInPandas(fit, schema)
+
+def evaluated(rows: DataFrame, x: str, fit: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``rows`` with ``fitted``, the value of a monotone fit (``keys, x, fitted``) at their ``x``: constant inside a block, linear between blocks, the nearest end's beyond them; 0 without points, null for a null ``x``.
+
+    Rows and points are dealt by ranges together; a range takes the nearest points that it lacks from the ranges around it.
+    """
+    keys = keys or []
+    point = F.struct("x", "fitted")
+    own = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(x).cast("double").alias("_x"), F.struct(*rows.columns).alias("row"), F.lit(None).cast(fit.select(point.alias("p")).schema["p"].dataType).alias("p"))
+    seen = fit.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("x").alias("_x"), F.lit(None).cast(own.schema["row"].dataType).alias("row"), point.alias("p"))
+    groups = [f"_k{i}" for i in range(len(keys))]
+    parts = dealt(own.unionByName(seen), groups, ["_x"])
+    ends = parts.groupBy(*groups, "_range").agg(F.min("p").alias("least"), F.max("p").alias("most"))
+    back, ahead = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*groups).orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    ends = ends.select(*groups, "_range", F.max("most").over(back).alias("before"), F.min("least").over(ahead).alias("after"))
+    upto, onward = Window.partitionBy(*groups, "_range").orderBy("_x"), Window.partitionBy(*groups, "_range").orderBy(F.desc("_x"))
+    near = parts.withColumns({"lo": F.max("p").over(upto), "hi": F.min("p").over(onward)})
+    near = near.join(ends, _same(near, ends, groups)).filter("row IS NOT NULL").select("row", "_x", F.coalesce("lo", "before").alias("lo"), F.coalesce("hi", "after").alias("hi"))
+    slope = (F.col("hi.fitted") - F.col("lo.fitted")) / (F.col("hi.x") - F.col("lo.x"))
+    value = F.when(F.col("lo").isNull() & F.col("hi").isNull(), 0.0).when(F.col("lo").isNull(), F.col("hi.fitted")).when(F.col("hi").isNull() | (F.col("hi.x") <= F.col("lo.x")), F.col("lo.fitted")).otherwise(F.col("lo.fitted") + slope * (F.col("_x") - F.col("lo.x")))
+    return near.select("row.*", F.when(F.col("_x").isNotNull(), value).alias("fitted"))
 
 
 def pooled_robust(df: DataFrame, x: str, y: str, cutoff: float | None = None, rounds: int = 10, close: float = 1e-4) -> DataFrame:
@@ -98,8 +190,6 @@ def pooled_robust(df: DataFrame, x: str, y: str, cutoff: float | None = None, ro
     the scaled median absolute deviation of the first fit's residuals (1.345 where that is 0), unless given. It ends when
     no weight moves by ``close``, or after ``rounds``.
     """
-    from siltstone.sources.scratch import written
-
     points = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.lit(1.0).alias("w"))
     for _ in range(rounds):
         fit = pooled(points, "x", "y", "w")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.stats import ks, sigmoid, spread
+from siltstone.functions.stats import ks, running, sigmoid, spread
+from siltstone.sources.scratch import written
 
 
 def feature(c: Column) -> Column:
@@ -29,6 +33,7 @@ def fit_logistic(rows: DataFrame, features: list[str], label: str, rounds: int =
 
     names = [*features, "_one"]
     data = rows.select(*[feature(F.col(c)).alias(c) for c in features], F.lit(1.0).alias("_one"), F.col(label).cast("double").alias("_y")).filter("_y IS NOT NULL")
+    data = written(data, "features")  # each step reads these columns alone
     total = data.agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("p")).first()
     if not total["n"] or total["p"] in (0, total["n"]):
         return [0.0] * len(features), 0.0
@@ -49,25 +54,75 @@ def fit_logistic(rows: DataFrame, features: list[str], label: str, rounds: int =
 
 
 def conformal(scores: DataFrame, calibration: DataFrame, keys: list[str], id_col: str, score: str) -> DataFrame:
-    """``id, p``: (calibration scores strictly above it + 1) / (calibration scores + 1), per key; 1 where a key has no calibration scores.
+    """``id, p``: (calibration scores strictly above it + 1) / (calibration scores + 1), per key; the score itself where a key has no calibration scores.
 
-    Ranks come from one ordered pass over both tables per key, not from comparing pairs.
+    Ranks come from one ordered pass over both tables, dealt by ranges, not from comparing pairs.
     """
-    own = scores.select(*keys, F.col(id_col).alias("id"), F.col(score).alias("s"), F.lit(0).alias("c"))
-    seen = calibration.filter(F.col(score).isNotNull()).select(*keys, F.lit(None).cast(scores.schema[id_col].dataType).alias("id"), F.col(score).alias("s"), F.lit(1).alias("c"))
-    both = own.unionByName(seen)
-    upto = Window.partitionBy(*keys).orderBy("s")  # range frame: equal scores are not above one another
-    whole = Window.partitionBy(*keys)
-    p = (F.sum("c").over(whole) - F.sum("c").over(upto) + 1) / (F.sum("c").over(whole) + 1)
-    return both.withColumn("p", p).filter("c = 0").select(*keys, "id", "p")
+    own = scores.select(*keys, F.col(id_col).alias("id"), F.col(score).alias("s"), F.lit(0).alias("m"))
+    seen = calibration.filter(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("m"))
+    both = own.unionByName(seen.withColumn("id", F.lit(None).cast(scores.schema[id_col].dataType)))
+    rows = running(both.withColumn("asked", F.col("m") == 0), keys, ["s"], {"c": F.col("m")}).filter("asked")
+    p = (F.col("c_all") - F.col("c") + 1) / (F.col("c_all") + 1)
+    return rows.select(*keys, "id", F.when(F.col("c_all") == 0, F.col("s").cast("double")).otherwise(p).alias("p"))
+
+
+def escalates(p: Column, alpha: float, entropy: Column | None = None, threshold: float | None = None) -> Column:
+    """A candidate is escalated if its p-value is under ``alpha``, or its entropy, where it and a threshold are known, over the threshold."""
+    low = F.coalesce(p < alpha, F.lit(False))
+    return low if entropy is None or threshold is None else low | F.coalesce(entropy > threshold, F.lit(False))
+
+
+def halves(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``half``: 0 for the first half of the rows, rounded down, 1 for the rest; ``order`` is unique."""
+    rows = running(df, [], order, {"_i": F.lit(1)})
+    return rows.withColumn("half", F.when(F.col("_i") * 2 <= F.col("_i_all"), 0).otherwise(1)).drop("_i", "_i_all")
+
+
+def nonconformity(prob: Column, label: Column) -> Column:
+    """How atypical a labelled row is: 1 less the probability of its label, ``prob`` being that of label 1."""
+    return F.when(label.cast("double") == 1, 1 - prob).otherwise(prob)
+
+
+def fit_conformal(rows: DataFrame, features: list[str], label: str, order: list[str]) -> tuple[list[float], float, DataFrame]:
+    """A logistic model of the first half of the rows, and the scores (``score``) of the second, against which ``conformal`` ranks."""
+    dealt = written(halves(rows.filter(F.col(label).isNotNull()), order), "halves")
+    weights, bias = fit_logistic(dealt.filter("half = 0"), features, label)
+    prob = risk(weights, bias, *[feature(F.col(c)) for c in features])
+    return weights, bias, dealt.filter("half = 1").select(nonconformity(prob, F.col(label)).alias("score"))
+
+
+def save_model(spark: SparkSession, path: str, weights: list[float], bias: float, features: list[str], scores: DataFrame | None = None, **settings: object) -> None:
+    """Writes a model as one row of JSON, and a conformal model's ``scores`` as a table beside it."""
+    model = {"coefficients": weights, "intercept": bias, "feature_keys": features, **settings} | ({} if scores is None else {"type": "conformal"})
+    if scores is not None:
+        scores.select("score").write.mode("overwrite").parquet(f"{path}/scores")
+    spark.createDataFrame([(json.dumps(model, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
+
+
+def load_model(spark: SparkSession, path: str, conformal_only: bool = False) -> dict | None:
+    """A saved model, with ``scores`` as a table if it is conformal; None if there is none, it isn't readable, or it isn't conformal where that is asked for."""
+    try:
+        lines = spark.read.text(f"{path}/model").limit(2).collect()
+        model = json.loads(lines[0]["value"]) if len(lines) == 1 else None
+        if not isinstance(model, dict) or not isinstance(model.get("coefficients"), list) or (conformal_only and model.get("type") != "conformal"):
+            return None
+        model = {"coefficients": [float(w) for w in model["coefficients"]], "intercept": float(model.get("intercept", 0.0)), "feature_keys": list(model.get("feature_keys", [])), "threshold": float(model.get("threshold", 0.7)), "alpha": float(model.get("alpha", 0.1)), "type": model.get("type", "logistic"), "entropy_threshold": model.get("entropy_threshold")}
+        return model | ({"scores": spark.read.parquet(f"{path}/scores")} if model["type"] == "conformal" else {})
+    except (AnalysisException, ValueError, TypeError):
+        return None
+
+
+def predicted(rows: DataFrame, model: dict) -> Column:
+    """The probability of label 1 by a loaded model; features that ``rows`` lacks count as missing."""
+    return risk(model["coefficients"], model["intercept"], *[feature(F.col(c)) if c in rows.columns else F.lit(0.0) for c in model["feature_keys"]])
 
 
 def upper_quantile(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
     """Per key: the observed value at or above the quantile (no interpolation)."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    at = F.ceil(F.lit(share) * (F.count(F.lit(1)).over(Window.partitionBy(*keys)) - 1)) + 1
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("quantile"), F.row_number().over(w).alias("_i"), at.alias("_at"))
-    return rows.filter("_i = _at").drop("_i", "_at")
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("quantile")).agg(F.count(F.lit(1)).alias("m"))
+    rows = running(counts, keys, ["quantile"], {"upto": F.col("m")})
+    at = F.ceil(F.lit(share) * (F.col("upto_all") - 1))
+    return rows.filter((F.col("upto") > at) & (F.col("upto") - F.col("m") <= at)).select(*keys, "quantile")
 
 
 def best_threshold(df: DataFrame, score: str, label: str, steps: int = 20) -> DataFrame:

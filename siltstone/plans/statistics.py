@@ -6,6 +6,7 @@ from siltstone.functions import stats as S
 from siltstone.operators import calibration as C
 from siltstone.operators import design as D
 from siltstone.plans.registry import query
+from siltstone.sources.scratch import scratch
 
 
 def _r(df, n=6, *cols):
@@ -51,11 +52,10 @@ def trimmed_ks(t):
 
 @query("""WITH a AS (SELECT l_partkey, list(l_tax) FILTER (l_returnflag = 'R') AS a, list(l_tax) FILTER (l_returnflag = 'A') AS b FROM lineitem GROUP BY 1),
 d AS (SELECT l_partkey, unnest(a) AS x, b FROM a), e AS (SELECT l_partkey, x - unnest(b) AS d FROM d)
-SELECT l_partkey, round(median(d), 6) AS shift FROM e GROUP BY 1""")
+SELECT l_partkey, round(median(d), 6) + 0.0::DOUBLE AS shift FROM e GROUP BY 1""")
 def median_shift(t):
-    side = lambda f: F.collect_list(F.when(F.col("l_returnflag") == f, F.col("l_tax")))
-    pairs = t("lineitem").groupBy("l_partkey").agg(side("R").alias("a"), side("A").alias("b"))
-    return pairs.select("l_partkey", F.round(S.shift(F.col("a"), F.col("b")), 6).alias("shift")).filter("shift IS NOT NULL")
+    rows = t("lineitem").filter("l_returnflag IN ('R', 'A')")
+    return S.shift(rows, ["l_partkey"], "l_tax", F.col("l_returnflag") == "R").withColumn("shift", F.round("shift", 6) + 0.0)  # no negative zero
 
 
 @query("""WITH r AS (SELECT event_type, value AS s, user_id % 3 = 0 AS r, event_id FROM events),
@@ -67,11 +67,32 @@ def gap_threshold(t):
     return _r(S.gap_threshold(t("events"), ["event_type"], "value", F.col("user_id") % 3 == 0, "event_id"), 6, "threshold")
 
 
-@query()
+# the fit at a point is the largest, over starts up to it, of the least mean from there to an end at or behind it
+FIT = """p AS (SELECT floor(n_chars / 50)::DOUBLE AS x, sum(quality)::DOUBLE AS s, count(*)::DOUBLE AS w FROM documents JOIN labels USING (doc_id) GROUP BY 1),
+c AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(s) OVER (ORDER BY x) AS s, sum(w) OVER (ORDER BY x) AS w, s AS s0, w AS w0 FROM p),
+m AS (SELECT a.i AS a, b.i AS b, (b.s - a.s + a.s0) / (b.w - a.w + a.w0) AS mean FROM c a JOIN c b ON a.i <= b.i),
+e AS (SELECT a, b, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS least FROM m),
+fit AS (SELECT c.x, max(e.least) AS fitted FROM c JOIN e ON e.a <= c.i AND e.b = c.i GROUP BY c.x)"""
+
+
+def _by_size(t):
+    return t("documents").join(t("labels"), "doc_id").withColumn("size", F.floor(F.col("n_chars") / 50))
+
+
+@query(f"WITH {FIT} SELECT x, round(fitted, 6) AS fitted FROM fit")
 def isotonic_quality(t):
     """Share of good labels by length, fitted to rise with it."""
-    d = t("documents").join(t("labels"), "doc_id").withColumn("size", F.floor(F.col("n_chars") / 50))
-    return _r(S.pooled(d, "size", "quality"), 6, "fitted")
+    return _r(S.pooled(_by_size(t), "size", "quality"), 6, "fitted")
+
+
+@query(f"""WITH {FIT}, q AS (SELECT part_key, part_key % 97 / 1.7 AS x FROM (SELECT p_partkey AS part_key FROM part)),
+n AS (SELECT part_key, x, (SELECT max(f.x) FROM fit f WHERE f.x <= q.x) AS x0, (SELECT min(f.x) FROM fit f WHERE f.x >= q.x) AS x1 FROM q)
+SELECT part_key, round(CASE WHEN x0 IS NULL THEN b.fitted WHEN x1 IS NULL OR x0 = x1 THEN a.fitted ELSE a.fitted + (b.fitted - a.fitted) / (x1 - x0) * (n.x - x0) END, 6) AS fitted
+FROM n LEFT JOIN fit a ON a.x = x0 LEFT JOIN fit b ON b.x = x1""")
+def isotonic_at_new_points(t):
+    """The same fit read at places between, on and beyond its points."""
+    asked = t("part").select(F.col("p_partkey").alias("part_key"), (F.col("p_partkey") % 97 / 1.7).alias("at"))
+    return _r(S.evaluated(asked, "at", S.pooled(_by_size(t), "size", "quality")), 6, "fitted").select("part_key", "fitted")
 
 
 @query()
@@ -97,6 +118,25 @@ def conformal_ranks(t):
     return _r(C.conformal(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), ["event_type"], "event_id", "value"), 6, "p")
 
 
+RISK = "round(1 / (1 + exp(-(-1 + 0.02 * value + 0.3 * (user_id % 2)::INT))), 9)"
+
+
+@query(f"""WITH r AS (SELECT event_id, value, user_id, event_type = 'purchase' AS y, row_number() OVER (ORDER BY ts, event_id) * 2 <= count(*) OVER () AS first FROM events),
+c AS (SELECT round(CASE WHEN y THEN 1 - {RISK} ELSE {RISK} END, 9) AS s FROM r WHERE NOT first), o AS (SELECT event_id, value, {RISK} AS s FROM r WHERE first),
+k AS (SELECT s, count(*) AS m FROM c GROUP BY 1), u AS (SELECT s, m, NULL AS event_id, NULL AS value FROM k UNION ALL SELECT s, 0, event_id, value FROM o), n AS (SELECT *, sum(m) OVER (ORDER BY s) AS upto FROM u)
+SELECT event_id AS id, round((t.n - upto + 1) / (t.n + 1), 6) AS p, (t.n - upto + 1) / (t.n + 1) < 0.1 OR value > 95 AS escalate FROM n, (SELECT count(*) AS n FROM c) t WHERE event_id IS NOT NULL""")
+def conformal_escalation(t):
+    """A model that was saved and loaded ranks the first half of the events against the second; low p-values and high values are escalated."""
+    rows = C.halves(t("events"), ["ts", "event_id"]).withColumns({"odd": F.col("user_id") % 2, "y": F.col("event_type") == "purchase"})
+    path = scratch(t.spark, "model")
+    probability = F.round(C.risk([0.02, 0.3], -1.0, C.feature(F.col("value")), C.feature(F.col("odd"))), 9)
+    C.save_model(t.spark, path, [0.02, 0.3], -1.0, ["value", "odd"], rows.filter("half = 1").select(F.round(C.nonconformity(probability, F.col("y")), 9).alias("score")), alpha=0.1, entropy_threshold=95.0)
+    model = C.load_model(t.spark, path, conformal_only=True)
+    own = rows.filter("half = 0").withColumn("score", F.round(C.predicted(rows, model), 9))
+    ranks = C.conformal(own, model["scores"], [], "event_id", "score").join(own.select(F.col("event_id").alias("id"), "value"), "id")
+    return ranks.select("id", F.round("p", 6).alias("p"), C.escalates(F.col("p"), model["alpha"], F.col("value"), model["entropy_threshold"]).alias("escalate"))
+
+
 @query("""SELECT event_type, value AS quantile FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, ceil(0.9 * (count(*) OVER (PARTITION BY event_type) - 1)) + 1 AS k FROM events) WHERE i = k""")
 def upper_quantiles(t):
     return C.upper_quantile(t("events"), ["event_type"], "value", 0.9)

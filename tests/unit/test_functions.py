@@ -81,6 +81,80 @@ def test_logistic_fit_finds_the_weights(spark):
     assert C.fit_logistic(df.filter("y"), ["a"], "y") == ([0.0], 0.0)
 
 
+def test_pooling_by_ranges_is_pooling(spark):
+    """Many ranges, falling and rising runs, weights, ties."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 300, 2000).astype(float)
+    y = np.sin(x / 30) + rng.normal(size=2000) / 4
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = {r.x: r.fitted for r in S.pooled(df, "x", "y").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    points = np.unique(x)
+    w = np.array([(x == p).sum() for p in points], float)
+    s = np.array([y[x == p].sum() for p in points])
+    cs, cw = np.concatenate(([0], np.cumsum(s))), np.concatenate(([0], np.cumsum(w)))
+    best = [max(min((cs[b + 1] - cs[a]) / (cw[b + 1] - cw[a]) for b in range(i, len(points))) for a in range(i + 1)) for i in range(len(points))]
+    assert np.allclose([got[p] for p in points], best)
+
+
+def test_running_sums_and_what_is_built_on_them(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(12), i, rng.random() < 0.4) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, v int, i int, f boolean")
+    for k, v, _, n, total in S.running(df, ["k"], ["v"], {"n": F.lit(1)}).select("k", "v", "i", "n", "n_all").collect():
+        assert n == sum(r[0] == k and r[1] <= v for r in rows) and total == sum(r[0] == k for r in rows)
+    for r in S.quantiles(df, ["k"], "v", {"q": 0.3, "mid": 0.5}).collect():
+        own = [x[1] for x in rows if x[0] == r.k]
+        assert np.isclose(r.q, np.quantile(own, 0.3)) and np.isclose(r.mid, np.median(own))
+    for r in S.shift(df, ["k"], "v", F.col("f")).collect():
+        assert r["shift"] == np.median([p[1] - q[1] for p in rows for q in rows if p[0] == q[0] == r.k and p[3] and not q[3]])
+    kept = S.trimmed(df, ["k"], "v", 0.1, "i").groupBy("k").count().collect()
+    assert {r.k: r["count"] for r in kept} == {k: (n := sum(x[0] == k for x in rows)) - 2 * int(n * 0.1) for k in ("a", "b", None)}
+    assert S.running(df.limit(0), ["k"], ["v"], {"n": F.lit(1)}).count() == 0
+
+
+def test_fit_is_read_between_and_beyond_its_points(spark):
+    fit = spark.createDataFrame([("a", 1.0, 0.2), ("a", 3.0, 0.2), ("a", 5.0, 0.6), ("b", 2.0, 0.9)], "k string, x double, fitted double")
+    asked = [("a", 0.0, 0.2), ("a", 2.0, 0.2), ("a", 4.0, 0.4), ("a", 5.0, 0.6), ("a", 9.0, 0.6), ("b", 7.0, 0.9), ("c", 1.0, 0.0), ("a", None, None)]
+    got = S.evaluated(spark.createDataFrame(asked, "k string, x double, want double"), "x", fit, ["k"]).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        assert r.fitted is None if r.want is None else abs(r.fitted - r.want) < 1e-12
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    scores = spark.createDataFrame([(0.1,), (0.5,), (0.5,), (0.9,)], "score double")
+    C.save_model(spark, str(tmp_path / "c"), [1.0, -2.0], 0.5, ["a", "b"], scores, alpha=0.3, entropy_threshold=2.0)
+    C.save_model(spark, str(tmp_path / "l"), [1.0], 0.0, ["a"], threshold=0.8)
+    model = C.load_model(spark, str(tmp_path / "c"), conformal_only=True)
+    assert (model["coefficients"], model["intercept"], model["alpha"], model["scores"].count()) == ([1.0, -2.0], 0.5, 0.3, 4)
+    assert C.load_model(spark, str(tmp_path / "l"))["threshold"] == 0.8
+    assert C.load_model(spark, str(tmp_path / "l"), conformal_only=True) is None and C.load_model(spark, str(tmp_path / "none")) is None
+    spark.createDataFrame([("not json",)], "value string").write.text(str(tmp_path / "bad" / "model"))
+    assert C.load_model(spark, str(tmp_path / "bad")) is None
+    own = spark.createDataFrame([(1, 0.5), (2, 0.95), (3, 0.0)], "id int, s double")
+    ranks = {r.id: r.p for r in C.conformal(own, model["scores"].withColumnRenamed("score", "s"), [], "id", "s").collect()}
+    assert ranks == {1: 2 / 5, 2: 1 / 5, 3: 1.0}
+    assert {r.id: r.p for r in C.conformal(own, own.limit(0), [], "id", "s").collect()} == {1: 0.5, 2: 0.95, 3: 0.0}
+    e = spark.createDataFrame([(0.2, None), (0.4, 3.0), (0.4, 1.0), (None, None)], "p double, h double").select(C.escalates(F.col("p"), 0.3, F.col("h"), 2.0).alias("e")).collect()
+    assert [r.e for r in e] == [True, True, False, False]
+
+
+def test_half_trains_and_half_calibrates(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=400)
+    y = rng.random(400) < 1 / (1 + np.exp(-3 * x))
+    df = spark.createDataFrame([(i, float(a), bool(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "i int, x double, y boolean")
+    w, bias, scores = C.fit_conformal(df, ["x"], "y", ["i"])
+    plain, b0 = C.fit_logistic(df.filter("i < 200"), ["x"], "y")
+    p = 1 / (1 + np.exp(-(plain[0] * x[200:] + b0)))
+    assert np.allclose(w, plain) and np.allclose(sorted(r.score for r in scores.collect()), sorted(np.where(y[200:], 1 - p, p)))
+
+
 def test_designs(spark):
     d = D.fractional_factorial(spark, list("abcdefgh")).collect()
     assert len(d) == 16
