@@ -31,31 +31,44 @@ def char_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def matches(a: list, b: list) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence: common ends first, then dynamic programming over what is left."""
-    lo = 0
-    while lo < len(a) and lo < len(b) and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < len(a) - lo and hi < len(b) - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
-    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    codes = {v: i for i, v in enumerate(dict.fromkeys([*x, *y]))}
-    p, q = np.array([codes[v] for v in x], np.int64), np.array([codes[v] for v in y], np.int64)
-    table = np.zeros((len(p) + 1, len(q) + 1), np.int32)
-    for i in range(len(p) - 1, -1, -1):
-        table[i, :-1] = np.maximum(table[i + 1, :-1], table[i + 1, 1:] + (q == p[i]))
-        table[i] = np.maximum.accumulate(table[i][::-1])[::-1]
-    out = [(i, i) for i in range(lo)]
-    i = j = 0
-    while i < len(p) and j < len(q):
-        if p[i] == q[j]:
-            out.append((lo + i, lo + j))
+    """Index pairs of a longest common subsequence, in memory linear in the lengths: common ends first, then by halves.
+
+    The first half of ``a`` is compared with all beginnings of ``b``, the second with all ends, and ``b`` is cut where
+    both together match most.
+    """
+    codes = {v: i for i, v in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = np.array([codes[v] for v in a], np.int64), np.array([codes[v] for v in b], np.int64)
+    out: list[tuple[int, int]] = []
+    waiting = [(0, len(x), 0, len(y))]
+    while waiting:
+        i, m, j, n = waiting.pop()
+        while i < m and j < n and x[i] == y[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif table[i + 1, j] >= table[i, j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out + [(len(a) - k, len(b) - k) for k in range(hi, 0, -1)]
+        while i < m and j < n and x[m - 1] == y[n - 1]:
+            m, n = m - 1, n - 1
+            out.append((m, n))
+        if i == m or j == n:
+            continue
+        if m - i == 1:
+            at = np.flatnonzero(y[j:n] == x[i])
+            if len(at):
+                out.append((i, j + int(at[0])))
+            continue
+        half = (i + m) // 2
+        both = _lengths(x[i:half], y[j:n]) + _lengths(x[half:m][::-1], y[j:n][::-1])[::-1]
+        cut = j + int(both.argmax())
+        waiting += [(i, half, j, cut), (half, m, cut, n)]
+    return sorted(out)
+
+
+def _lengths(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``p`` and each beginning of ``q``."""
+    row = np.zeros(len(q) + 1, np.int32)
+    for c in p:
+        row[1:] = np.maximum(row[1:], row[:-1] + (q == c))
+        row = np.maximum.accumulate(row)
+    return row
 
 
 def edit_runs(a: list, b: list) -> list[dict]:
@@ -81,6 +94,42 @@ def opcodes(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edit_runs([] if x is None else list(x), [] if y is None else list(y)) for x, y in zip(a, b, strict=True)])
 
 
+@F.pandas_udf(T.DoubleType())
+def line_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the matched elements of two arrays by the sum of their sizes; two empty ones are alike. Null counts as empty."""
+
+    def one(x: list, y: list) -> float:
+        return 2 * len(matches(x, y)) / (len(x) + len(y)) if x or y else 1.0
+
+    return pd.Series([one([] if x is None else list(x), [] if y is None else list(y)) for x, y in zip(a, b, strict=True)])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def transplanted(result: pd.Series, side: pd.Series, wanted: pd.Series) -> pd.Series:
+    """The lines of a result with the runs of wanted lines of a side put where the side has them: behind the line before the run, if the result has that once, else ahead of the line after it; a run with neither stays out. Arrays of lines; null counts as empty."""
+
+    def one(lines: list, source: list, want: set) -> list:
+        out, i = list(lines), 0
+        while i < len(source):
+            j = i
+            while j < len(source) and source[j] in want:
+                j += 1
+            if j > i:
+                if i and out.count(source[i - 1]) == 1:
+                    at = out.index(source[i - 1]) + 1
+                elif j < len(source) and out.count(source[j]) == 1:
+                    at = out.index(source[j])
+                else:
+                    at = None
+                if at is not None:
+                    out[at:at] = source[i:j]
+            i = j + 1
+        return out
+
+    plain = lambda x: [] if x is None else list(x)
+    return pd.Series([one(plain(r), plain(s), set(plain(w))) for r, s, w in zip(result, side, wanted, strict=True)])
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def increasing(xs: pd.Series) -> pd.Series:
     """A longest strictly increasing subsequence of an array of numbers, by patience piles."""

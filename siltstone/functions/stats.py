@@ -39,20 +39,21 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return out
 
 
-def running(rows: DataFrame, keys: list[str], order: list[str], amounts: dict[str, Column]) -> DataFrame:
-    """``rows`` with each amount summed over the rows of the group up to and with those of equal ``order`` (under its name), and over the whole group (``_all`` behind its name). Null keys are a group, null orders come first.
+def running(rows: DataFrame, keys: list[str], order: list[str], amounts: dict[str, Column], largest: bool = False) -> DataFrame:
+    """``rows`` with each amount summed over the rows of the group up to and with those of equal ``order`` (under its name), and over the whole group (``_all`` behind its name); with ``largest``, the largest amount in place of the sum. Null keys are a group, null orders come first.
 
     No group is one task's: rows are dealt by ranges, each range is summed, and counts on from the sums of the ranges
     before it, of which there is one row for each range and group.
     """
+    both, fold = (F.greatest, F.max) if largest else (lambda x, y: x + F.coalesce(y, F.lit(0)), F.sum)
     parts = dealt(rows.withColumns(amounts), keys, order)
-    sums = parts.groupBy(*keys, "_range").agg(*[F.sum(a).alias(a) for a in amounts])
+    sums = parts.groupBy(*keys, "_range").agg(*[fold(a).alias(a) for a in amounts])
     before, whole = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
-    base = sums.select(*keys, "_range", *[F.coalesce(F.sum(a).over(before), F.lit(0)).alias(f"_{a}_before") for a in amounts], *[F.sum(a).over(whole).alias(f"{a}_all") for a in amounts])
+    base = sums.select(*keys, "_range", *[fold(a).over(before).alias(f"_{a}_before") for a in amounts], *[fold(a).over(whole).alias(f"{a}_all") for a in amounts])
     within = Window.partitionBy(*keys, "_range").orderBy(*order)
-    parts = parts.withColumns({a: F.sum(a).over(within) for a in amounts})
+    parts = parts.withColumns({a: fold(a).over(within) for a in amounts})
     out = parts.join(base, _same(parts, base, keys))
-    return out.select(*[parts[c] for c in rows.columns if c not in amounts], *[(F.col(a) + F.col(f"_{a}_before")).alias(a) for a in amounts], *[f"{a}_all" for a in amounts])
+    return out.select(*[parts[c] for c in rows.columns if c not in amounts], *[both(F.col(a), F.col(f"_{a}_before")).alias(a) for a in amounts], *[f"{a}_all" for a in amounts])
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.stats import running
+
 
 def clusters(samples: DataFrame, keys: list[str], text: Column, pos: str) -> DataFrame:
     """Per group and normal form: ``norm, size, first`` (the member that came first) and ``place`` by size, then first seen."""
     rows = samples.select(*keys, F.md5(text).alias("norm"), F.col(pos).alias("pos"))
     found = rows.groupBy(*keys, "norm").agg(F.count(F.lit(1)).alias("size"), F.min("pos").alias("first"))
-    return found.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("size"), "first")))
+    return running(found.withColumn("_less", -F.col("size")), keys, ["_less", "first"], {"place": F.lit(1)}).drop("_less", "place_all")
 
 
 def entropy(found: DataFrame, keys: list[str]) -> DataFrame:

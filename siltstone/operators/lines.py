@@ -25,6 +25,73 @@ def missing(base: Column, side: Column, result: Column) -> Column:
     return F.filter(owed, lambda x: channel(x) != "formatting")
 
 
+def owed_comments(base: Column, side: Column, result: Column) -> Column:
+    """Of what the result owes the side the comments alone, which may be settled later."""
+    return F.filter(missing(base, side, result), lambda x: channel(x) == "comment")
+
+
+def _surplus(text: Column) -> Column:
+    """Opening less closing brackets of each kind."""
+    count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+    return F.array(*[count(a) - count(b) for a, b in ("()", "[]", "{}")])
+
+
+def without_lines(text: Column, dropped: Column) -> Column:
+    """The text without every line whose squeezed form is among ``dropped``; null where that would unbalance its brackets."""
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(dropped, squeezed(x))), "\n")
+    return F.when(_surplus(left) == _surplus(text), left)
+
+
+def spliced(text: Column, first: Column, last: Column, new: Column) -> Column:
+    """The text with its lines ``first`` to ``last`` (from 0, both included) replaced by ``new``."""
+    all_lines = F.split(text, "\n")
+    return F.array_join(F.concat(F.slice(all_lines, F.lit(1), first), F.split(new, "\n"), F.slice(all_lines, last + 2, F.greatest(F.size(all_lines) - last - 1, F.lit(0)))), "\n")
+
+
+def spliced_all(text: Column, spans: Column) -> Column:
+    """The text with several spans (structs ``first, last, new``, which don't overlap) replaced at once: from the last to the first, so that none moves another."""
+    ordered = F.reverse(F.array_sort(spans))
+    return F.aggregate(ordered, text, lambda t, s: spliced(t, s["first"], s["last"], s["new"]))
+
+
+def outside_unchanged(original: Column, first: Column, last: Column, result: Column) -> Column:
+    """Whether all lines outside ``first`` to ``last`` of the original are in the result as they were."""
+    a, b = F.split(original, "\n"), F.split(result, "\n")
+    behind = F.size(a) - last - 1
+    tail = lambda x: F.slice(x, F.greatest(F.size(x) - behind, F.lit(0)) + 1, F.greatest(behind, F.lit(0)))
+    return (F.size(b) >= first + behind) & (F.slice(a, F.lit(1), first) == F.slice(b, F.lit(1), first)) & (tail(a) == tail(b))
+
+
+def verbatim_copy(base: Column, current: Column, replayed: Column, result: Column) -> Column:
+    """``current`` or ``replayed`` where the result is that side as it is though both changed the base, else null."""
+    changed = (lines(current) != lines(base)) & (lines(replayed) != lines(base)) & (lines(current) != lines(replayed))
+    return F.when(changed & (lines(result) == lines(current)), "current").when(changed & (lines(result) == lines(replayed)), "replayed")
+
+
+def patch_key(base: Column, side: Column) -> Column:
+    """A hash of what a change adds and removes that doesn't depend on where, nor on white space."""
+    c = changes(base, side)
+    return F.sha1(F.concat_ws("\n", F.transform(F.array_sort(c["removed"]), lambda x: F.concat(F.lit("-"), x)), F.transform(F.array_sort(c["added"]), lambda x: F.concat(F.lit("+"), x))))
+
+
+def balance(current: Column, replayed: Column) -> Column:
+    """The smaller by the larger number of lines that aren't blank; 1 for two empty sides."""
+    x, y = F.size(lines(current)), F.size(lines(replayed))
+    return F.when((x == 0) & (y == 0), 1.0).otherwise(F.least(x, y) / F.greatest(x, y))
+
+
+def interleavings(m: Column, n: Column) -> Column:
+    """In how many ways two lists can be merged that keep their order, as a double."""
+    k = F.least(m, n)
+    return F.aggregate(F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>")), F.lit(1.0), lambda p, i: p * (F.greatest(m, n) + i) / i)
+
+
+def mean_surprise(logprobs: Column) -> Column:
+    """Mean negative log probability of an array's values that aren't null; null if there is none."""
+    known = F.filter(logprobs, lambda x: x.isNotNull())
+    return F.when(F.size(known) > 0, -F.aggregate(known, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(known))
+
+
 def undone(base: Column, side: Column, result: Column) -> Column:
     """Lines that the side removed and the result has again."""
     return F.array_intersect(changes(base, side)["removed"], lines(result))

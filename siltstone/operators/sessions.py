@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.stats import running
+
 
 def projected(events: DataFrame, session: str, unit: str, seq: str, accepted: Column, candidate: Column, failed: Column) -> DataFrame:
     """One row per session and unit with an acceptance: ``accept_seq`` (the last), ``candidate_seq`` (the last candidate before it), ``attempts`` (all candidates) and ``verified``: nothing of the unit failed after it."""
@@ -32,8 +34,10 @@ def repeats(rows: DataFrame, keys: list[str], content: Column) -> DataFrame:
 def frontier(rows: DataFrame, spans: DataFrame, key: str, lo: str, hi: str, fast: Column) -> DataFrame:
     """Rows labelled ``frontier`` if their span meets one of ``spans`` (``key, lo, hi``) of their key, else by ``fast``, a fast path's name, or ``keep``.
 
-    Each key's spans are merged to their outer bounds first, one row a key, so no pairs are formed.
+    A span is met if, of all that start up to the row's end, the one that reaches furthest reaches the row's start: one
+    ordered pass over rows and spans, dealt by ranges, in place of pairs.
     """
-    outer = spans.groupBy(key).agg(F.min(lo).alias("_lo"), F.max(hi).alias("_hi"))
-    meets = (F.col(lo) <= F.col("_hi")) & (F.col(hi) >= F.col("_lo"))
-    return rows.join(outer, key, "left").withColumn("disposition", F.when(meets, "frontier").otherwise(F.coalesce(fast, F.lit("keep")))).drop("_lo", "_hi")
+    own = rows.select(F.col(key).alias("_key"), F.col(hi).alias("_at"), F.struct(*rows.columns).alias("row"), F.lit(None).cast(spans.schema[hi].dataType).alias("_hi"))
+    seen = spans.select(F.col(key).alias("_key"), F.col(lo).alias("_at"), F.lit(None).cast(own.schema["row"].dataType).alias("row"), F.col(hi).alias("_hi"))
+    near = running(own.unionByName(seen), ["_key"], ["_at"], {"_reach": F.col("_hi")}, largest=True).filter("row IS NOT NULL").select("row.*", "_reach")
+    return near.withColumn("disposition", F.when(F.col("_reach") >= F.col(lo), "frontier").otherwise(F.coalesce(fast, F.lit("keep")))).drop("_reach")

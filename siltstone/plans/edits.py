@@ -16,6 +16,9 @@ d AS (SELECT *, list_distinct(list_filter(c, lambda x: NOT list_contains(b, x)))
  list_distinct(list_filter(r, lambda x: NOT list_contains(b, x))) AS ra, list_distinct(list_filter(b, lambda x: NOT list_contains(r, x))) AS rd FROM l)"""
 
 
+PATCH = "sha1(array_to_string(list_concat(list_transform(list_sort(cd), lambda x: '-' || x), list_transform(list_sort(ca), lambda x: '+' || x)), chr(10)))"
+
+
 def _three(t):
     w = Window.partitionBy("source").orderBy("doc_id")
     rows = t("documents").select("doc_id", "source", F.col("text").alias("base"))
@@ -39,6 +42,41 @@ def obligations(t):
     return _three(t).select("doc_id", F.size(L.missing(b, c, r)).alias("n_missing"), F.size(L.undone(b, c, r)).alias("n_undone"))
 
 
+@query(rf"""WITH {THREE} SELECT doc_id, len(list_filter(ca, lambda x: NOT list_contains(r, x) AND NOT regexp_matches(x, '^(#!?\[|@[A-Za-z])') AND regexp_matches(x, '^(//|#|/\*|\*/|\*)'))) AS n_comments, {PATCH} AS patch,
+round(CASE WHEN len(c) = 0 AND len(r) = 0 THEN 1 ELSE least(len(c), len(r)) / greatest(len(c), len(r)) END, 6) AS balance FROM d""")
+def side_measures(t):
+    """Comments owed, a change's hash wherever it is, and how even two sides are."""
+    b, c, r = F.col("base"), F.col("cur"), F.col("rep")
+    return _three(t).select("doc_id", F.size(L.owed_comments(b, c, r)).alias("n_comments"), L.patch_key(b, c).alias("patch"), F.round(L.balance(c, r), 6).alias("balance"))
+
+
+@query(f"""WITH {THREE}, s AS (SELECT doc_id, string_split(base, chr(10)) AS a, doc_id % 2 AS lo, doc_id % 2 + doc_id % 3 AS hi FROM v WHERE rep IS NOT NULL), k AS (SELECT doc_id, array_to_string(list_concat(list_concat(a[:lo], ['new', 'lines']), a[hi + 2:]), chr(10)) AS out FROM s)
+SELECT doc_id, md5(out) AS spliced, true AS outside FROM k""")
+def line_splices(t):
+    """A span of lines replaced, and the check that nothing else was."""
+    first, last = (F.col("doc_id") % 2).cast("int"), (F.col("doc_id") % 2 + F.col("doc_id") % 3).cast("int")
+    rows = _three(t).withColumns({"first": first, "last": last})
+    out = L.spliced_all(F.col("base"), F.array(F.struct("first", "last", F.lit("new\nlines").alias("new"))))
+    rows = rows.withColumn("out", out)
+    return rows.select("doc_id", F.md5("out").alias("spliced"), L.outside_unchanged(F.col("base"), F.col("first"), F.least(F.col("last"), F.size(F.split("base", "\n")) - 1), F.col("out")).alias("outside"))
+
+
+@query(f"""WITH {THREE}, x AS (SELECT doc_id, array_to_string(list_filter(string_split(cur, chr(10)), lambda x: NOT list_contains(rd, trim(regexp_replace(x, '[ \t\r\n]+', ' ', 'g')))), chr(10)) AS out, cur, c, r, b FROM d JOIN v USING (doc_id)),
+n AS (SELECT *, {" AND ".join(f"length(replace(out, '{z}', '')) - length(replace(out, '{a}', '')) = length(replace(cur, '{z}', '')) - length(replace(cur, '{a}', ''))" for a, z in ("()", "[]", "{}"))} AS ok FROM x)
+SELECT doc_id, CASE WHEN ok THEN md5(out) END AS applied, CASE WHEN c <> b AND r <> b AND c <> r THEN 'current' END AS copied FROM n""")
+def applied_deletions(t):
+    """The middle version without the lines that the last one dropped, and whose verbatim copy the middle version is."""
+    b, c, r = F.col("base"), F.col("cur"), F.col("rep")
+    return _three(t).select("doc_id", F.md5(L.without_lines(c, L.changes(b, r)["removed"])).alias("applied"), L.verbatim_copy(b, c, r, c).alias("copied"))
+
+
+@query("""SELECT l_orderkey, round(-avg(ln(l_tax + 0.01)), 6) AS surprise, round(list_product(list_transform(range(1, count_star + 1), lambda i: 1 + count_star / i)), 6) AS ways FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS count_star FROM lineitem) GROUP BY l_orderkey, count_star""")
+def surprise_and_interleavings(t):
+    rows = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.log(F.col("l_tax") + 0.01)).alias("p"))  # an order's few lines
+    n = F.size("p")
+    return rows.select("l_orderkey", F.round(L.mean_surprise(F.col("p")), 6).alias("surprise"), F.round(L.interleavings(n, n), 6).alias("ways"))
+
+
 @query(f"""WITH {THREE}, k AS (SELECT doc_id, len(cd) AS n_removed, len(list_filter(cd, lambda x: list_contains(r, x))) AS n_back FROM d)
 SELECT doc_id, n_removed, n_back, round(n_back / n_removed, 6) AS coverage FROM k WHERE n_removed >= 1 AND n_back / n_removed >= 0.01""")
 def resurrected_lines(t):

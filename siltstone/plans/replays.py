@@ -30,8 +30,9 @@ def repeated_contents(t):
     return S.repeats(t("events"), ["user_id"], F.concat_ws(":", "event_type", F.floor("value")))
 
 
-@query("""WITH s AS (SELECT user_id, min(event_id) AS lo, max(event_id) AS hi FROM events WHERE event_type = 'error' GROUP BY 1)
-SELECT event_id, CASE WHEN event_id BETWEEN lo AND hi THEN 'frontier' WHEN event_type = 'view' THEN 'unchanged' ELSE 'keep' END AS disposition FROM events LEFT JOIN s USING (user_id)""")
+@query("""WITH s AS (SELECT user_id, event_id AS lo, event_id + 40 * (event_id % 3) AS hi FROM events WHERE event_type = 'error')
+SELECT event_id, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.user_id = e.user_id AND s.lo <= e.event_id + 5 AND s.hi >= e.event_id) THEN 'frontier' WHEN event_type = 'view' THEN 'unchanged' ELSE 'keep' END AS disposition FROM events e""")
 def comment_frontier(t):
-    rows = t("events").select("event_id", "user_id", "event_type", F.col("event_id").alias("lo"), F.col("event_id").alias("hi"))
-    return S.frontier(rows, rows.filter("event_type = 'error'"), "user_id", "lo", "hi", F.when(F.col("event_type") == "view", "unchanged")).select("event_id", "disposition")
+    rows = t("events").select("event_id", "user_id", "event_type", F.col("event_id").alias("lo"), (F.col("event_id") + 5).alias("hi"))
+    spans = t("events").filter("event_type = 'error'").select("user_id", F.col("event_id").alias("lo"), (F.col("event_id") + 40 * (F.col("event_id") % 3)).alias("hi"))
+    return S.frontier(rows, spans, "user_id", "lo", "hi", F.when(F.col("event_type") == "view", "unchanged")).select("event_id", "disposition")

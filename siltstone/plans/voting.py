@@ -33,11 +33,11 @@ def winners_by_source(t):
     return C.winners(d, ["source"], squeezed(F.col("text")), "doc_id", F.coalesce("quality", F.lit(0)).cast("double"), (F.col("n_chars") % 97).cast("double"), F.col("n_chars"))
 
 
-FACTS = r"""f AS (SELECT conv_id % 50 AS grp, conv_id, turn AS key, regexp_replace(lower(trim(regexp_replace(substr(coalesce(text, ''), 1, 6), '[ \t\r\n]+', ' ', 'g'))), '[.,;:]+$', '') AS val FROM conversations)"""
+FACTS = r"""f AS (SELECT conv_id % 50 AS grp, conv_id, turn AS key, regexp_replace(lower(trim(regexp_replace(coalesce(text, ''), '[ \t\r\n]+', ' ', 'g'))), '[.,;:]+$', '') AS val FROM conversations)"""
 
 
 def _facts(t):
-    return t("conversations").select((F.col("conv_id") % 50).alias("grp"), "conv_id", F.col("turn").alias("key"), fact(F.substring(F.coalesce("text", F.lit("")), 1, 6)).alias("val"))
+    return t("conversations").select((F.col("conv_id") % 50).alias("grp"), "conv_id", F.col("turn").alias("key"), fact(F.col("text")).alias("val"))
 
 
 @query(f"""WITH {FACTS}, c AS (SELECT grp, key, val, count(*) AS same FROM f GROUP BY ALL), s AS (SELECT *, same / sum(same) OVER (PARTITION BY grp, key) AS share FROM c)
