@@ -6,6 +6,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +31,11 @@ def char_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([1.0 if not x and not y else 2 * common_length(x, y) / (len(x) + len(y)) for x, y in zip(a.fillna(""), b.fillna(""), strict=True)])
 
 
+def likeness(candidate: Column, ours: Column, theirs: Column) -> Column:
+    """How like both sides a candidate is: the mean of its character ratios with them."""
+    return (char_ratio(candidate, ours) + char_ratio(candidate, theirs)) / 2
+
+
 def matches(a: list, b: list) -> list[tuple[int, int]]:
     """Index pairs of a longest common subsequence, in memory linear in the lengths: common ends first, then by halves.
 

@@ -165,6 +165,12 @@ def version_key(v: Column) -> Column:
     return F.struct((core != "").cast("int").alias("numeric"), F.when(core != "", nums).alias("parts"), (rest == "").cast("int").alias("release"), F.when(core != "", rest).otherwise(v).alias("rest"))
 
 
+def masked(c: Column) -> Column:
+    """A body for comparison of meanings: quoted literals as ``<STR>``, comments to the end of a line dropped, white space squeezed."""
+    plain = F.regexp_replace(F.coalesce(c, F.lit("")), "\"[^\"\n]*\"|'[^'\n]*'", "<STR>")
+    return squeezed(F.regexp_replace(plain, r"(?m)(#|//).*$", ""))
+
+
 def content_key(*cols: Column) -> Column:
     """A short address of a row's texts: the first 16 hex digits of the SHA-256 of their JSON array."""
     return F.substring(F.sha2(F.to_json(F.array(*[F.coalesce(c, F.lit("")) for c in cols])), 256), 1, 16)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import anchor, channel, squeezed
+from siltstone.functions.text import anchor, channel, has_markers, squeezed
 
 
 def lines(text: Column) -> Column:
@@ -68,6 +68,37 @@ def verbatim_copy(base: Column, current: Column, replayed: Column, result: Colum
     return F.when(changed & (lines(result) == lines(current)), "current").when(changed & (lines(result) == lines(replayed)), "replayed")
 
 
+def conflict_features(base: Column, current: Column, replayed: Column) -> Column:
+    """A conflict as a row of numbers and labels for the models: sizes in lines that aren't blank, how even the sides are, whether both changed a line, and the kind of conflict."""
+    c, r = F.size(lines(current)), F.size(lines(replayed))
+    kind = direction(base, current, replayed)
+    return F.struct(
+        (F.size(lines(base)) + c + r).alias("hunk_size"),
+        c.alias("current_side_lines"),
+        r.alias("replayed_side_lines"),
+        balance(current, replayed).alias("balance"),
+        F.when(F.least(c, r) == 0, F.lit(float("inf"))).otherwise(F.greatest(c, r) / F.least(c, r)).alias("imbalance_ratio"),
+        same_lines(base, current, replayed).alias("same_line_overlap"),
+        kind.alias("merge_kind"),
+        (kind == "delete_against_change").alias("modify_delete"),
+    )
+
+
+def result_features(base: Column, current: Column, replayed: Column, result: Column) -> Column:
+    """A result as a row of features for the models: markers left, a side copied, and what each side added that is gone."""
+    copied = F.coalesce(verbatim_copy(base, current, replayed, result), F.lit(""))
+    lost = lambda side: F.size(F.array_except(changes(base, side)["added"], lines(result)))
+    return F.struct(
+        has_markers(result).alias("markers_remaining"),
+        (copied != "").alias("copied_one_side"),
+        (copied == "current").alias("copied_current_side"),
+        (copied == "replayed").alias("copied_replayed_side"),
+        lost(current).alias("dropped_current_additions"),
+        lost(replayed).alias("dropped_replayed_additions"),
+        ((lost(current) > 0) | (lost(replayed) > 0)).alias("dropped_a_side"),
+    )
+
+
 def patch_key(base: Column, side: Column) -> Column:
     """A hash of what a change adds and removes that doesn't depend on where, nor on white space."""
     c = changes(base, side)

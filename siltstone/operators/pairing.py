@@ -10,23 +10,19 @@ from siltstone.functions.vectors import cosine
 from siltstone.sources.scratch import written
 
 
-def greedy(pairs: DataFrame, a: str, b: str, score: str, rounds: int = 30) -> DataFrame:
+def greedy(pairs: DataFrame, a: str, b: str, score: str) -> DataFrame:
     """Pairs taken by falling score (ties: smaller ids), each side used once: in each round the pairs that are best for both their sides are taken.
 
-    Each round writes what is left and ends when that is nothing.
+    Each round writes what is left, and it ends when that is nothing: at least the best pair of all is taken each time.
     """
-    left, taken = pairs.select(a, b, score), None
-    for _ in range(rounds):
-        left = written(left, "pairs")
-        if left.limit(1).count() == 0:
-            break
+    left, taken = written(pairs.select(a, b, score), "pairs"), None
+    while left.limit(1).count():
         best_a = Window.partitionBy(a).orderBy(F.desc(score), b, a)
         best_b = Window.partitionBy(b).orderBy(F.desc(score), a, b)
         won = left.withColumns({"_x": F.row_number().over(best_a), "_y": F.row_number().over(best_b)}).filter("_x = 1 AND _y = 1").select(a, b, score)
+        won = written(won, "won")
         taken = won if taken is None else taken.unionByName(won)
-        left = left.join(won.select(a), a, "left_anti").join(won.select(b), b, "left_anti")
-    else:
-        raise RuntimeError(f"pairs are left after {rounds} rounds")
+        left = written(left.join(won.select(a), a, "left_anti").join(won.select(b), b, "left_anti"), "pairs")
     return pairs.select(a, b, score).limit(0) if taken is None else taken
 
 

@@ -50,6 +50,21 @@ def side_measures(t):
     return _three(t).select("doc_id", F.size(L.owed_comments(b, c, r)).alias("n_comments"), L.patch_key(b, c).alias("patch"), F.round(L.balance(c, r), 6).alias("balance"))
 
 
+@query(f"""WITH {THREE}, k AS (SELECT *, CASE WHEN len(ca) > 0 AND len(cd) > 0 THEN 'modified' WHEN len(ca) > 0 THEN 'added' WHEN len(cd) > 0 THEN 'deleted' ELSE 'unchanged' END AS x,
+ CASE WHEN len(ra) > 0 AND len(rd) > 0 THEN 'modified' WHEN len(ra) > 0 THEN 'added' WHEN len(rd) > 0 THEN 'deleted' ELSE 'unchanged' END AS y FROM d),
+m AS (SELECT *, CASE WHEN x = 'unchanged' AND y = 'unchanged' THEN 'none' WHEN y = 'unchanged' THEN 'current_only' WHEN x = 'unchanged' THEN 'replayed_only' WHEN x = 'added' AND y = 'added' THEN 'both_added'
+ WHEN x = 'deleted' AND y = 'deleted' THEN 'both_deleted' WHEN x = 'deleted' OR y = 'deleted' THEN 'delete_against_change' ELSE 'both_modified' END AS kind FROM k)
+SELECT doc_id, len(b) + len(c) + len(r) AS hunk_size, len(c) AS current_side_lines, len(r) AS replayed_side_lines, round(CASE WHEN len(c) = 0 AND len(r) = 0 THEN 1 ELSE least(len(c), len(r)) / greatest(len(c), len(r)) END, 6) AS balance,
+ round(CASE WHEN least(len(c), len(r)) = 0 THEN 'Infinity'::DOUBLE ELSE greatest(len(c), len(r)) / least(len(c), len(r)) END, 6) AS imbalance_ratio, list_has_any(cd, rd) AS same_line_overlap, kind AS merge_kind, kind = 'delete_against_change' AS modify_delete,
+ regexp_matches(rep, '(?m)^(<<<<<<<|=======|>>>>>>>)') AS markers_remaining, c <> b AND r <> b AND c <> r AS copied_one_side, false AS copied_current_side, c <> b AND r <> b AND c <> r AS copied_replayed_side,
+ len(list_filter(ca, lambda x: NOT list_contains(r, x))) AS dropped_current_additions, 0 AS dropped_replayed_additions, len(list_filter(ca, lambda x: NOT list_contains(r, x))) > 0 AS dropped_a_side FROM m JOIN v USING (doc_id)""")
+def conflict_features(t):
+    """Conflicts as feature rows, and what is told of the later side taken as their result."""
+    b, c, r = F.col("base"), F.col("cur"), F.col("rep")
+    rows = _three(t).select("doc_id", L.conflict_features(b, c, r).alias("x"), L.result_features(b, c, r, r).alias("y")).select("doc_id", "x.*", "y.*")
+    return rows.withColumns({k: F.round(k, 6) for k in ("balance", "imbalance_ratio")})
+
+
 @query(f"""WITH {THREE}, s AS (SELECT doc_id, string_split(base, chr(10)) AS a, doc_id % 2 AS lo, doc_id % 2 + doc_id % 3 AS hi FROM v WHERE rep IS NOT NULL), k AS (SELECT doc_id, array_to_string(list_concat(list_concat(a[:lo], ['new', 'lines']), a[hi + 2:]), chr(10)) AS out FROM s)
 SELECT doc_id, md5(out) AS spliced, true AS outside FROM k""")
 def line_splices(t):

@@ -33,6 +33,11 @@ def turn_similarity(t):
     return rows.select("conv_id", "turn", F.round(X.jaccard(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
+@query(r"""SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '"[^"\n]*"|' || chr(39) || '[^' || chr(39) || '\n]*' || chr(39), '<STR>', 'g'), '(?m)(#|//).*$', '', 'g'), '[ \t\r\n]+', ' ', 'g'))) AS masked FROM conversations""")
+def masked_bodies(t):
+    return t("conversations").select("conv_id", "turn", F.md5(X.masked(F.col("text"))).alias("masked"))
+
+
 @query()
 def name_similarity(t):
     """Character similarity of each part's name to its type; no SQL function has this metric."""
@@ -51,7 +56,9 @@ def line_edits(t):
     return runs.select("conv_id", "turn", n("equal").alias("n_equal"), n("replace").alias("n_replace"), n("delete").alias("n_delete"), n("insert").alias("n_insert"))
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i, l_partkey AS k FROM lineitem),
+c AS (SELECT l_orderkey, i, k, 1 AS n FROM l UNION SELECT l.l_orderkey, l.i, l.k, c.n + 1 FROM c JOIN l ON l.l_orderkey = c.l_orderkey AND l.i > c.i AND l.k > c.k)
+SELECT l_orderkey, max(n) AS n FROM c GROUP BY 1""")
 def longest_rise(t):
     """Length of a longest rising run of part keys in each order, in line order."""
     xs = t("lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda s: s["l_partkey"].cast("int")).alias("xs"))

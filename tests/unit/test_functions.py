@@ -10,6 +10,7 @@ from siltstone.functions import stats as S
 from siltstone.functions import text as X
 from siltstone.operators import calibration as C
 from siltstone.operators import design as D
+from siltstone.operators import lines as L
 from siltstone.operators import merge as M
 
 
@@ -41,6 +42,33 @@ def test_udfs(spark):
     assert got[0].o[0].tag == "equal"
 
 
+def test_transplanted_runs(spark):
+    df = spark.createDataFrame([(["a", "c"], ["a", "x", "y", "c", "z"], ["x", "y", "z"]), (["k", "k"], ["k", "x"], ["x"]), (["q"], ["x", "q"], ["x"]), (None, ["x"], ["x"])], "r array<string>, s array<string>, w array<string>")
+    assert [r.o for r in df.select(Q.transplanted("r", "s", "w").alias("o")).collect()] == [["a", "x", "y", "c", "z"], ["k", "k"], ["x", "q"], []]
+
+
+def test_long_sequences_in_linear_space():
+    a = [str(i % 7) if i % 5 else str(i) for i in range(6000)]
+    b = [x for i, x in enumerate(a) if i % 11] + ["end"]
+    got = Q.matches(a, b)
+    assert len(got) == len(b) - 1 and all(a[i] == b[j] for i, j in got)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
+
+
+def test_line_functions(spark):
+    one = lambda made, **v: spark.createDataFrame([tuple(v.values())], ", ".join(f"{k} {'int' if isinstance(x, int) else 'string'}" for k, x in v.items())).select(made.alias("x")).first().x
+    t, f = "a\nb\nc", F.col
+    assert one(L.spliced(f("t"), f("i"), f("j"), f("n")), t=t, i=1, j=1, n="x\ny") == "a\nx\ny\nc"
+    spans = F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit("X\nY").alias("new")), F.struct(F.lit(2).alias("first"), F.lit(2).alias("last"), F.lit("Z").alias("new")))
+    assert one(L.spliced_all(f("t"), spans), t=t) == "X\nY\nb\nZ"
+    for result, ok in (("a\nnew\nc", True), ("a\nc", True), ("A\nb\nc", False), ("a\nb\nC", False), ("a", False)):
+        assert one(L.outside_unchanged(f("t"), f("i"), f("j"), f("r")), t=t, i=1, j=1, r=result) is ok
+    assert one(L.without_lines(f("t"), F.array(F.lit("b"))), t=t) == "a\nc" and one(L.without_lines(f("t"), F.array(F.lit("f("))), t="f(\n)") is None
+    assert one(L.verbatim_copy(f("b"), f("c"), f("r"), f("x")), b="1", c="2", r="3", x=" 3 ") == "replayed" and one(L.verbatim_copy(f("b"), f("c"), f("r"), f("x")), b="1", c="1", r="3", x="3") is None
+    assert tuple(spark.range(1).select(L.interleavings(F.lit(3), F.lit(2)), L.mean_surprise(F.array(F.lit(-1.0), F.lit(None), F.lit(-3.0)))).first()) == (10.0, 2.0)
+    assert one(X.masked(f("t")), t="x = 'a b'  # note\ny = \"q\" // z") == "x = <STR> y = <STR>"
+
+
 def test_text_functions(spark):
     one = lambda c, v: spark.createDataFrame([(v,)], "t string").select(c(F.col("t")).alias("x")).first().x
     assert one(X.ident_tokens, "getUserName HTTPServer x1 the my_value 42") == ["get", "user", "name", "http", "server", "my", "value"]
