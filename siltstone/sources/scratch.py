@@ -8,21 +8,34 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, from ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary folder, which is then set; on a cluster it is an error, as the machines wouldn't share it."""
+    """The shared folder, from ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary folder of its own; on a cluster it is an error, as the machines wouldn't share it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="siltstone-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="siltstone-")
+        _local[spark.sparkContext.applicationId] = base
     return base.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; a second call never gives the same."""
-    return f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder; a second call never gives the same."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes all that this application has written to its part of the shared folder; results that weren't saved elsewhere can't be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sized(df: DataFrame, rows: int, each: int = 250_000) -> DataFrame:

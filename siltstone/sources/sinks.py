@@ -16,8 +16,8 @@ def append(df: DataFrame, path: str, kind: str = "json", by: list[str] | None =
 
 
 def numbered(events: DataFrame, last: DataFrame | None = None, keys: tuple[str, ...] = ("session_id",), order: str = "timestamp") -> DataFrame:
-    """Events with ``seq`` going on, per session, from that of ``last`` (session and ``seq``)."""
-    out = events.withColumn("seq", F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("long"))
+    """Events with ``seq`` going on, per session, from that of ``last`` (session and ``seq``). Where ``order`` ties, the rows' JSON decides, so a second run gives the same numbers."""
+    out = events.withColumn("seq", F.row_number().over(Window.partitionBy(*keys).orderBy(order, F.to_json(F.struct(*events.columns)))).cast("long"))
     if last is None:
         return out
     top = last.groupBy(*keys).agg(F.max("seq").alias("_top"))

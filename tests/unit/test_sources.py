@@ -93,3 +93,29 @@ def test_instruction_pairs(spark, tmp_path):
     o = R.outcomes(spark, write(tmp_path / "o.jsonl", "\n".join(lines)))
     a = spark.createDataFrame([("u1", "p1", "resp"), ("u2", "p2", None)], "unit_id string, prompt string, response string")
     assert sorted(map(tuple, S.instruction_pairs(o, a).collect())) == [("p1", "resp"), ("p2", '{"resolved_text":"r2"}')]
+
+
+def test_scratch_is_kept_apart_and_discarded(spark, tmp_path, monkeypatch):
+    import os
+
+    from siltstone.sources import scratch as T
+
+    monkeypatch.setattr(T, "shared_dir", lambda _: str(tmp_path))
+    assert T.written(spark.range(3), "x").count() == 3
+    (tmp_path / "siltstone" / "another-application").mkdir()
+    T.discard(spark)
+    assert os.listdir(tmp_path / "siltstone") == ["another-application"]
+
+
+def test_a_local_session_without_a_shared_folder_gets_one():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from siltstone.sources import scratch as T
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, applicationId="test-app"))
+    assert T.shared_dir(session("local[2]")) == T.shared_dir(session("local[2]"))
+    for master in ("yarn", "local-cluster[3,2,1024]", "spark://host:7077"):
+        with pytest.raises(RuntimeError):
+            T.shared_dir(session(master))
