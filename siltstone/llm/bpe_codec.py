@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
@@ -27,6 +28,8 @@ from siltstone.llm.token_counts import tokenizer_file
 
 # Fixed value: how vocabularies of this kind cut a normalised text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+#: The same for texts of ASCII alone, lower-cased, for the faster library.
+ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.A)
 #: Characters after which a text is cut at the next blank, and bytes whose distinct words share one trie.
 SEGMENT, ROUND = 1 << 20, 8 << 20
 CUT = regex.compile(r"[ \n\t]")
@@ -217,7 +220,10 @@ class Codec:
 
         def add(part: str) -> None:
             if part:
-                out.append((self.words_re.findall(part.lower()), 0) if self.characters.all_alike(part) else (self._by_library(part), 1))
+                if part.isascii():
+                    out.append((ASCII_WORDS.findall(part.lower()), 0))
+                else:
+                    out.append((self.words_re.findall(part.lower()), 0) if self.characters.all_alike(part) else (self._by_library(part), 1))
 
         at = 0
         if self.special_re is not None and "<" in text:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.common import lean, slices, splitmix, table, written
-from siltstone.llm.shingles import _powers
+from siltstone.llm.shingles import TABLE, _powers
 from siltstone.llm.url_filter import host_and_path
 
 #: Trees of a layout that a page is aligned with; whether a node is constant is counted over all pages.
@@ -191,20 +191,17 @@ def apart(page: Page) -> list[bool]:
 
 
 def keys(page: Page) -> np.ndarray:
-    """Of each element, a hash of its name and of the words below it; 0 without words. One pass over the text, whatever the depth."""
-    hashes: list[int] = []
-    upto = [0]
-    for piece in page.pieces:
-        if piece != " ":
-            hashes += [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in piece.split()]
-        upto.append(len(hashes))
-    power, inverse = _powers(max(16, len(hashes).bit_length()))
-    label = np.array([zlib.crc32(n.encode("utf-8", "surrogatepass")) for n in page.names], np.uint64)
-    place = np.array(upto)
+    """Of each element, a hash of its name and of the text below it, white space aside; 0 without text. One pass over the text, whatever the depth."""
+    raw = [p.encode("utf-8", "surrogatepass") for p in page.pieces]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    solid = data > 32
+    power, inverse = _powers(max(16, len(data).bit_length()))
+    upto = np.concatenate(([0], np.cumsum(solid)))
+    place = upto[np.concatenate(([0], np.cumsum([len(x) for x in raw], dtype=np.int64)))]
+    label = np.array(labels(page), np.uint64)
     a, b = place[page.first], place[page.last]
     with np.errstate(over="ignore"):
-        word = splitmix(np.array(hashes, np.uint64) + np.uint64(1))
-        prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(word * power[: len(word)], dtype=np.uint64)))
+        prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(TABLE[data[solid]] * power[: upto[-1]], dtype=np.uint64)))
         out = splitmix((prefix[b] - prefix[a]) * inverse[a] ^ splitmix(label + np.uint64(1) << np.uint64(20)))
     return np.where(a == b, np.uint64(0), out | np.uint64(1)).view(np.int64)
 
@@ -435,7 +432,7 @@ def extract(pages: DataFrame, n: int = REFERENCES, id_col: str = "page_id", url_
                 page = parse(text or "")
                 key = keys(page)
                 layouts.append(layout(page, key, where or ""))
-                packed.append(zlib.compress(marshal.dumps((page.names, page.parent, page.end, page.first, page.last, page.pieces, apart(page), key.tolist())), 1))
+                packed.append(zlib.compress(marshal.dumps((page.names, page.parent, page.end, page.first, page.last, page.pieces, apart(page))), 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(layouts, pa.int64()), pa.array(packed, pa.binary())], ["page_id", "url", "layout", "packed"])
 
     @lean
@@ -445,8 +442,8 @@ def extract(pages: DataFrame, n: int = REFERENCES, id_col: str = "page_id", url_
             texts = []
             for packed, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 page = Page()
-                page.names, page.parent, page.end, page.first, page.last, page.pieces, gone, key = marshal.loads(zlib.decompress(packed))
-                texts.append(content(page, gone, load(own).template(page.parent, labels(page), key) if own else set()))
+                page.names, page.parent, page.end, page.first, page.last, page.pieces, gone = marshal.loads(zlib.decompress(packed))
+                texts.append(content(page, gone, load(own).template(page.parent, labels(page), keys(page).tolist()) if own else set()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     first = T.StructField("page_id", pages.schema[id_col].dataType)
