@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from siltstone.functions.stats import running
 from siltstone.operators import lineage as L
 from siltstone.plans.registry import query
 
@@ -97,12 +98,8 @@ def runs_of_days(t):
 @query("""SELECT o_orderkey, o_custkey, count(*) OVER w - 1 AS n_before, count(*) OVER (PARTITION BY o_custkey) - count(*) OVER w AS n_after FROM orders
 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""")
 def commits_around(t):
-    from pyspark.sql import Window
-
-    whole = Window.partitionBy("o_custkey")
-    n = F.count(F.lit(1))
-    upto = n.over(whole.orderBy("o_orderkey"))
-    return t("orders").select("o_orderkey", "o_custkey", (upto - 1).alias("n_before"), (n.over(whole) - upto).alias("n_after"))
+    rows = running(t("orders").select("o_orderkey", "o_custkey"), ["o_custkey"], ["o_orderkey"], {"n": F.lit(1)})
+    return rows.select("o_orderkey", "o_custkey", (F.col("n") - 1).alias("n_before"), (F.col("n_all") - F.col("n")).alias("n_after"))
 
 
 @query("""WITH f AS (SELECT o_orderkey, o_custkey AS path, o_orderstatus AS shape, o_orderpriority AS kind FROM orders)
@@ -121,5 +118,8 @@ SELECT d.kind, d.name, d.first_pos, min(o.pos) AS needed_by FROM d JOIN o ON o.n
 def future_obligations(t):
     o = t("lineitem").select(F.col("l_partkey").alias("name"), F.col("l_orderkey").alias("pos"), F.col("l_linenumber").alias("kind"))
     d = o.filter("kind <= 2").groupBy("kind", "name").agg(F.min("pos").alias("first_pos"))
-    later = o.filter("kind > 2").select("name", "pos")
-    return d.join(later, "name").filter("pos > first_pos").groupBy("kind", "name", "first_pos").agg(F.min("pos").alias("needed_by"))
+    # from the last position to the first, with what is asked just ahead of its own: the nearest use so far is the next one
+    asked = d.select("name", "kind", "first_pos", (-F.col("first_pos") - 0.5).alias("at"), F.lit(None).cast("long").alias("near"))
+    later = o.filter("kind > 2").select("name", F.lit(None).cast("int").alias("kind"), F.lit(None).cast("long").alias("first_pos"), (-F.col("pos")).cast("double").alias("at"), (-F.col("pos")).alias("near"))
+    rows = running(asked.unionByName(later), ["name"], ["at"], {"next": F.col("near")}, largest=True)
+    return rows.filter("kind IS NOT NULL AND next IS NOT NULL").select("kind", "name", "first_pos", (-F.col("next")).alias("needed_by"))

@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.stats import running
+
 
 def by_step(events: DataFrame, session: str, seq: str, starts: Column, counts: dict[str, Column]) -> DataFrame:
     """Events counted under the step that started last before them: ``session, step, <counts>``; those before the first step are left out.
 
-    Steps are numbered by a running count in each session.
+    Steps are numbered by a running count in each session, dealt by ranges: a long session is many tasks.
     """
-    w = Window.partitionBy(session).orderBy(seq)
-    rows = events.withColumn("step", F.count_if(starts).over(w)).filter("step > 0")
+    rows = running(events, [session], [seq], {"step": starts.cast("long")}).filter("step > 0")
     return rows.groupBy(session, "step").agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
 
 
