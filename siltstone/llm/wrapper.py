@@ -419,7 +419,8 @@ def extract(pages: DataFrame, n: int = REFERENCES, id_col: str = "page_id", url_
     space. A page without text gives an empty text. Pages whose url is null or has no host are taken for one host's.
     Repeated rows are each returned; an empty table gives no rows; other columns are not read.
 
-    The html itself is never shuffled: a page meets its layout's wrapper as its packed tree.
+    The html itself is never shuffled: a page meets its layout's wrapper as its packed tree. Where no layout has a wrapper
+    there is nothing to meet, and the pages are read where they are.
     """
     host, _ = host_and_path(F.col(url_col))
     known = written(wrappers(pages, n, id_col, url_col, text_col), "wrappers").withColumnRenamed("layout", "of")
@@ -446,11 +447,20 @@ def extract(pages: DataFrame, n: int = REFERENCES, id_col: str = "page_id", url_
                 texts.append(content(page, gone, load(own).template(page.parent, labels(page), keys(page).tolist()) if own else set()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+    @lean
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            texts = [main_text(x or "") for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
     first = T.StructField("page_id", pages.schema[id_col].dataType)
+    made = T.StructType([first, *T._parse_datatype_string("url string, text string, n_chars long").fields])
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(text_col).alias("html"))
+    if not known.limit(1).count():
+        return rows.select("page_id", "url", "html").mapInArrow(alone, made)
     rows = rows.mapInArrow(pack, T.StructType([first, *T._parse_datatype_string("url string, layout long, packed binary").fields]))
     joined = rows.hint("merge").join(known, F.col("layout") == F.col("of"), "left").select("page_id", "url", "packed", "wrapper")
-    return joined.mapInArrow(finish, T.StructType([first, *T._parse_datatype_string("url string, text string, n_chars long").fields]))
+    return joined.mapInArrow(finish, made)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
