@@ -35,8 +35,10 @@ class DigestIndex:
         kind = id_type.simpleString() if id_type is not None else None
         try:
             state = self._states().orderBy(F.desc("version")).first()
-        except AnalysisException:  # nothing there: a new index
-            state = None
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            state = None  # nothing there: a new index
         if state is None:
             state = T.Row(version=0, buckets=buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), id_type=kind or "bigint", appends=0, folder="data-0")
             self._put(state)
