@@ -186,9 +186,9 @@ def keep_last(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "
 
 
 def without(keyed: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``keyed`` whose id and ``_digest`` aren't ``doc_id, digest`` of a row of ``dropped``; null ids are equal. Joined by both, so neither a hot text nor a hot id is one task's."""
+    """The rows of ``keyed`` whose id and ``_digest`` aren't ``doc_id, digest`` of a row of ``dropped``; null ids are equal. Joined by both, so neither a hot text nor a hot id is one task's; by merging at every size, so that what is shuffled grows as the rows do."""
     gone = dropped.distinct().select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_of"))
-    return keyed.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (F.col("_digest") == F.col("_of")), "left_anti")
+    return keyed.hint("merge").join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (F.col("_digest") == F.col("_of")), "left_anti")
 
 
 def one_per_row(keyed: DataFrame, repeated: DataFrame, id_col: str) -> DataFrame:
