@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and, where SQL can express one, its SQL."""
 
-from siltstone.llm import bpe_codec, decontaminate, exact_dedup, jaccard_join, language_id, quality_cnn, token_counts, url_filter, warc, wrapper
+from siltstone.llm import bpe_codec, decontaminate, exact_dedup, jaccard_join, language_id, learned_ann, lexical_search, merkle, quality_cnn, token_counts, url_filter, warc, wrapper
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -13,9 +13,14 @@ QUERIES = {
     "op8_language_id": language_id.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_quality_cnn": quality_cnn.query,
+    "op11_lexical_search": lexical_search.query,
+    "op12_learned_ann": learned_ann.query,
+    "op13_merkle": merkle.query,
 }
 ORACLE_SQL = {
     "op3_decontaminate": decontaminate.ORACLE,
     "op5_warc": warc.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
+    "op13_merkle": merkle.ORACLE,
 }
