@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siltstone.sources.scratch import scratch, shared_dir, sized, written
 
-__all__ = ["FOLD", "LOWER", "UPPER", "Characters", "ascii_lower", "blobs", "kept", "lean", "scratch", "shared_dir", "sized", "slices", "splitmix", "table", "written"]
+__all__ = ["FOLD", "LOWER", "UPPER", "Characters", "ascii_lower", "blobs", "kept", "lean", "perhaps", "scratch", "shared_dir", "sized", "slices", "splitmix", "table", "written"]
 
 #: A-Z and a-z, for lower-casing of ASCII letters only.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,6 +54,21 @@ def blobs(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def perhaps(rows: DataFrame, key: Column, wanted: DataFrame, bits: int = 26) -> DataFrame:
+    """``rows`` with ``_may``: whether ``key`` may be a ``digest`` of ``wanted``, so that few others are shuffled to meet it. A null key may not.
+
+    A bit for each hash of a wanted digest, in at most 2**bits bits (8 MB, however many there are: all that is broadcast).
+    With very many all bits are set, and all rows pass.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    maps = wanted.select(slot(F.col("digest")).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_map"))
+    at = F.bitmap_bit_position(slot(key))
+    byte = F.conv(F.hex(F.substring("_map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(written(sized(maps, 1), "bits")), F.bitmap_bucket_number(slot(key)) == F.col("_bucket"), "left")
+    may = F.coalesce(key.isNotNull() & (F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1), F.lit(False))
+    return met.select(*rows.columns, may.alias("_may"))
+
+
 _kept: dict[Hashable, object] = {}
 _used: set[Hashable] = set()
 

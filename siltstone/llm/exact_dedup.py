@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import ascii_lower, scratch, sized, table, written
+from siltstone.llm.common import ascii_lower, perhaps, scratch, sized, table, written
 
 COLUMNS = ("digest", "keep_id", "copies", "repeats", "batch")
 
@@ -137,26 +137,34 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_
     if own:  # asked and forgotten: as many buckets as these rows need
         most = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         index = DigestIndex(docs.sparkSession, buckets=max(1, min(most, -(-n // 100_000))), id_type=docs.schema[id_col].dataType)
-    if docs.schema[id_col].dataType.simpleString() != index.state["id_type"]:
-        raise ValueError(f"the index has ids of type {index.state['id_type']}, the rows of type {docs.schema[id_col].dataType.simpleString()}")
-    batch = batch or uuid.uuid4().hex
+    out = _decide(rows, index, batch or uuid.uuid4().hex, n, own)
+    if own:
+        index.close()
+    return out
+
+
+def _decide(rows: DataFrame, index: DigestIndex, batch: str, n: int, empty: bool = False, sizes: DataFrame | None = None) -> DataFrame:
+    """``dedup`` of at most ``n`` rows ``doc_id, digest``; ``empty`` says that the index is. ``sizes`` (``digest, copies``) gives the groups' sizes where they aren't those of these rows."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    if kind != index.state["id_type"]:
+        raise ValueError(f"the index has ids of type {index.state['id_type']}, the rows of type {kind}")
     per_id = rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     texts = per_id.groupBy("digest").agg(F.max(F.struct("doc_id", "n")).alias("last"), F.sum("n").alias("copies"))
     texts = written(sized(texts.select("digest", F.col("last.doc_id").alias("keep_id"), "copies", F.col("last.n").alias("repeats")), n, 100_000), "batch")
     known = index.table().select("digest", F.col("keep_id").alias("known_id"), F.col("batch").alias("by"))
     before = known.filter(F.col("by") != batch).drop("by")
     fresh = texts.hint("merge").join(before, "digest", "left_anti").withColumn("fresh", F.lit(True))
-    if own:
+    if empty:
         decided = written(sized(fresh, n, 100_000), "decided")
     else:
         seen = texts.hint("merge").join(before, "digest").select("digest", F.col("known_id").alias("keep_id"), "copies", "repeats", F.lit(False).alias("fresh"))
         decided = written(sized(fresh.unionByName(seen), n, 100_000), "decided")
     new = decided.filter("fresh")
-    if not own:  # what an earlier run of this batch has appended is there already
+    if not empty:  # what an earlier run of this batch has appended is there already
         new = new.hint("merge").join(known.filter(F.col("by") == batch).select("digest"), "digest", "left_anti")
     index.append(new.withColumn("batch", F.lit(batch)))
-    if own:
-        index.close()
+    if sizes is not None:
+        decided = decided.drop("copies").hint("merge").join(sizes, "digest")
     stays = F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return (
         rows.hint("merge")
@@ -182,31 +190,55 @@ def keep_last(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "
     decided = dedup(docs, index, id_col, text_col)
     decided = written(sized(decided.filter("NOT kept OR repeats > 1").select("doc_id", "digest", "kept", "repeats"), docs.count(), 100_000), "decided")
     keyed = docs.withColumn("_digest", text_digest(F.col(text_col)))
-    return one_per_row(without(keyed, decided.filter("NOT kept").select("doc_id", "digest"), id_col), decided.filter("repeats > 1").select("doc_id", "digest"), id_col).select(docs.columns)
-
+    return settled(keyed, decided.filter("NOT kept"), decided.filter("repeats > 1"), id_col).select(docs.columns)
 
-def without(keyed: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``keyed`` whose id and ``_digest`` aren't ``doc_id, digest`` of a row of ``dropped``; null ids are equal. Joined by both, so neither a hot text nor a hot id is one task's; by merging at every size, so that what is shuffled grows as the rows do."""
-    gone = dropped.distinct().select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_of"))
-    return keyed.hint("merge").join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (F.col("_digest") == F.col("_of")), "left_anti")
 
+def settled(keyed: DataFrame, dropped: DataFrame, repeated: DataFrame, id_col: str) -> DataFrame:
+    """``keyed`` without the rows whose id and ``_digest`` are ``doc_id, digest`` of ``dropped``, and with one row, the first in the order of their JSON, of those that share what ``repeated`` has; null ids are equal.
 
-def one_per_row(keyed: DataFrame, repeated: DataFrame, id_col: str) -> DataFrame:
-    """One row of those that share id and ``_digest``, where ``repeated`` has their ``doc_id, digest``: the first in the order of their JSON. Without any, the rows as they are."""
-    repeated = repeated.distinct()
-    if not repeated.limit(1).count():
+    Most rows can't be meant, as a bitmap of the decisions' digests tells: they stay where they are. The others meet the
+    decisions by id and digest, so neither a hot text nor a hot id is one task's, by merging at every size.
+    """
+    decisions = written(dropped.select("doc_id", "digest", F.lit(False).alias("_again")).unionByName(repeated.select("doc_id", "digest", F.lit(True).alias("_again"))).distinct(), "decisions")
+    if not decisions.limit(1).count():
         return keyed
-    repeated = written(repeated, "repeated")
-    some = repeated.select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_of"))
+    marked = perhaps(keyed, F.col("_digest"), decisions)
     same = F.col(id_col).eqNullSafe(F.col("_gone")) & (F.col("_digest") == F.col("_of"))
+    met = marked.filter("_may").drop("_may").hint("merge").join(decisions.select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_of"), "_again"), same, "left")
+    stay = marked.filter("NOT _may").drop("_may").unionByName(met.filter("_again IS NULL").select(keyed.columns))
+    if not decisions.filter("_again").limit(1).count():
+        return stay
     row = F.struct(*keyed.columns)
-    one = keyed.join(some, same, "left_semi").groupBy(F.col(id_col).alias("_gone"), F.col("_digest").alias("_of")).agg(F.min_by(row, F.to_json(row)).alias("row"))
-    return keyed.join(some, same, "left_anti").unionByName(one.select("row.*"))
+    one = met.filter("_again").groupBy("_gone", "_of").agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return stay.unionByName(one.select("row.*"))
+
+
+def dedup_by_batches(docs: DataFrame, index: DigestIndex | None = None, batches: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``dedup``, with the rows dealt to batches by falling id: each is met by an anti-join with the index of those before it, and what is new is appended, so the largest id stays. ``group_size`` counts the rows of all batches. Null ids are in the last batch. ``index`` must be empty, or is a new one."""
+    rows = written(digests(docs, id_col, text_col), "rows")
+    n = rows.count()
+    kind = docs.schema[id_col].dataType
+    most = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = index is None
+    index = index or DigestIndex(docs.sparkSession, buckets=max(1, min(most, -(-n // 100_000))), id_type=kind)
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("at")).first()["at"] if isinstance(kind, T.NumericType) else None
+    of = F.lit(batches - 1)
+    for i, cut in enumerate(sorted(set(cuts or []))):  # smaller ids are later batches; equal ids are of one
+        of = F.when(F.col("doc_id") > cut, F.lit(batches - 2 - i)).otherwise(of)
+    dealt = rows.withColumn("_batch", of)
+    sizes = written(sized(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")), n, 100_000), "sizes")
+    out: DataFrame | None = None
+    for i in range(batches):
+        found = _decide(dealt.filter(F.col("_batch") == i).drop("_batch"), index, f"batch-{i}", n, sizes=sizes)
+        out = found if out is None else out.unionByName(found)
+    if own:
+        index.close()
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: every document with the one that stays of its group."""
-    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return dedup_by_batches(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 ORACLE = """

@@ -19,9 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import blobs, lean, sized, slices, splitmix, table, written
+from siltstone.llm.common import blobs, lean, perhaps, sized, slices, splitmix, table, written
 from siltstone.llm.components import components
-from siltstone.llm.exact_dedup import one_per_row, without
+from siltstone.llm.exact_dedup import settled
 from siltstone.llm.shingles import distinct, hashed
 
 TOKENS = 64
@@ -319,20 +319,6 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _perhaps(texts: DataFrame, wanted: DataFrame, bits: int = 26) -> DataFrame:
-    """The rows of ``texts`` whose ``digest`` may be in ``wanted``, so that few others are shuffled to meet it.
-
-    A bit for each hash of a wanted digest, in at most 2**bits bits (8 MB, however many there are: all that is broadcast).
-    With very many all bits are set, and all rows pass.
-    """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-    maps = wanted.select(slot("digest").alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("map"))
-    at = F.bitmap_bit_position(slot("digest"))
-    byte = F.conv(F.hex(F.substring("map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    met = texts.join(F.broadcast(written(sized(maps, 1), "bits")), F.bitmap_bucket_number(slot("digest")) == F.col("bucket"))
-    return met.filter(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).select(*texts.columns)
-
-
 def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, digest, copy_id, class_id, n_links, kept`` for every row.
 
@@ -357,7 +343,8 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recal
     reps = written(sized(reps, n, 25_000).withColumn("node", F.monotonically_increasing_id()), "reps")  # numbers are fixed by writing them
     labels = components(candidates(reps, similarity[0] / similarity[1], recall)).select(F.col("node").alias("of"), F.col("label").alias("group"))
     members = written(sized(reps.join(labels, F.col("node") == F.col("of")).select("node", "group", "copies", "lead"), n), "members")
-    texts = _perhaps(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("digest")), members.select("lead.digest"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("digest"))
+    texts = perhaps(texts, F.col("digest"), members.select("lead.digest")).filter("_may").drop("_may")
     same = texts.digest.eqNullSafe(members["lead.digest"]) & texts.id.eqNullSafe(members["lead.doc_id"])
     sets = texts.hint("merge").join(members, same).select("node", "group", "copies", "text").mapInArrow(_sets, "node long, group long, copies long, shingles binary")
     sets = written(sized(sets.dropDuplicates(["node"]), members.count(), 10_000), "sets")  # rows repeated whole
@@ -390,7 +377,7 @@ def keep_one(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recall: floa
     decided = written(sized(near_duplicates(docs, similarity, recall, id_col, text_col).select("doc_id", "digest", "kept"), docs.count()), "decided")
     keyed = docs.withColumn("_digest", text_key(F.col(text_col)))
     repeated = decided.filter("kept").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "digest")
-    return one_per_row(without(keyed, decided.filter("NOT kept").select("doc_id", "digest"), id_col), repeated, id_col).select(docs.columns)
+    return settled(keyed, decided.filter("NOT kept"), repeated, id_col).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,6 +167,26 @@ def _routed(router: Broadcast, probes: int):
     return lean(run)
 
 
+def _grouped(router: Broadcast, probes: int, group_of: dict[int, int]):
+    """A row for each cell that holds some of a query's most probable parts, with those parts."""
+    route = _routed(router, probes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.full(router.value.parts, -1, np.int32)
+        cells[list(group_of)] = list(group_of.values())
+        for batch in route(batches):
+            parts = _matrix(batch.column(2)).astype(np.int32)
+            where = cells[parts]
+            for cell in np.unique(where[where >= 0]):
+                rows, at = np.nonzero(where == cell)
+                some, counts = np.unique(rows, return_counts=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(parts[rows, at]))
+                chosen = batch.take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1), pa.array(np.full(len(some), cell, np.int32)), lists], ["key", "vec", "cell", "parts"])
+
+    return run
+
+
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """``vec_id, vec, key`` of the rows that take part, one for each id: those with an id whose vector has numbers only, not all of them 0, and as many as most vectors have (the fewer where that ties). Of rows that repeat an id the smallest vector counts. ``key`` is the vector's digest."""
     v = F.col("vec")
@@ -238,38 +258,65 @@ class LearnedIndex:
         curve = [float((at <= i).mean()) for i in range(order.shape[1])] if len(at) else [1.0]
         return next((i + 1 for i, share in enumerate(curve) if share >= target), len(curve)), curve
 
+    def _groups(self, row_block: int) -> dict[int, int]:
+        """A cell for each part that has rows: neighbouring parts share one while they hold no more than ``row_block``."""
+        out, group, held = {}, 0, 0
+        for part in sorted(self.sizes):
+            if held and held + self.sizes[part] > row_block:
+                group, held = group + 1, 0
+            out[part] = group
+            held += self.sizes[part]
+        return out
+
     def search(self, queries: DataFrame, probes: int | None = None, row_block: int = 8192, query_block: int = 8192) -> DataFrame:
         """``query_id, rank, vec_id, score``: the ``k`` nearest of each of ``queries`` (``vec_id, vec, key``), its own id not among them; equal scores by id.
 
-        Equal query vectors are searched once. A part's rows and queries meet in blocks of at most about ``row_block``
-        and ``query_block``, so no part is one task's, however large. With ``probes`` the number of parts, it is exact.
+        Equal query vectors are searched once. Parts of like numbers, which halving has put side by side, share a cell of
+        about ``row_block`` rows, in which a query meets the rows of its own parts only; a larger part is cut into cells,
+        and so are a cell's queries beyond ``query_block``, so no part is one task's, however large. With ``probes`` the
+        number of parts, it is exact.
         """
         probes = probes or self.probes
+        group_of = self._groups(row_block)
         asked = queries.groupBy("key").agg(F.first("vec").alias("vec"))
-        routed = asked.mapInArrow(_routed(self.router, probes), f"key binary, vec {self.kind}, parts array<int>").select("key", "vec", F.explode("parts").alias("part"))
+        routed = asked.mapInArrow(_grouped(self.router, probes, group_of), f"key binary, vec {self.kind}, cell int, parts array<int>")
         routed = written(routed, "routed")
-        waiting = {r["part"]: r["count"] for r in routed.groupBy("part").count().collect()}
-        slices = {p: (-(-n // row_block), -(-waiting.get(p, 0) // query_block)) for p, n in self.sizes.items()}
-        number = lambda i: F.element_at(F.create_map(*[F.lit(x) for p, s in slices.items() for x in (p, max(1, s[i]))]), F.col("part")) if slices else F.lit(1)
+        held: dict[int, int] = {}
+        for part, n in self.sizes.items():
+            held[group_of[part]] = held.get(group_of[part], 0) + n
+        waiting = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}
+        slices = {g: (-(-n // row_block), -(-waiting[g] // query_block)) for g, n in held.items() if waiting.get(g)}
+        if not slices:
+            return self.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        of = lambda c, values: F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), c)
+        number = lambda i: of(F.col("cell"), {g: s[i] for g, s in slices.items()})
         spread = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        rows = self.entries.filter(F.col("part").isin([p for p, s in slices.items() if s[1]]))
-        rows = rows.select("part", spread(number(0)).alias("a"), every(number(1)).alias("b"), "key", "least", "vec")
-        routed = routed.filter(F.col("part").isin(list(slices)))
-        asks = routed.select("part", spread(number(1)).alias("b"), every(number(0)).alias("a"), "key", "vec")
+        rows = self.entries.withColumn("cell", of(F.col("part"), group_of)).filter(F.col("cell").isin(list(slices)))
+        rows = rows.select("cell", spread(number(0)).alias("a"), every(number(1)).alias("b"), "part", "key", "least", "vec")
+        asks = routed.filter(F.col("cell").isin(list(slices))).select("cell", spread(number(1)).alias("b"), every(number(0)).alias("a"), "key", "vec", "parts")
         k = self.k
 
         def met(ask: pa.Table, row: pa.Table) -> pa.Table:
-            names = ["asked", "key", "least", "score"]
-            types = [pa.binary(), pa.binary(), pa.int64(), pa.float64()]
+            names, types = ["asked", "key", "least", "score"], [pa.binary(), pa.binary(), pa.int64(), pa.float64()]
             if not ask.num_rows or not row.num_rows:
                 return pa.table([pa.array([], t) for t in types], names)
-            least = row.column("least").to_numpy()
-            q, r, score = best(_matrix(ask.column("vec")), _matrix(row.column("vec")), least, k + 1)
+            least, part, vectors, asked = row.column("least").to_numpy(), row.column("part").to_numpy(), _matrix(row.column("vec")), _matrix(ask.column("vec"))
+            lists = ask.column("parts").combine_chunks()
+            of_query, wanted = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+            found = []
+            for p in np.unique(part):
+                q, r = of_query[wanted == p], np.flatnonzero(part == p)
+                i, j, score = best(asked[q], vectors[r], least[r], k + 1)
+                found.append((q[i], r[j], score))
+            q, r, score = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((least[r], -score, q))
+            order = order[np.arange(len(q)) - np.searchsorted(q[order], q[order]) <= k]  # k + 1 of each query
+            q, r, score = q[order], r[order], score[order]
             columns = [ask.column("key").take(pa.array(q)), row.column("key").take(pa.array(r)), pa.array(least[r]), pa.array(score)]
             return pa.table([c.cast(t) for c, t in zip(columns, types, strict=True)], names)
 
-        cell = ["part", "a", "b"]
+        cell = ["cell", "a", "b"]
         found = asks.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInArrow(met, "asked binary, key binary, least long, score double")
         w = Window.partitionBy("asked").orderBy(F.desc("score"), "least")
         found = found.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k + 1).select("asked", "key", "score")

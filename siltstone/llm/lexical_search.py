@@ -9,7 +9,6 @@ id. A search takes the nodes whose bound (the sum of these largest impacts) is b
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,10 +21,9 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import FOLD, blobs, lean, scratch, slices, table, written
 
 #: Bytes of text in a shard; a longer text is a shard of its own.
-SHARD = 8 << 20
+SHARD = 4 << 20
 #: Bytes of items that are sent to the tasks at a time.
 BLOCK = 16 << 20
-_SPACE = re.compile(rb" +")
 
 
 def terms(text: bytes) -> list[bytes]:
@@ -104,11 +102,11 @@ def shard(ids: list[int | None], texts: list[bytes], documents: int, total: int)
     term, tf, doc = rank[np.concatenate(term)], np.concatenate(tf), np.concatenate(doc)
     best = np.lexsort((doc, -impact(tf, length_measure(n, documents, total)[doc]), term))
     tree = Tree.of(doc[best], len(ids))
-    return {"ids": [ids[i] for i in order], "lengths": n.astype(np.int32), "terms": b"\n".join(names), "counts": np.bincount(term, minlength=len(names)).astype(np.int32), "bits": tree.pack(), "tf": tf[best].astype(np.int32)}
+    return {"ids": [ids[i] for i in order], "lengths": n.astype("<i4").tobytes(), "terms": b"\n".join(names), "counts": np.bincount(term, minlength=len(names)).astype("<i4").tobytes(), "bits": tree.pack(), "tf": tf[best].astype("<i4").tobytes()}
 
 
-_SHARD = pa.schema([("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("terms", pa.binary()), ("counts", pa.list_(pa.int32())), ("bits", pa.list_(pa.binary())), ("tf", pa.list_(pa.int32()))])
-_SHARD_DDL = "ids array<long>, lengths array<int>, terms binary, counts array<int>, bits array<binary>, tf array<int>"
+_SHARD = pa.schema([("ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("terms", pa.binary()), ("counts", pa.binary()), ("bits", pa.list_(pa.binary())), ("tf", pa.binary())])
+_SHARD_DDL = "ids array<long>, lengths binary, terms binary, counts binary, bits array<binary>, tf binary"
 
 
 @dataclass
@@ -241,13 +239,17 @@ def search(index: Index, items: DataFrame, k: int = 20, id_col: str = "item_id",
     return out.join(asked.select("row", "item_id"), "row").select("item_id", "rank", "doc_id", "score")
 
 
+def _numbers(value: pa.BinaryScalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), "<i4").astype(np.int64)
+
+
 def _frequencies(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = {t: i for i, t in enumerate(shared.value)}
         total = np.zeros(len(names), np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
-                for t, n in zip(batch.column(0)[i].as_py().split(b"\n"), batch.column(1)[i].values.to_pylist(), strict=True):
+                for t, n in zip(batch.column(0)[i].as_py().split(b"\n"), _numbers(batch.column(1)[i]).tolist(), strict=True):
                     at = names.get(t)
                     if at is not None:
                         total[at] += n
@@ -266,12 +268,12 @@ def _answers(ask, documents: int, total: int, k: int):
             for i in range(batch.num_rows):
                 row = {c: batch.column(j)[i] for j, c in enumerate(batch.schema.names)}
                 ids = row["ids"].as_py()
-                counts = row["counts"].values.to_numpy()
+                counts = _numbers(row["counts"])
                 end = np.cumsum(counts, dtype=np.int64)
                 where = {t: j for j, t in enumerate(row["terms"].as_py().split(b"\n")) if t in names}
-                tf = row["tf"].values.to_numpy().astype(np.int64)
+                tf = _numbers(row["tf"])
                 tree = Tree.unpack(row["bits"].as_py(), len(tf))
-                m = length_measure(row["lengths"].values.to_numpy().astype(np.int64), documents, total)
+                m = length_measure(_numbers(row["lengths"]), documents, total)
                 order = np.arange(len(tf))
                 docs = np.empty(len(tf), np.int64)
                 for bits in tree.levels:

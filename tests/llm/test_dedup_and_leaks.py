@@ -186,3 +186,16 @@ def test_pipeline_keeps_one_of_repeated_rows(spark):
     assert sorted((str(r.doc_id), r.text) for r in got.collect()) == [("2", "Same text"), ("3", None), ("None", "q")]
     doubled = corpus_pipeline.exact(spark, docs.filter("doc_id = 1"), "")
     assert doubled.count() == 1
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_later_batches_meet_the_index(spark, batches):
+    """Of equal texts in different batches the anti-join leaves only the first met, that with the largest id."""
+    data = [(i, f"text {i % 7}", 1) for i in range(40)] + [(3, "TEXT 3", 1), (None, "text 1", 1), (None, "alone", 1), (50, None, 1), (51, "", 1), (52, "x", 1), (52, "x", 1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, kept int")
+    with X.DigestIndex(spark, buckets=3) as index:
+        got = sorted(map(str, (tuple(r) for r in X.dedup_by_batches(docs, index, batches).drop("repeats").collect())))
+        assert index.table().count() == len({(t or "").translate(FOLD) for _, t, _ in data})
+        assert min(2, batches) <= index.table().select("batch").distinct().count() <= batches
+    assert got == sorted(map(str, (tuple(r) for r in X.dedup(docs).drop("repeats").collect())))
+    assert X.dedup_by_batches(docs.limit(0)).count() == 0
