@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,15 @@ class Counts(dict):
         self.held = 0
 
 
+@dataclass
+class Chunk:
+    """Ends of a text's pieces, tokens up to each end (once they are counted), and the pieces until then."""
+
+    ends: np.ndarray
+    upto: np.ndarray | None
+    pieces: list[str | None] = field(default_factory=list)
+
+
 class ChunkCounter:
     """Counts the tokens of a text as the tokenizer's ``encode`` without added special tokens does.
 
@@ -78,19 +88,26 @@ class ChunkCounter:
     def _pieces(self, text: str) -> list[str]:
         return ASCII_PIECES.findall(text) if text.isascii() else self.pieces.findall(text)
 
-    def pieces_of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ends of the pieces, and tokens up to each end."""
+    def cut(self, text: str) -> Chunk:
+        """The text's pieces; their tokens are counted when they are asked for."""
         if not self.characters.all_alike(text):
             e = self.tok.encode(text, add_special_tokens=False)
             word, off = e.word_ids, e.offsets
             last = [i for i in range(len(off)) if i + 1 == len(off) or word[i] != word[i + 1] or word[i] is None]
-            return np.array([off[i][1] for i in last], np.int64), np.array([i + 1 for i in last], np.int64)
-        length, n = [], []
+            return Chunk(np.array([off[i][1] for i in last], np.int64), np.array([i + 1 for i in last], np.int64))
+        pieces: list[str | None] = []  # None: a special token
+        length: list[int] = []
         for part, special in self._parts(text):
             got = [part] if special else self._pieces(part)
             length += map(len, got)
-            n += [1] if special else map(self.counts.__getitem__, got)
-        return np.cumsum(np.array(length, np.int64)), np.cumsum(np.array(n, np.int64))
+            pieces += [None] if special else got
+        return Chunk(np.cumsum(np.array(length, np.int64)), None, pieces)
+
+    def _upto(self, chunk: Chunk) -> np.ndarray:
+        if chunk.upto is None:
+            chunk.upto = np.cumsum(np.array([1 if p is None else self.counts[p] for p in chunk.pieces], np.int64))
+            chunk.pieces = []
+        return chunk.upto
 
     def _parts(self, text: str) -> Iterator[tuple[str, bool]]:
         at = 0
@@ -115,39 +132,42 @@ class ChunkCounter:
         return self._short(text) if len(text) <= self.chunk else self._spliced(text)[0]
 
     def _spliced(self, text: str) -> tuple[int, list[int], int]:
-        """Tokens, the places of the splices, and how often an overlap was widened."""
+        """Tokens, the places of the splices, and how often an overlap was widened.
+
+        Each widening is twice the one before, also from one start to the next, until a splice is found: a run without
+        borders is cut anew a few times only, and its tokens are counted once.
+        """
         n, step = len(text), self.chunk - self.overlap
         starts = [s for s in range(0, n, step) if s == 0 or s + self.overlap < n]
-        at, end, proven, total, places, widened = 0, min(self.chunk, n), 0, 0, [], 0
-        ends, upto = self.pieces_of(text[at:end])
+        at, end, proven, total, places, widened, extra = 0, min(self.chunk, n), 0, 0, [], 0, self.overlap
+        left = self.cut(text[at:end])
         for start in starts[1:]:
             right_end = min(start + self.chunk, n)
             if right_end <= end:
                 continue  # swallowed by a widened chunk
-            r_ends, r_upto = self.pieces_of(text[start:right_end])
-            extra = self.overlap
-            while (place := self._common(ends + at, end, np.concatenate(([0], r_ends)) + start, max(start, proven))) is None and end < n:
+            right = self.cut(text[start:right_end])
+            edges = np.concatenate(([0], right.ends)) + start
+            while (place := self._common(left.ends + at, end, edges, max(start, proven))) is None and end < n:
                 extra, widened = extra * 2, widened + 1
                 end = min(end + extra, n)
-                ends, upto = self.pieces_of(text[at:end])
+                left = self.cut(text[at:end])
                 if end >= right_end:
                     break
             if place is None:
                 continue
-            total += self._before(ends + at, upto, place) - self._before(ends + at, upto, proven)
-            at, end, proven, ends, upto = start, right_end, place, r_ends, r_upto
+            total += self._before(left, at, place) - self._before(left, at, proven)
+            at, end, proven, left, extra = start, right_end, place, right, self.overlap
             places.append(place)
-        return int(total + upto[-1] - self._before(ends + at, upto, proven)), places, widened
+        return int(total + self._upto(left)[-1] - self._before(left, at, proven)), places, widened
 
     def _common(self, left: np.ndarray, end: int, right: np.ndarray, least: int) -> int | None:
         sure = left[:-1]
         both = np.intersect1d(sure[(sure >= least) & (sure <= end - self.margin)], right)
         return int(both[0]) if len(both) else None
 
-    @staticmethod
-    def _before(ends: np.ndarray, upto: np.ndarray, place: int) -> int:
-        i = int(np.searchsorted(ends, place, side="right"))
-        return int(upto[i - 1]) if i else 0
+    def _before(self, chunk: Chunk, at: int, place: int) -> int:
+        i = int(np.searchsorted(chunk.ends + at, place, side="right"))
+        return int(self._upto(chunk)[i - 1]) if i else 0
 
 
 def count_tokens(docs: DataFrame, path: Callable[[], str] | str, chunk: int = 32768, overlap: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

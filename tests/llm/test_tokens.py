@@ -126,3 +126,18 @@ def test_nulls_repeats_and_extra_columns(spark):
     assert {r.text for r in bpe_codec.decode(coded, file).collect()} == {"", "hi</w> there</w>"}
     assert {r.text for r in bpe_codec.decode(coded, file, readable=True).collect()} == {"", "hi there"}
     assert bpe_codec.encode(docs.limit(0), file, digest=True).count() == 0
+
+
+@pytest.mark.parametrize("run", ["ab", "日本", "12", "-=", "́é", "  "])
+def test_unbroken_text_takes_linear_time(library, run):
+    """A run of one class is cut and counted in time that grows as the text, and counts as the library does."""
+    counter = token_counts.ChunkCounter(P.path("byte_bpe_50k.json"))
+    text = run * 100_000
+    assert counter.count(text) == len(library.encode(text, add_special_tokens=False))
+    times = []
+    for n in (250_000, 1_000_000):
+        began = time.process_time()
+        counter.counts.clear()
+        counter.count(run * n)
+        times.append(time.process_time() - began)
+    assert times[1] < 12 * max(times[0], 0.1)  # 16 would be the square
