@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,7 +148,7 @@ def pooled(df: DataFrame, x: str, y: str, weight: str | None = None, keys: list[
     def in_range(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("x").reset_index(drop=True)
         size = _pool(part["s"].tolist(), part["w"].tolist())
-        return part.assign(block=part["x"].iloc[[sum(size[:i]) for i in range(len(size))]].repeat(size).to_numpy())[[*keys, "x", "s", "w", "block"]] if len(part) else part.assign(block=[])
+        return part.assign(block=part["x"].iloc[np.cumsum([0, *size[:-1]])].repeat(size).to_numpy())[[*keys, "x", "s", "w", "block"]] if len(part) else part.assign(block=[])
 
     def over_all(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("block").reset_index(drop=True)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import alignment as A
 from siltstone.operators import ledger as G
+from siltstone.operators import matching as M
 from siltstone.operators import paths as P
 from siltstone.plans.registry import query
 
@@ -57,3 +58,10 @@ def url_path_union(t):
     want = x.filter("page_id % 4 = 3").select("scope", "path", "name", "kind", "q")
     out = P.path_union(have, want, ["q"])
     return out.select(F.col("scope").alias("host"), F.array_join("path", "/").alias("path"), F.coalesce("dest", F.lit(-1)).alias("dest"), "outcome")
+
+
+@query()
+def vector_matches(t):
+    """Vectors of even id and those of odd id that they became: near enough, or nearer than most and on the same side of zero; each is used once."""
+    e = t("embeddings").select(F.col("label").alias("kind"), F.floor(F.col("vec_id") / 2).alias("name"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), (F.col("embedding")[0] > 0).alias("up"))
+    return M.matched_by_vector(e.filter("id % 2 = 0"), e.filter("id % 2 = 1"), F.expr("a.up = b.up"), sure=0.4, maybe=0.25)

@@ -41,7 +41,7 @@ def drift_monitor(stream: DataFrame, session: str = "session", commit: str = "co
     """Running totals per session of a stream of observations: how many there were, and regressed tests outside exempt mechanisms.
 
     State is three numbers a session, kept in the stream's checkpoint. One row a session comes out for each micro-batch that
-    has news of it.
+    has news of it. A null commit counts, but is no commit (-1 where a session has none).
     """
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -49,7 +49,7 @@ def drift_monitor(stream: DataFrame, session: str = "session", commit: str = "co
         for part in parts:
             n += len(part)
             bad += int(part.loc[~part[exempt].fillna(False).astype(bool), regressed].fillna(0).sum())
-            last = max(last, int(part[commit].max()))
+            last = max([last, *part[commit].dropna().astype(int)])
         state.update((n, bad, last))
         yield pd.DataFrame({"session": [key[0]], "n": [n], "n_regressed": [bad], "last_commit": [last]})
 

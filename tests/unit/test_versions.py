@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import alignment as A
 from siltstone.operators import ledger as G
+from siltstone.operators import matching as M
 from siltstone.operators import paths as P
 
 
@@ -157,3 +159,59 @@ def test_path_union(spark):
     empty = spark.createDataFrame([], HAVE)
     assert P.path_union(empty, wanted.limit(0), ["q"]).count() == 0
     assert {r.outcome for r in P.path_union(empty, wanted, ["q"]).collect()} == {"glob", "no_prefix", "no_destination"}
+
+
+def plain_matches(old, new, sign, sure, maybe):
+    names, used, out = {(k, n) for k, n, *_ in new}, set(), []
+    for kind, name, i, v, mark in sorted(old, key=lambda r: r[2]):
+        if (kind, name) in names or v is None or not any(v):
+            continue
+        best = None
+        for k, _, j, w, other in sorted(new, key=lambda r: r[2]):
+            if k != kind or j in used or w is None or not any(w):
+                continue
+            u, x = np.array(v) / np.linalg.norm(v), np.array(w) / np.linalg.norm(w)
+            s = round(float(u @ x), 9)
+            if (s >= sure or (s >= maybe and sign(mark, other))) and (best is None or s > best[1]):
+                best = (j, s)
+        if best:
+            used.add(best[0])
+            out.append((i, best[0], "renamed" if best[1] >= sure else "possibly_renamed"))
+    return sorted(out)
+
+
+def test_vector_matches_equal_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 7)  # cells in many blocks
+    r = np.random.default_rng(8)
+    centres = r.standard_normal((6, 5))
+    row = lambda i: ("ab"[i % 2], f"n{i // 3}", i, (centres[r.integers(6)] + 0.4 * r.standard_normal(5)).round(3).tolist(), bool(r.integers(2)))
+    old, new = [row(i) for i in range(90)], [row(i + 1000 if i % 4 else i) for i in range(80)]
+    old += [("a", "x", 200, None, True), ("a", "y", 201, [0.0] * 5, True), (None, "z", 202, [1.0] * 5, True)]
+    new += [("a", "v", 2000, old[0][3], True), ("a", "w", 2001, old[0][3], True), (None, "q", 2002, [1.0] * 5, False), ("a", "u", 2003, None, True)]
+    ddl = "kind string, name string, id long, vec array<double>, mark boolean"
+    a, b = (spark.createDataFrame(x, ddl).repartition(3) for x in (old, new))
+    got = M.matched_by_vector(a, b, F.expr("a.mark = b.mark"), 0.85, 0.7).collect()
+    assert sorted((x.a, x.b, x.how) for x in got) == plain_matches(old, new, lambda x, y: x == y, 0.85, 0.7)
+    every = {(x.a, x.b) for x in M.near_pairs(a, b, 0.7).collect()}
+    some = {(x.a, x.b) for x in M.near_pairs(a, b, 0.7, probes=4).collect()}
+    assert some <= every and len(some) >= 0.99 * len(every)
+    assert M.matched_by_vector(a.limit(0), b, F.lit(True)).count() == 0
+    assert M.matched_by_vector(a, b.limit(0), F.lit(True)).count() == 0
+
+
+def test_vector_matches_on_the_table(spark):
+    from siltstone.plans import registry
+
+    path = "/root/testdata/sf0.001"
+    rows = [("k" + str(r.label), r.vec_id // 2, r.vec_id, r.embedding, r.embedding[0] > 0) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect()]
+    want = plain_matches([r for r in rows if r[2] % 2 == 0], [r for r in rows if r[2] % 2], lambda x, y: x == y, 0.4, 0.25)
+    registry.load()
+    assert len(want) > 20
+    assert sorted((x.a, x.b, x.how) for x in registry.QUERIES["vector_matches"](spark, path).collect()) == want
+
+
+def test_taken_in_turn_undoes_what_was_kept(spark):
+    """A later row holds what an earlier one wants in the end."""
+    pairs = [(1, "x", 0.9), (2, "x", 0.9), (2, "y", 0.8), (3, "y", 0.9), (3, "z", 0.1), (4, "z", 0.5), (4, "z", 0.5)]
+    got = M.taken_in_turn(spark.createDataFrame(pairs, "a int, b string, score double")).collect()
+    assert sorted((r.a, r.b) for r in got) == [(1, "x"), (2, "y"), (3, "z")]
