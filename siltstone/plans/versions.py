@@ -7,6 +7,7 @@ from siltstone.operators import alignment as A
 from siltstone.operators import ledger as G
 from siltstone.operators import matching as M
 from siltstone.operators import paths as P
+from siltstone.operators import tokens as T
 from siltstone.plans.registry import query
 
 
@@ -65,3 +66,44 @@ def vector_matches(t):
     """Vectors of even id and those of odd id that they became: near enough, or nearer than most and on the same side of zero; each is used once."""
     e = t("embeddings").select(F.col("label").alias("kind"), F.floor(F.col("vec_id") / 2).alias("name"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), (F.col("embedding")[0] > 0).alias("up"))
     return M.matched_by_vector(e.filter("id % 2 = 0"), e.filter("id % 2 = 1"), F.expr("a.up = b.up"), sure=0.4, maybe=0.25)
+
+
+@query(r"""WITH x AS (SELECT conv_id, turn, (conv_id + turn) % 4 AS k, regexp_replace(coalesce(text, ''), '["{}\\`]', '', 'g') AS said, '{"conv": ' || conv_id || ', "in": {"role": "' || role || '", "sign": "}\""}, "n": [' || turn || '' AS head FROM conversations WHERE role IS NOT NULL)
+SELECT conv_id, turn, CASE k WHEN 0 THEN 'direct' WHEN 1 THEN 'fenced' WHEN 2 THEN 'balanced' ELSE 'none' END AS tier, CASE WHEN k < 3 THEN md5(head || ']}') END AS object FROM x""")
+def objects_in_turns(t):
+    """JSON objects found again in turns: bare, fenced, between what was said, and broken."""
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), r'["{}\\`]', "")
+    head = F.concat(F.lit('{"conv": '), "conv_id", F.lit(', "in": {"role": "'), "role", F.lit('", "sign": "}\\""}, "n": ['), "turn")
+    k = (F.col("conv_id") + F.col("turn")) % 4
+    text = F.when(k == 0, F.concat(head, F.lit(",]}"))).when(k == 1, F.concat(said, F.lit("\n```json\n"), head, F.lit("]}\n```\n"), said)).when(k == 2, F.concat(said, F.lit(' {"no": } '), head, F.lit("]} "), said)).otherwise(F.concat(said, head, F.lit("}"), said))
+    found = t("conversations").filter("role IS NOT NULL").select("conv_id", "turn", T.extracted_object(text).alias("x"))
+    return found.select("conv_id", "turn", "x.tier", F.md5("x.object").alias("object"))
+
+
+@query(r"""WITH x AS (SELECT conv_id, turn, (conv_id + turn) % 3 AS k, list_filter(string_split_regex(text, '[^A-Za-z]+'), lambda x: x <> '')[:6] AS w FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, CASE k WHEN 0 THEN 'merged' WHEN 1 THEN 'overlap' ELSE 'unchanged' END AS reason, CASE WHEN k = 0 THEN array_to_string(list_concat(list_concat(['0', '=', w[2]], w[3:5]), ['9']), ' ') END AS merged FROM x WHERE len(w) = 6 AND len(list_distinct(w)) = 6""")
+def turns_merged_by_token(t):
+    """A turn's first words with one edit at each end, at one place, and with one edit only."""
+    w = F.slice(F.filter(F.split("text", "[^A-Za-z]+"), lambda x: x != ""), 1, 6)
+    rows = t("conversations").filter("text IS NOT NULL").select("conv_id", "turn", ((F.col("conv_id") + F.col("turn")) % 3).alias("k"), w.alias("w")).filter("size(w) = 6 AND size(array_distinct(w)) = 6")
+    line = lambda *parts: F.array_join(F.flatten(F.array(*parts)), " ")
+    one, rest, last = F.slice("w", 1, 1), F.slice("w", 2, 4), F.slice("w", 6, 1)
+    new = lambda *x: F.array(*[F.lit(v) for v in x])
+    current = F.when(F.col("k") < 2, line(new("0", "="), rest, last)).otherwise(line(one, rest, last))
+    replayed = F.when(F.col("k") == 1, line(new("7"), rest, last)).otherwise(line(one, rest, new("9")))
+    rows = rows.select("conv_id", "turn", line(one, rest, last).alias("base"), current.alias("current"), replayed.alias("replayed"))
+    return T.token_merge(rows).select("conv_id", "turn", "reason", "merged")
+
+
+@query(r"""WITH x AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '[^A-Za-z]+'), lambda x: x <> '')[:8] AS w FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, array_to_string(list_concat(list_concat(list_concat(['X'], w[3:4]), ['Y']), w[6:8]), ' ') AS text, '1 empty;2 missing;4 same' AS failed FROM x WHERE len(w) = 8 AND len(list_distinct(w)) = 8""")
+def edits_in_order(t):
+    """A turn's first words under five edits: one that stands there but for white space, one exact, three that fail."""
+    w = F.slice(F.filter(F.split("text", "[^A-Za-z]+"), lambda x: x != ""), 1, 8)
+    rows = t("conversations").filter("text IS NOT NULL").select("conv_id", "turn", w.alias("w")).filter("size(w) = 8 AND size(array_distinct(w)) = 8")
+    at = lambda i: F.col("w")[i - 1]
+    base = F.concat(at(1), F.lit("\n"), F.array_join(F.slice("w", 2, 7), " "))
+    edit = lambda search, new: F.struct(search.alias("search"), new.alias("replace"))
+    edits = F.array(edit(F.concat(at(1), F.lit("  "), at(2)), F.lit("X")), edit(F.lit(""), F.lit("a")), edit(F.lit("qq!!zz"), F.lit("b")), edit(F.concat(F.lit(" "), at(5), F.lit(" ")), F.lit(" Y ")), edit(at(3), F.concat(at(3), F.lit(" "))))
+    done = rows.select("conv_id", "turn", T.applied_edits(base, edits).alias("x"))
+    return done.select("conv_id", "turn", "x.text", F.array_join(F.transform("x.failed", lambda f: F.concat_ws(" ", f["edit"], f["why"])), ";").alias("failed"))
