@@ -8,6 +8,29 @@ from pyspark.sql import functions as F
 from siltstone.functions.stats import ratio
 
 
+PRODUCTS = [(0, 1, 2), (1, 2, 3), (0, 2, 3), (0, 1, 3)]
+
+
+def _base(factors: list[str]) -> int:
+    """How many factors of a resolution IV design are free."""
+    return min(len(factors), 3 if len(factors) == 4 else 4)
+
+
+def settings(rows: DataFrame, factors: list[str], centres: int = 0, fractional: bool = False) -> DataFrame:
+    """The runs of a two-level design for every row, with the values that the row has for each factor: ``<factor>_low`` and ``<factor>_high``, at ``centres`` further runs their middle. Null values stay null; no rows give no runs."""
+    free = _base(factors) if fractional else len(factors)
+    if fractional and len(factors) > free + len(PRODUCTS):
+        raise ValueError("at most eight factors")
+    runs = 1 << free
+    run, own = F.col("run"), [c for c in rows.columns if c not in {f"{f}_{end}" for f in factors for end in ("low", "high")}]
+    signs: list[Column] = [F.when(run.bitwiseAND(1 << i) != 0, 1).otherwise(-1) for i in range(free)]
+    for a, b, c in PRODUCTS[: len(factors) - free]:
+        signs.append(signs[a] * signs[b] * signs[c])
+    value = lambda f, sign: F.when(run >= runs, (F.col(f"{f}_low") + F.col(f"{f}_high")) / 2).when(sign == 1, F.col(f"{f}_high")).otherwise(F.col(f"{f}_low"))
+    dealt = rows.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs + centres - 1))))
+    return dealt.select(*own, "run", *[value(f, s).alias(f) for f, s in zip(factors, signs, strict=True)])
+
+
 def full_factorial(spark: SparkSession, factors: list[str], centres: int = 0) -> DataFrame:
     """All runs of two levels (-1, 1) per factor, numbered from 0, then ``centres`` runs at 0."""
     n = 1 << len(factors)
@@ -17,8 +40,8 @@ def full_factorial(spark: SparkSession, factors: list[str], centres: int = 0) ->
 
 def fractional_factorial(spark: SparkSession, factors: list[str]) -> DataFrame:
     """A resolution IV design for up to eight factors: full up to four; beyond, eight or sixteen runs in which each further factor is the product of three of the first."""
-    base = min(len(factors), 3 if len(factors) == 4 else 4)
-    products = [(0, 1, 2)] if base == 3 else [(0, 1, 2), (1, 2, 3), (0, 2, 3), (0, 1, 3)]
+    base = _base(factors)
+    products = PRODUCTS[:1] if base == 3 else PRODUCTS
     if len(factors) > base + len(products):
         raise ValueError("at most eight factors")
     runs = full_factorial(spark, factors[:base])

@@ -171,15 +171,28 @@ def logistic_fit(t):
     return t.spark.createDataFrame([(n, round(w, 4)) for n, w in [("size", weights[0]), ("english", weights[1]), ("bias", bias)]], "feature string, weight double")
 
 
-@query("SELECT run, CASE WHEN run >= 8 THEN 0 WHEN run & 1 > 0 THEN 1 ELSE -1 END AS a, CASE WHEN run >= 8 THEN 0 WHEN run & 2 > 0 THEN 1 ELSE -1 END AS b, CASE WHEN run >= 8 THEN 0 WHEN run & 4 > 0 THEN 1 ELSE -1 END AS c FROM (SELECT unnest(range(0, 10)) AS run)")
+SIX = ["quantity", "discount", "tax", "extendedprice", "partkey", "suppkey"]
+BOUNDS = "g AS (SELECT l_returnflag, " + ", ".join(f"min(l_{f})::DOUBLE AS {f}_low, max(l_{f})::DOUBLE AS {f}_high" for f in SIX) + " FROM lineitem GROUP BY 1)"
+
+
+def _bounds(t, factors):
+    end = lambda f, how, name: how(F.col(f"l_{f}")).cast("double").alias(f"{f}_{name}")
+    return t("lineitem").groupBy("l_returnflag").agg(*[x for f in factors for x in (end(f, F.min, "low"), end(f, F.max, "high"))])
+
+
+@query(f"WITH {BOUNDS} SELECT l_returnflag, run::INT AS run, " + ", ".join(f"CASE WHEN run >= 8 THEN ({f}_low + {f}_high) / 2 WHEN run & {1 << i} > 0 THEN {f}_high ELSE {f}_low END AS {f}" for i, f in enumerate(SIX[:3])) + " FROM g, range(0, 10) r(run)")
 def full_factorial(t):
-    return D.full_factorial(t.spark, ["a", "b", "c"], 2)
+    """All runs between the least and greatest values of three factors in each class of rows, and two at their middle."""
+    return D.settings(_bounds(t, SIX[:3]), SIX[:3], 2)
+
+
+SIGNS = ", ".join(f"CASE WHEN run & {1 << i} > 0 THEN 1 ELSE -1 END AS s{i}" for i in range(4))
 
 
-@query("""WITH f AS (SELECT run, CASE WHEN run & 1 > 0 THEN 1 ELSE -1 END AS a, CASE WHEN run & 2 > 0 THEN 1 ELSE -1 END AS b, CASE WHEN run & 4 > 0 THEN 1 ELSE -1 END AS c, CASE WHEN run & 8 > 0 THEN 1 ELSE -1 END AS d FROM (SELECT unnest(range(0, 16)) AS run))
-SELECT *, a * b * c AS e, b * c * d AS f FROM f""")
+@query(f"WITH {BOUNDS}, r AS (SELECT run::INT AS run, {SIGNS} FROM range(0, 16) x(run)), q AS (SELECT *, s0 * s1 * s2 AS s4, s1 * s2 * s3 AS s5 FROM r) SELECT l_returnflag, run, " + ", ".join(f"CASE WHEN s{i} = 1 THEN {f}_high ELSE {f}_low END AS {f}" for i, f in enumerate(SIX)) + " FROM g, q")
 def fractional_factorial(t):
-    return D.fractional_factorial(t.spark, list("abcdef"))
+    """Sixteen runs between the least and greatest values of six factors in each class of rows."""
+    return D.settings(_bounds(t, SIX), SIX, fractional=True)
 
 
 @query("""WITH r AS (SELECT CASE WHEN l_quantity > 25 THEN 1 ELSE -1 END AS quantity, CASE WHEN l_returnflag = 'R' THEN 1 ELSE -1 END AS returned, CASE WHEN l_discount > 0.05 THEN 1 ELSE -1 END AS discount, l_extendedprice AS s FROM lineitem),
