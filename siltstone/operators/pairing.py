@@ -5,25 +5,66 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.stats import running
 from siltstone.functions.text import jaccard
 from siltstone.functions.vectors import cosine
 from siltstone.sources.scratch import written
 
 
 def greedy(pairs: DataFrame, a: str, b: str, score: str) -> DataFrame:
-    """Pairs taken by falling score (ties: smaller ids), each side used once: in each round the pairs that are best for both their sides are taken.
+    """Pairs taken by falling score (ties: smaller ids), each side used once. Pairs with a null side or score are left out, a pair that repeats counts once with its best score.
 
-    Each round writes what is left, and it ends when that is nothing: at least the best pair of all is taken each time.
+    A pair is taken if no better pair of its sides is. In each round those that are best for both sides are taken, and with
+    them what follows along chains: a pair with one better neighbour is taken just if that isn't, so where each pair of a
+    chain has one, every second is, which doubling finds in the logarithm of its length. Each round writes what is left.
     """
-    left, taken = written(pairs.select(a, b, score), "pairs"), None
+    left, taken = written(pairs.groupBy(a, b).agg(F.max(score).alias(score)).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(score).isNotNull()), "pairs"), None
+    best_a, best_b = Window.partitionBy(a).orderBy(F.desc(score), b), Window.partitionBy(b).orderBy(F.desc(score), a)
+    pair = F.struct(a, b)
     while left.limit(1).count():
-        best_a = Window.partitionBy(a).orderBy(F.desc(score), b, a)
-        best_b = Window.partitionBy(b).orderBy(F.desc(score), a, b)
-        won = left.withColumns({"_x": F.row_number().over(best_a), "_y": F.row_number().over(best_b)}).filter("_x = 1 AND _y = 1").select(a, b, score)
-        won = written(won, "won")
+        # _x, _y: places among the pairs of either side; of second places only the pair before matters
+        ranked = left.withColumns({"_x": F.row_number().over(best_a), "_y": F.row_number().over(best_b), "_over_a": F.lag(pair).over(best_a), "_over_b": F.lag(pair).over(best_b)})
+        up = F.when((F.col("_x") == 2) & (F.col("_y") == 1), F.col("_over_a")).when((F.col("_x") == 1) & (F.col("_y") == 2), F.col("_over_b"))
+        chains = ranked.filter("_x + _y <= 3").select(pair.alias("pair"), score, up.alias("up"), up.isNotNull().alias("odd"))
+        chains = written(chains, "chains")
+        while True:
+            above = chains.select(F.col("pair").alias("up"), F.col("up").alias("_up"), F.col("odd").alias("_odd"))
+            new = chains.join(above, "up", "left").select("pair", score, F.coalesce("_up", "up").alias("up"), F.when(F.col("_up").isNotNull(), F.col("odd") != F.col("_odd")).otherwise(F.col("odd")).alias("odd"), F.col("_up").isNotNull().alias("moved"))
+            new = written(new, "chains")
+            chains = new.drop("moved")
+            if not new.filter("moved").limit(1).count():
+                break
+        # a chain that hangs on a pair with more than one better neighbour waits
+        tops = chains.filter("up IS NULL").select(F.col("pair").alias("up"))
+        won = chains.filter("up IS NULL").unionByName(chains.filter("NOT odd").join(tops, "up", "left_semi").select(*chains.columns))
+        won = written(won.select(F.col(f"pair.{a}").alias(a), F.col(f"pair.{b}").alias(b), score), "won")
         taken = won if taken is None else taken.unionByName(won)
         left = written(left.join(won.select(a), a, "left_anti").join(won.select(b), b, "left_anti"), "pairs")
-    return pairs.select(a, b, score).limit(0) if taken is None else taken
+    return pairs.select(a, b, score).limit(0) if taken is None else taken.select(a, b, score)
+
+
+def repaired(base: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Renames on both sides of a three-way merge: ``kind, base_name, left_name, right_name``, from parts ``kind, name, body``.
+
+    A part is gone from a side if the side has no part of its kind and name; it may be renamed there unless the other side
+    kept it with the same body. It is renamed to a part that is new on that side, of the same kind and body; parts with
+    equal bodies pair in order of their names, each once. A side that didn't rename the part has its name if it has the
+    part, else null. Null or empty bodies never pair; names are taken as unique in a kind, repeated rows count once.
+    """
+    base, left, right = (x.filter(F.col("kind").isNotNull() & F.col("name").isNotNull()).groupBy("kind", "name").agg(F.min("body").alias("body")) for x in (base, left, right))
+    sides = base.withColumnRenamed("body", "own")
+    for side, rows in (("left", left), ("right", right)):
+        sides = sides.join(rows.select("kind", "name", F.lit(True).alias(f"in_{side}"), F.col("body").alias(f"{side}_body")), ["kind", "name"], "left")
+    sides = written(sides.withColumns({f"in_{s}": F.col(f"in_{s}").isNotNull() for s in ("left", "right")}), "sides")
+    out = sides
+    for side, other, rows in (("left", "right", left), ("right", "left", right)):
+        gone = sides.filter(~F.col(f"in_{side}") & ~(F.col(f"in_{other}") & F.col(f"{other}_body").eqNullSafe(F.col("own")))).select("kind", "name", F.col("own").alias("body")).filter("body <> ''")
+        come = rows.join(base.select("kind", "name"), ["kind", "name"], "left_anti").filter("body <> ''")
+        places = [running(x, ["kind", "body"], ["name"], {"_i": F.lit(1).cast("long")}) for x in (gone, come)]
+        met = places[0].select("kind", "body", "_i", "name").join(places[1].select("kind", "body", "_i", F.col("name").alias(f"{side}_new")), ["kind", "body", "_i"])
+        out = out.join(met.select("kind", "name", f"{side}_new"), ["kind", "name"], "left")
+    name = lambda s: F.coalesce(f"{s}_new", F.when(F.col(f"in_{s}"), F.col("name"))).alias(f"{s}_name")
+    return out.filter("left_new IS NOT NULL OR right_new IS NOT NULL").select("kind", F.col("name").alias("base_name"), name("left"), name("right"))
 
 
 def renames(old: DataFrame, new: DataFrame, least: float = 0.6, min_words: int = 2) -> DataFrame:

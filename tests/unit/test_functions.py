@@ -99,6 +99,30 @@ def max_min(y):
     return [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
 
 
+def test_pooling_over_borders_of_ranges(spark, monkeypatch):
+    """Groups over several ranges, hulls in several pieces: what rises, falls, repeats and grows fast; a null key, nulls, no rows."""
+    monkeypatch.setattr(S, "PIECE", 8)
+    shapes = {"rise": np.arange(120.0), "fall": -np.arange(120.0), "saw": np.arange(120) % 31 * 1.0, "fast": np.exp(np.arange(120) / 10), None: np.r_[np.arange(60.0), np.arange(60.0)], "one": np.array([3.0])}
+    rows = [(k, float(i), float(y)) for k, v in shapes.items() for i, y in enumerate(v)] + [("one", None, 1.0), ("one", 5.0, None)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    got = {(r.k, r.x): r.fitted for r in S.pooled(df, "x", "y", keys=["k"], each=1).collect()}
+    assert len(got) == 601
+    for k, v in shapes.items():
+        assert np.allclose([got[k, float(i)] for i in range(len(v))], max_min(v), rtol=1e-9, atol=1e-9)
+    assert S.pooled(df.limit(0), "x", "y", keys=["k"], each=1).count() == 0
+
+
+def test_median_of_differences_that_are_not_formed(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, float(v), first) for k, n, m in [("a", 70, 60), (None, 50, 50), ("b", 1, 200)] for first, c in [(True, n), (False, m)] for v in np.round(rng.normal(size=c) * 9, 1)]
+    rows += [("a", 1e9, True), ("a", None, True), ("a", 1.0, None), ("a", float("nan"), False), ("alone", 1.0, True)]
+    got = {r.k: r["shift"] for r in S.shift(spark.createDataFrame(rows, "k string, v double, f boolean"), ["k"], "v", F.col("f"), each=4).collect()}
+    assert set(got) == {"a", "b", None}
+    for k, found in got.items():
+        x, y = ([v for a, v, f in rows if a == k and f is side and v == v and v is not None] for side in (True, False))
+        assert np.isclose(found, np.median(np.subtract.outer(x, y)))
+
+
 def test_logistic_fit_finds_the_weights(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 2))
@@ -205,6 +229,41 @@ def test_greedy_pairs(spark):
     assert got == {(1, 10), (2, 11), (3, 12)}
 
 
+def test_greedy_chains_and_ties_against_a_loop(spark, monkeypatch):
+    """A falling chain of 60 pairs takes one round; random pairs with ties, repeats and nulls give what a loop does."""
+    from siltstone.operators import pairing
+
+    tables = []
+    real = pairing.written
+    monkeypatch.setattr(pairing, "written", lambda df, name: tables.append(name) or real(df, name))
+    chain = [((i + 1) // 2, i // 2, 1 - i / 100) for i in range(60)]
+    rng = random.Random(4)
+    mixed = [(rng.randrange(15), rng.randrange(15), rng.randrange(4) / 4) for _ in range(80)]
+    for rows in (chain, mixed + mixed[:5] + [(None, 1, 0.5), (1, None, 0.5), (2, 2, None)]):
+        tables.clear()
+        got = {(r.a, r.b) for r in pairing.greedy(spark.createDataFrame(rows, "a int, b int, s double"), "a", "b", "s").collect()}
+        want, used = set(), set()
+        for s, a, b in sorted((-s, a, b) for a, b, s in rows if None not in (a, b, s)):
+            if ("a", a) not in used and ("b", b) not in used:
+                want.add((a, b))
+                used |= {("a", a), ("b", b)}
+        assert got == want
+        assert rows is not chain or (tables.count("won") == 1 and tables.count("chains") < 10)
+    assert pairing.greedy(spark.createDataFrame([], "a int, b int, s double"), "a", "b", "s").count() == 0
+
+
+def test_three_way_repairing(spark):
+    from siltstone.operators.pairing import repaired
+
+    make = lambda rows: spark.createDataFrame(rows, "kind string, name string, body string")
+    base = [("f", "foo", "x"), ("f", "keep", "k"), ("f", "dup1", "d"), ("f", "dup2", "d"), ("f", "copy", "c"), ("f", "empty", ""), ("f", "both", "b"), ("g", "foo", None)]
+    left = [("f", "bar", "x"), ("f", "keep", "k"), ("f", "n2", "d"), ("f", "n1", "d"), ("f", "copied", "c"), ("f", "none", ""), ("f", "l", "b"), ("f", "bar", "x")]
+    right = [("f", "foo", "changed"), ("f", "keep", "k"), ("f", "copy", "c"), ("f", "r", "b"), ("g", "foo", None)]
+    got = {tuple(r) for r in repaired(make(base), make(left), make(right)).collect()}
+    assert got == {("f", "foo", "bar", "foo"), ("f", "dup1", "n1", None), ("f", "dup2", "n2", None), ("f", "both", "l", "r")}
+    assert repaired(make(base).limit(0), make(left), make(right)).count() == 0
+
+
 def test_renames_against_brute_force(spark):
     from siltstone.operators.pairing import renames
 
