@@ -150,3 +150,18 @@ def sample_temperatures(t):
 def history_confidence(t):
     price = F.when(F.col("o_totalprice") > 200000, "F").when(F.col("o_totalprice") > 50000, "O").otherwise("none")
     return t("orders").select("o_orderkey", F.round(B.quality({"status": (F.col("o_orderstatus"), 0.5), "price": (price, 0.6)}, {"F": 1.0, "O": 0.5}), 6).alias("confidence"))
+
+
+@query("""WITH b AS (SELECT p_brand AS kind, p_partkey AS name, md5(p_type || p_size % 5) AS body FROM part),
+l AS (SELECT kind, CASE WHEN name % 3 = 0 THEN name + 10000000 ELSE name END AS name, body FROM b), r AS (SELECT kind, CASE WHEN name % 5 = 0 THEN name + 20000000 ELSE name END AS name, CASE WHEN name % 7 = 0 THEN 'x' || body ELSE body END AS body FROM b WHERE name % 11 <> 0),
+s AS (SELECT b.*, l.name IS NOT NULL AS in_left, r.name IS NOT NULL AS in_right, coalesce(l.body = b.body, false) AS kept_left, coalesce(r.body = b.body, false) AS kept_right FROM b LEFT JOIN l USING (kind, name) LEFT JOIN r USING (kind, name)),
+gl AS (SELECT *, row_number() OVER (PARTITION BY kind, body ORDER BY name) AS i FROM s WHERE NOT in_left AND NOT kept_right), gr AS (SELECT *, row_number() OVER (PARTITION BY kind, body ORDER BY name) AS i FROM s WHERE NOT in_right AND NOT kept_left),
+cl AS (SELECT *, row_number() OVER (PARTITION BY kind, body ORDER BY name) AS i FROM l ANTI JOIN b USING (kind, name)), cr AS (SELECT *, row_number() OVER (PARTITION BY kind, body ORDER BY name) AS i FROM r ANTI JOIN b USING (kind, name)),
+ml AS (SELECT gl.kind, gl.name, cl.name AS ln FROM gl JOIN cl USING (kind, body, i)), mr AS (SELECT gr.kind, gr.name, cr.name AS rn FROM gr JOIN cr USING (kind, body, i))
+SELECT kind, name AS base_name, coalesce(ln, CASE WHEN in_left THEN name END)::VARCHAR AS left_name, coalesce(rn, CASE WHEN in_right THEN name END)::VARCHAR AS right_name FROM s LEFT JOIN ml USING (kind, name) LEFT JOIN mr USING (kind, name) WHERE ln IS NOT NULL OR rn IS NOT NULL""")
+def three_way_renames(t):
+    """Parts whose key moves on one side or both, followed by their bodies."""
+    base = t("part").select(F.col("p_brand").alias("kind"), F.col("p_partkey").alias("name"), F.md5(F.concat("p_type", (F.col("p_size") % 5).cast("string"))).alias("body"))
+    moved = lambda n, by: F.when(F.col("name") % n == 0, F.col("name") + by).otherwise(F.col("name")).alias("name")
+    right = base.filter("name % 11 <> 0").select("kind", moved(5, 20_000_000), F.when(F.col("name") % 7 == 0, F.concat(F.lit("x"), "body")).otherwise(F.col("body")).alias("body"))
+    return P.repaired(base, base.select("kind", moved(3, 10_000_000), "body"), right).withColumns({c: F.col(c).cast("string") for c in ("left_name", "right_name")})

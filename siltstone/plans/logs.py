@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from siltstone.plans.registry import query
+from siltstone.sources import histories as H
+from siltstone.sources.scratch import scratch
 from siltstone.streaming import journal as J
 
 
@@ -53,3 +55,34 @@ def best_per_user(t):
 def event_status(t):
     names = F.create_map(*[F.lit(x) for kv in {"view": "reading", "purchase": "accepted", "error": "escalated"}.items() for x in kv])
     return t("events").select("event_id", F.coalesce(names[F.col("event_type")], F.col("event_type")).alias("status"))
+
+
+CHANGES = "c AS (SELECT user_id AS history, event_id AS place, event_type AS path, CASE WHEN event_id % 5 = 0 THEN '' ELSE (floor(value / 10)::INT)::VARCHAR END AS blob FROM events)"
+
+
+def _recorded(t):
+    """Events as the changes of a user's files, recorded and read back."""
+    blob = F.when(F.col("event_id") % 5 != 0, F.floor(F.col("value") / 10).cast("int").cast("string"))
+    root = scratch(t.spark, "histories")
+    H.record(t("events").select(F.col("user_id").cast("string").alias("history"), F.col("event_id").cast("long").alias("place"), F.col("event_type").alias("path"), blob.alias("blob")), root)
+    return H.recorded(t.spark, root)
+
+
+@query(f"""WITH {CHANGES}, p AS (SELECT DISTINCT history, place AS old, place + 400 AS new FROM c WHERE place % 7 = 0),
+s AS (SELECT p.history, old, new, path, coalesce(arg_max(blob, place) FILTER (place <= old), '') AS a, arg_max(blob, place) AS b, max(place) AS last FROM p JOIN c ON p.history = c.history AND place <= new GROUP BY ALL)
+SELECT history::VARCHAR AS history, old, new, path, CASE WHEN a = '' THEN 'added' WHEN b = '' THEN 'deleted' ELSE 'modified' END AS change FROM s WHERE last > old AND a <> b""")
+def changed_paths(t):
+    """What differs between two places of recorded histories."""
+    rows = _recorded(t)
+    return H.changed_paths(rows, rows.filter("place % 7 = 0").select("history", F.col("place").alias("old"), (F.col("place") + 400).alias("new")))
+
+
+@query(f"""WITH {CHANGES}, a AS (SELECT DISTINCT c.history, c.place + 3 AS place, k.path FROM c, (SELECT DISTINCT path FROM c) k WHERE c.place % 3 = 0),
+s AS (SELECT a.history, a.place, a.path, arg_max(blob, c.place) AS b FROM a LEFT JOIN c ON a.history = c.history AND a.path = c.path AND c.place <= a.place GROUP BY ALL)
+SELECT history::VARCHAR AS history, place, path, nullif(b, '') AS blob, CASE WHEN b <> '' THEN sha1(b) END AS digest FROM s""")
+def blobs_at(t):
+    """The content of every path at places of recorded histories."""
+    rows = _recorded(t)
+    asked = rows.filter("place % 3 = 0").select("history", (F.col("place") + 3).alias("place")).distinct()
+    kinds = [r["path"] for r in rows.select("path").distinct().collect()]  # the few types of events
+    return H.blobs_at(rows, asked.select("*", F.explode(F.array(*map(F.lit, kinds))).alias("path")))
