@@ -3,11 +3,13 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.stats import running
 from siltstone.functions.text import words
 from siltstone.operators import budget as B
 from siltstone.operators import lines as L
 from siltstone.operators import pairing as P
 from siltstone.plans.registry import query
+from siltstone.sources.scratch import written
 
 LINES = r"list_filter(list_transform(string_split(coalesce({0}, ''), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\n]+', ' ', 'g'))), lambda x: x <> '')"
 THREE = f"""v AS (SELECT doc_id, source, text AS base, lead(text) OVER w AS cur, lead(text, 2) OVER w AS rep FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
@@ -20,9 +22,12 @@ PATCH = "sha1(array_to_string(list_concat(list_transform(list_sort(cd), lambda x
 
 
 def _three(t):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    rows = t("documents").select("doc_id", "source", F.col("text").alias("base"))
-    return rows.withColumns({"cur": F.lead("base").over(w), "rep": F.lead("base", 2).over(w)}).filter("rep IS NOT NULL")
+    """Each document with the next two of its source. Ids are numbered by ranges of source and id and texts then meet by number, so no source is one task's."""
+    docs = t("documents").select("doc_id", F.struct("source").alias("g"), "text")
+    places = written(running(docs.select("g", "doc_id"), ["g"], ["doc_id"], {"i": F.lit(1)}).select("g", "doc_id", "i"), "places")
+    at = lambda k, name: docs.join(places, ["g", "doc_id"]).select("g", (F.col("i") - k).alias("i"), *["doc_id"][k:], F.col("text").alias(name))
+    rows = at(0, "base").join(at(2, "rep").filter("rep IS NOT NULL"), ["g", "i"]).join(at(1, "cur"), ["g", "i"])
+    return rows.select("doc_id", F.col("g.source").alias("source"), "base", "cur", "rep")
 
 
 @query(f"""WITH {THREE}, k AS (SELECT *, CASE WHEN len(ca) > 0 AND len(cd) > 0 THEN 'modified' WHEN len(ca) > 0 THEN 'added' WHEN len(cd) > 0 THEN 'deleted' ELSE 'unchanged' END AS x,

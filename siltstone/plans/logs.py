@@ -6,6 +6,7 @@ from siltstone.plans.registry import query
 from siltstone.sources import histories as H
 from siltstone.sources.scratch import scratch
 from siltstone.streaming import journal as J
+from siltstone.streaming import state as S
 
 
 @query("""WITH s AS (SELECT *, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events)
@@ -86,3 +87,15 @@ def blobs_at(t):
     asked = rows.filter("place % 3 = 0").select("history", (F.col("place") + 3).alias("place")).distinct()
     kinds = [r["path"] for r in rows.select("path").distinct().collect()]  # the few types of events
     return H.blobs_at(rows, asked.select("*", F.explode(F.array(*map(F.lit, kinds))).alias("path")))
+
+
+@query("SELECT user_id::VARCHAR AS session, event_type AS item, count(*) AS n FROM events GROUP BY ALL")
+def carried_counts(t):
+    """Items counted over two passes of a stream, stopped and started again between them; the state is carried over."""
+    root, sink, checkpoint = (scratch(t.spark, n) for n in ("passes", "carried", "stream"))
+    rows = t("events").select(F.col("user_id").cast("string").alias("session"), F.col("event_type").alias("item"), (F.col("event_id") % 3).alias("third"))
+    for part in (rows.filter("third = 0"), rows.filter("third <> 0")):
+        part.select("session", "item").write.mode("append").parquet(root)
+        stream = t.spark.readStream.schema("session string, item string").parquet(root)
+        S.pass_over(t.spark, S.carried(stream, "session", "item"), sink, checkpoint)
+    return t.spark.read.schema(S.COUNTS).parquet(sink).groupBy("session", "item").agg(F.max("n").alias("n"))

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone.sources import histories as H
 from siltstone.sources import readers as R
 from siltstone.sources import sinks as S
 
@@ -119,3 +120,32 @@ def test_a_local_session_without_a_shared_folder_gets_one():
     for master in ("yarn", "local-cluster[3,2,1024]", "spark://host:7077"):
         with pytest.raises(RuntimeError):
             T.shared_dir(session(master))
+
+
+def test_plans_are_commits_in_order(spark, tmp_path):
+    plan = {"source_commits": [{"oid": "a", "index": 0, "changed_paths": ["x", "y"]}, {"oid": "b", "subject": "s"}], "target_base_oid": "t"}
+    write(tmp_path / "p" / "1.json", json.dumps(plan, indent=1))
+    write(tmp_path / "p" / "2.json", json.dumps({"created_at": "now"}))
+    got = H.commits(spark, str(tmp_path / "p")).orderBy("place").collect()
+    assert [(r.place, r.oid, r.target_base_oid, r.created_at, r.changed_paths) for r in got] == [(0, "a", "t", "", ["x", "y"]), (1, "b", "t", "", None)]
+
+
+def test_recorded_histories(spark, tmp_path):
+    """Deletions, several changes at one place, a path that comes back, nulls, a filter on folders, a stream, nothing."""
+    root = str(tmp_path / "h")
+    rows = [("a", 1, "f", "one"), ("a", 3, "f", None), ("a", 5, "f", "two"), ("a", 5, "f", None), ("a", 2, "g", ""), ("a", 4, "g", ""), ("b", 1, "f", "x"), ("b", 900, "f", "y"), (None, 1, "f", "n"), ("a", 1, "f", "one")]
+    H.record(spark.createDataFrame(rows, H.CHANGE), root)
+    changes = H.recorded(spark, root)
+    assert sorted(map(str, ((r.history, r.place, r.path, r.blob) for r in changes.collect()))) == sorted(map(str, rows))
+    assert "PartitionFilters: [isnotnull(part" in changes.filter("part = 3")._jdf.queryExecution().toString()
+    asked = spark.createDataFrame([("a", p, f) for p in range(7) for f in "fg"] + [("b", 950, "f"), (None, 2, "f"), ("z", 1, "f"), ("a", 1, "f")], "history string, place long, path string")
+    got = sorted(((str(r.history), r.place, r.path, r.blob) for r in H.blobs_at(changes, asked).collect()), key=str)
+    state = {("f", p): "one" if p in (1, 2) else "two" if p > 4 else None for p in range(7)} | {("g", p): "" if p > 1 else None for p in range(7)}
+    assert got == sorted([("a", p, f, state[f, p]) for f, p in state] + [("b", 950, "f", "y"), ("None", 2, "f", "n"), ("z", 1, "f", None), ("a", 1, "f", "one")], key=str)
+    pairs = spark.createDataFrame([("a", 1, 3), ("a", 1, 3), ("a", 0, 6), ("a", 3, 5), ("a", 3, 3), ("a", 1, 5), ("a", 2, 4), ("b", 1, 900), (None, 0, 2)], "history string, old long, new long")
+    for width in (1, 100):
+        got = {tuple(r) for r in H.changed_paths(changes, pairs, width).collect()}
+        assert got == {("a", 1, 3, "f", "deleted"), ("a", 1, 3, "g", "added"), ("a", 0, 6, "f", "added"), ("a", 0, 6, "g", "added"), ("a", 3, 5, "f", "added"), ("a", 1, 5, "f", "modified"), ("a", 1, 5, "g", "added"), ("a", 2, 4, "f", "deleted"), ("b", 1, 900, "f", "modified")}
+    assert H.changed_paths(changes.limit(0), pairs).count() == 0 and H.blobs_at(changes, asked.limit(0)).count() == 0
+    H.recorded(spark, root, stream=True).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)

@@ -1,4 +1,5 @@
 from siltstone.streaming import journal as J
+from siltstone.streaming import state as K
 
 SCHEMA = "session string, commit long, regressed long, exempt boolean"
 
@@ -39,3 +40,15 @@ def test_windows_on_a_stream_are_those_of_the_batch(spark, tmp_path):
     batch = J.windowed(spark.read.parquet(path), "ts", "1 day", None, ["event_type"], "value")
     key = lambda r: (r.start, r.event_type, r.n, round(r.total, 6))
     assert sorted(map(key, spark.table("live_windows").collect())) == sorted(map(key, batch.collect()))
+
+
+def test_counts_are_carried_over_restarts(spark, tmp_path):
+    """Three passes, each a stream of its own from the same checkpoint; nulls have no state; the session's store setting is put back."""
+    source, sink, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    before = spark.conf.get(K.PROVIDER)
+    for part in ([("a", "x"), ("a", "x"), ("a", "y"), ("b", "x")], [("a", "x"), (None, "x"), ("b", None)], [("b", "x"), ("a", "z")]):
+        spark.createDataFrame(part, "s string, i string").write.mode("append").parquet(source)
+        K.pass_over(spark, K.carried(spark.readStream.schema("s string, i string").parquet(source), "s", "i"), sink, checkpoint)
+    got = sorted(tuple(r) for r in spark.read.parquet(sink).collect())
+    assert got == [("a", "x", 2, 1), ("a", "x", 3, 2), ("a", "y", 1, 1), ("a", "z", 1, 3), ("b", "x", 1, 1), ("b", "x", 2, 2)]
+    assert spark.conf.get(K.PROVIDER) == before
