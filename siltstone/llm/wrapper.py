@@ -224,6 +224,10 @@ def _kind(attrs: str) -> str:
     return " ".join(sorted(c for c in attributes(attrs).get("class", "").split() if not any(x.isdigit() for x in c)))
 
 
+#: What a node with an equal key weighs in a matching, against 1 for a pair of nodes that only share a name; more than a page has nodes.
+SAME = 1 << 40
+
+
 class Node:
     """A node of a tree for matching: its name's hash, its key if that may be template's (else 0), its children, how many nodes it has, and its number in its page."""
 
@@ -255,12 +259,12 @@ def tree(parent: list[int], labels: list[int], key: list[int], number: list[int]
     return nodes[0]
 
 
-def matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the largest number of node pairs of two trees that keeps levels and order, and the pairs. Nodes with the same key match as a whole, as one pair."""
+def matching(a: Node, b: Node, same: int = 1) -> tuple[int, list[tuple[Node, Node]]]:
+    """Simple tree matching: the weight of the best set of node pairs of two trees that keeps levels and order, and the pairs. Nodes with the same key match as a whole, as one pair, and weigh ``same`` for each of their nodes; other pairs weigh 1."""
     if a.label != b.label:
         return 0, []
     if a.key and a.key == b.key:
-        return a.size, [(a, b)]
+        return a.size * same, [(a, b)]
     x, y, pairs, total = a.children, b.children, [(a, b)], 1
     lo = 0
     while lo < min(len(x), len(y)) and x[lo].key and (x[lo].key, x[lo].label) == (y[lo].key, y[lo].label):
@@ -269,10 +273,10 @@ def matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     while hi < min(len(x), len(y)) - lo and x[-1 - hi].key and (x[-1 - hi].key, x[-1 - hi].label) == (y[-1 - hi].key, y[-1 - hi].label):
         hi += 1
     for i in [*range(lo), *range(-hi, 0)]:
-        total += x[i].size
+        total += x[i].size * same
         pairs.append((x[i], y[i]))
     x, y = x[lo : len(x) - hi], y[lo : len(y) - hi]
-    inner = [[matching(c, d) for d in y] for c in x]
+    inner = [[matching(c, d, same) for d in y] for c in x]
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(1, len(x) + 1):
         for j in range(1, len(y) + 1):
@@ -303,7 +307,7 @@ class Wrapper:
             return set()
         sys.setrecursionlimit(1 << 20)  # trees are walked as deep as they are
         own = tree(*skeleton(parent, labels, key, self.constant))
-        return {x.number for t in self.trees for x, y in matching(own, t)[1] if x.key and x.key == y.key}
+        return {x.number for t in self.trees for x, y in matching(own, t, SAME)[1] if x.key and x.key == y.key}
 
 
 def labels(page: Page) -> list[int]:

@@ -308,6 +308,24 @@ def test_simple_tree_matching():
         assert n == brute_matching(x, y) == sum(p.size if p.key and p.key == q.key else 1 for p, q in pairs)
 
 
+def test_equal_constants_outweigh_others():
+    """A page with the first, third and fifth of five constants: the third meets its like, not the second or fourth."""
+    reference, page = (0, 0, *[(1, k) for k in (11, 12, 13, 14, 15)]), (0, 0, *[(1, k) for k in (11, 13, 15)])
+    for a, b in ((reference, page), (page, reference)):
+        n, pairs = H.matching(nodes(a), nodes(b), H.SAME)
+        assert n // H.SAME == 3 and sum(p.key == q.key != 0 for p, q in pairs) == 3
+    rng = random.Random(3)
+    for _ in range(200):  # the number of equal constants is that of a longest common subsequence
+        x, y = ([rng.randrange(1, 5) for _ in range(rng.randrange(7))] for _ in "ab")
+        row = [0] * (len(y) + 1)
+        for k in x:
+            new = [0]
+            for j, m in enumerate(y):
+                new.append(row[j] + 1 if k == m else max(row[j + 1], new[j]))
+            row = new
+        assert H.matching(nodes((0, 0, *[(1, k) for k in x])), nodes((0, 0, *[(1, k) for k in y])), H.SAME)[0] // H.SAME == row[-1]
+
+
 def test_constant_nodes_are_template(spark):
     page = lambda i: f"<body><div><span>Welcome to our site</span></div><h2>Title {i}</h2><p>Body of {i} &amp; more.</p><div>Call us today</div></body>"
     rows = [(i, f"http://h.example/{i}", page(i)) for i in range(12)] + [(50, "http://other.example/", page(50)), (51, None, None), (52, "http://h.example/e", "")]
