@@ -9,6 +9,7 @@ from siltstone.operators import budget as B
 from siltstone.operators import lines as L
 from siltstone.operators import pairing as P
 from siltstone.plans.registry import query
+from siltstone.sources import readers as R
 from siltstone.sources.scratch import written
 
 LINES = r"list_filter(list_transform(string_split(coalesce({0}, ''), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\n]+', ' ', 'g'))), lambda x: x <> '')"
@@ -170,3 +171,18 @@ def three_way_renames(t):
     moved = lambda n, by: F.when(F.col("name") % n == 0, F.col("name") + by).otherwise(F.col("name")).alias("name")
     right = base.filter("name % 11 <> 0").select("kind", moved(5, 20_000_000), F.when(F.col("name") % 7 == 0, F.concat(F.lit("x"), "body")).otherwise(F.col("body")).alias("body"))
     return P.repaired(base, base.select("kind", moved(3, 10_000_000), "body"), right).withColumns({c: F.col(c).cast("string") for c in ("left_name", "right_name")})
+
+
+PROMPT = {"current": "== current side ==", "replayed": "== replayed side ==", "base": "== base ==", "context": "== context =="}
+
+
+@query(rf"""WITH {THREE} SELECT doc_id, {", ".join(rf"md5(regexp_replace({c}, '(^|\n)\s*$', '')) AS {n}" for n, c in (("base", "base"), ("current", "coalesce(cur, '')"), ("replayed", "rep")))}, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source || ' here' END AS context FROM v WHERE rep IS NOT NULL AND base IS NOT NULL AND doc_id % 5 <> 0""")
+def stored_prompts(t):
+    """Versions laid out as the sections of a prompt, and read from it again; a prompt without a section gives none."""
+    v = _three(t).filter("base IS NOT NULL")
+    head = {n: F.lit(h + "\n") for n, h in PROMPT.items()}
+    context = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(head["context"], "source", F.lit(" here\n\nOutput: JSON\n")))
+    base = F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.concat(head["base"], "base", F.lit("\n\n")))
+    text = F.concat(F.lit("Task\n"), head["current"], F.coalesce("cur", F.lit("")), F.lit("\n\n"), head["replayed"], "rep", F.lit("\n\n"), base, context)
+    got = v.select("doc_id", text.alias("text")).select("doc_id", R.sections(F.col("text"), PROMPT, ("context",), "^Output").alias("s")).filter("s IS NOT NULL")
+    return got.select("doc_id", *[F.md5(f"s.{n}").alias(n) for n in ("base", "current", "replayed")], "s.context")

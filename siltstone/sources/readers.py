@@ -116,3 +116,27 @@ def test_verdict(timed_out: Column, code: Column, stdout: Column, stderr: Column
 def overlaid(base: Column, over: Column) -> Column:
     """A map with another's entries laid over it."""
     return F.map_concat(F.map_filter(base, lambda k, _: ~F.array_contains(F.map_keys(over), k)), over)
+
+
+def sections(text: Column, headers: dict[str, str], optional: tuple[str, ...] = (), stops: str | None = None) -> Column:
+    """The parts of a stored prompt as a struct of ``headers``' names: a part runs from behind the first line that is its header to the next line that is the header of a later name, without the blank lines at its end.
+
+    Null if a header is missing that isn't ``optional``, whose part then is empty; the last part ends before a line that
+    matches ``stops``, too. A null text gives null. Lines end by newline, carriage return or both.
+    """
+    lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
+    names = list(headers)
+
+    def part(i: int) -> Column:
+        start, later = F.array_position(lines, headers[names[i]]), [F.lit(headers[n]) for n in names[i + 1 :]]
+        ends = lambda x: (x.isin(later) if later else F.lit(False)) | (x.rlike(stops) if stops and i == len(names) - 1 else F.lit(False))
+        rest = F.slice(lines, start + 1, F.size(lines))
+        marks = F.filter(F.transform(rest, lambda x, j: F.when(ends(x), j)), lambda j: j.isNotNull())
+        body = F.array_join(F.slice(rest, 1, F.coalesce(F.get(marks, 0), F.size(rest))), "\n")
+        return F.when(start > 0, F.regexp_replace(body, r"(?:^|\n)\s*\z", "")).otherwise("").alias(names[i])
+
+    there = F.lit(True)
+    for n in names:
+        if n not in optional:
+            there = there & (F.array_position(lines, headers[n]) > 0)
+    return F.when(there, F.struct(*[part(i) for i in range(len(names))]))

@@ -149,3 +149,10 @@ def test_recorded_histories(spark, tmp_path):
     assert H.changed_paths(changes.limit(0), pairs).count() == 0 and H.blobs_at(changes, asked.limit(0)).count() == 0
     H.recorded(spark, root, stream=True).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
+
+
+def test_sections_of_a_prompt(spark):
+    heads = {"a": "# a", "b": "# b", "c": "# c"}
+    texts = ["x\r\n# a\r\none\r\n\r\n two \r\n\r\n# b\n# c\nthree\n```\nrest", "# a\n# a\n# b\n \n", "# b\nx\n# a\ny", "# a\nonly", "", None, "# a # b"]
+    got = [r.s and tuple(r.s) for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").orderBy("i").select(R.sections(F.col("x"), heads, ("c",), "^```").alias("s")).collect()]
+    assert got == [("one\n\n two ", "", "three"), ("# a", "", ""), ("y", "x\n# a\ny", ""), None, None, None, None]
