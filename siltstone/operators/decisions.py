@@ -72,6 +72,11 @@ def critic_budget(base: int, coverage: Column) -> Column:
     return F.when(coverage.isNull() | (coverage >= 0.9), base).when(coverage >= 0.5, (base + 1) // 2).otherwise(1)
 
 
+def role_budget(base: int, factor: Column) -> Column:
+    """Retries scaled by what the role of a change asks for: at least one, at most twice the base; the base where the factor is unknown."""
+    return F.greatest(F.lit(1), F.least(F.floor(base * F.coalesce(factor, F.lit(1.0))).cast("int"), F.lit(2 * base)))
+
+
 def decide(hard: Column, needs_human: Column, warned: Column, retries: Column, critic_retries: Column, entropy: Column, agreement: Column, coverage: Column, budget: int = 2, critic: int = 2, max_entropy: float = 0.9, min_agreement: float = 0.0) -> Column:
     """accept, retry or escalate, under a budget each for failures, for warnings and for refusals."""
     return table(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.stats import running
+
 
 def dependencies(defines: DataFrame, uses: DataFrame) -> DataFrame:
     """``name, definer, user``: each use of a name (``name, oid, pos``) after its first definition by someone else."""
@@ -67,3 +69,19 @@ def islands(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(pos)
     runs = df.select(*keys, pos).distinct().withColumn("_g", F.col(pos) - F.row_number().over(w))
     return runs.groupBy(*keys, "_g").agg(F.min(pos).alias("start"), F.max(pos).alias("end"), F.count(F.lit(1)).alias("n")).drop("_g")
+
+
+def history_features(touches: DataFrame) -> DataFrame:
+    """What a history holds around each touch: ``touches``' columns ``history, place, path, region`` once each, and ``commit_index`` (from 0) ``, commit_count, future_file_touches, future_region_touches, recent_file_touches``: places of the history, and those behind or ahead that touch the path, or its region.
+
+    Places are counted by ranges, so a history or path with most touches is dealt to many tasks. Nulls are values of their
+    own, a null place is the first.
+    """
+    rows = touches.select(F.struct("history").alias("history"), F.struct("place").alias("place"), F.struct("path").alias("path"), F.struct("region").alias("region")).distinct()
+
+    def counted(keys: list[str], upto: str) -> DataFrame:
+        return running(rows.select(*keys, "place").distinct(), keys, ["place"], {upto: F.lit(1)})
+
+    out = rows.join(counted(["history"], "c"), ["history", "place"]).join(counted(["history", "path"], "f"), ["history", "path", "place"]).join(counted(["history", "path", "region"], "r"), ["history", "path", "region", "place"])
+    left = lambda x: F.col(f"{x}_all") - F.col(x)
+    return out.select("history.history", "place.place", "path.path", "region.region", (F.col("c") - 1).alias("commit_index"), F.col("c_all").alias("commit_count"), left("f").alias("future_file_touches"), left("r").alias("future_region_touches"), (F.col("f") - 1).alias("recent_file_touches"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions.stats import running
 from siltstone.functions.text import content_key
 from siltstone.functions.vectors import unit
 
@@ -16,8 +17,10 @@ def append(df: DataFrame, path: str, kind: str = "json", by: list[str] | None =
 
 
 def numbered(events: DataFrame, last: DataFrame | None = None, keys: tuple[str, ...] = ("session_id",), order: str = "timestamp") -> DataFrame:
-    """Events with ``seq`` going on, per session, from that of ``last`` (session and ``seq``). Where ``order`` ties, the rows' JSON decides, so a second run gives the same numbers."""
-    out = events.withColumn("seq", F.row_number().over(Window.partitionBy(*keys).orderBy(order, F.to_json(F.struct(*events.columns)))).cast("long"))
+    """Events with ``seq`` going on, per session, from that of ``last`` (session and ``seq``). Where ``order`` ties, the rows' JSON decides, so a second run gives the same numbers. Sessions are numbered by ranges, so one with most events is many tasks."""
+    once = events.groupBy(*events.columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_json", F.to_json(F.struct(*events.columns)))
+    ends = running(once, list(keys), [order, "_json"], {"_upto": F.col("_n")})  # equal events take numbers in a row
+    out = ends.select(*events.columns, F.explode(F.sequence(F.col("_upto") - F.col("_n") + 1, "_upto")).alias("seq"))
     if last is None:
         return out
     top = last.groupBy(*keys).agg(F.max("seq").alias("_top"))
