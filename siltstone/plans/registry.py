@@ -38,7 +38,7 @@ class Tables:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    for name in ("relational", "retrieval", "voting", "history", "reconcile", "statistics", "rules", "text", "logs", "edits", "replays", "versions", "unions", "folders"):
+    for name in ("relational", "retrieval", "voting", "history", "reconcile", "statistics", "rules", "text", "logs", "edits", "replays", "versions", "unions", "folders", "changes"):
         importlib.import_module(f"siltstone.plans.{name}")
 
 
