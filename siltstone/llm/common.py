@@ -12,9 +12,9 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.sources.scratch import scratch, shared_dir, sized, written
+from siltstone.sources.scratch import gathered, scratch, shared_dir, sized, written
 
-__all__ = ["FOLD", "LOWER", "UPPER", "Characters", "ascii_lower", "blobs", "kept", "lean", "perhaps", "scratch", "shared_dir", "sized", "slices", "splitmix", "table", "written"]
+__all__ = ["FOLD", "LOWER", "UPPER", "Characters", "ascii_lower", "blobs", "gathered", "kept", "lean", "perhaps", "scratch", "shared_dir", "sized", "slices", "splitmix", "table", "written"]
 
 #: A-Z and a-z, for lower-casing of ASCII letters only.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import sized, written
+from siltstone.llm.common import gathered, sized, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     path rounds. Everything stays in tables: joins and groupings with map-side combination, written to the shared folder
     in each round. No edges give no rows; repeated edges are fine, and a loop, or a node that has only loops, is left out.
     """
-    pairs = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+    pairs = written(gathered(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "edges")
     n = pairs.count()
     low = pairs.groupBy("a").agg(F.min("b").alias("low"))
     thin = written(sized(pairs.join(low, "a").filter("b != low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct().unionByName(low.select("a", F.col("low").alias("b"))), n), "thin")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import blobs, lean, perhaps, sized, slices, splitmix, table, written
+from siltstone.llm.common import blobs, gathered, lean, perhaps, sized, slices, splitmix, table, written
 from siltstone.llm.components import components
 from siltstone.llm.exact_dedup import settled
 from siltstone.llm.shingles import distinct, hashed
@@ -350,7 +350,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recal
     sets = written(sized(sets.dropDuplicates(["node"]), members.count(), 10_000), "sets")  # rows repeated whole
     pairs = _blocks(sets, similarity[0] / similarity[1])
     found = pairs.repartition("group", *SIDES).sortWithinPartitions("group", *SIDES).mapInArrow(_exact(*similarity), "node long, links long, root long")
-    found = written(found, "links")
+    found = written(gathered(found), "links")
     classes = components(found.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("of"), "label")
     links = found.groupBy(F.col("node").alias("linked")).agg(F.sum("links").alias("links"))
     known = reps.select("copy_key", "node", "lead", "copies").join(links, F.col("node") == F.col("linked"), "left").join(classes, F.col("node") == F.col("of"), "left")
@@ -358,7 +358,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recal
     heads = known.groupBy("label").agg(F.min("lead").alias("head"))
     known = written(sized(known.join(heads, "label").select("copy_key", F.col("lead.doc_id").alias("copy"), "n", "links", "head"), n), "copies")
     rows = prints.select("doc_id", "digest", "copy_key", F.col("sketch").isNull().alias("bare"))
-    return (
+    out = (
         rows.hint("merge")
         .join(known, "copy_key", "left")
         .select(
@@ -370,6 +370,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recal
             (F.col("bare") | (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("digest") == F.col("head.digest")))).alias("kept"),
         )
     )
+    return sized(out, n, 25_000)
 
 
 def keep_one(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -43,6 +43,11 @@ def sized(df: DataFrame, rows: int, each: int = 250_000) -> DataFrame:
     return df.coalesce(max(1, -(-rows // each)))
 
 
+def gathered(df: DataFrame, share: int = 16) -> DataFrame:
+    """``df`` dealt anew to a ``share``-th of the session's shuffle partitions. For few narrow rows of a step whose work needs all its tasks: the work keeps them, and what is written then is few files."""
+    return df.repartition(max(1, -(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // share)))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage is cut, and a lost executor loses nothing."""
     path = scratch(df.sparkSession, name)

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from siltstone.llm import components as C
 from siltstone.llm import jaccard_join as J
 from siltstone.llm import shingles as S
 from siltstone.llm.common import perhaps
@@ -176,3 +177,29 @@ def test_equal_buckets_are_split_in_every_run(spark, monkeypatch):
     sketch = [(i, bytes(range(256)), bytes(64)) for i in range(12)]  # all alike: the same documents in every bucket
     J.candidates(spark.createDataFrame(sketch, "node long, sketch binary, short binary"), limit=8, dense=1.1, depth=2)
     assert levels[0].select("key").distinct().count() > J.runs_for(0.999, 0.8, 2) / 2
+
+
+def test_few_rows_are_few_files_however_many_partitions(spark, monkeypatch):
+    """Each file that a task writes to a local folder starts a child of its JVM: edges and links of many tasks, and the rows returned, are few files."""
+    files, plain = {}, C.written
+
+    def noted(df, name):
+        out = plain(df, name)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(C, "written", noted)
+    monkeypatch.setattr(J, "written", noted)
+    texts = [t for seed in range(40) for t in family(3, 40, 1, seed)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 48)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        rows = J.near_duplicates(docs)
+        assert got(rows) == brute(dict(enumerate(texts)))
+        assert rows.rdd.getNumPartitions() == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {"edges", "links", "labels", "sets", "copies"} <= set(files) and max(files.values()) <= 3
