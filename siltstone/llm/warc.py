@@ -22,10 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import blobs, lean, scratch, slices, table, written
+from siltstone.llm.common import blobs, lean, scratch, sized, slices, table, written
 
 INDEX = "page_id long, file string, offset long, length long, url string, payload_digest string, record_type string, refers_to long"
 
+#: Bytes of payload and head that are worth a task that writes, and of records one that reads. Fewer are few tasks, however many partitions a shuffle has, as each file that a task returns rows in costs its JVM three children on a local file system.
+WORTH, HEAD = 4 << 20, 512
+
 
 def _fs(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system and path of a folder that driver and executors share. Hadoop's names for S3 are understood; a scheme that Arrow has no file system for is an error."""
@@ -76,12 +79,21 @@ def mark_revisits(pages: DataFrame, least: int = 1000, id_col: str = "page_id",
     Only ids and digests are shuffled. Pages with a shared payload are found by a grouping with map-side combination and
     joined by two plain scans, so adaptive execution can split the hot ones.
     """
+    return _decided(_payloads(pages, id_col, text_col), least)
+
+
+def _payloads(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``page_id, digest, size`` of each page, written."""
     payload = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     kind = pages.schema[id_col].dataType
     if not isinstance(kind, T.IntegralType):
         raise TypeError(f"{id_col} must be a whole number, not {kind.simpleString()}")
-    narrow = written(pages.select(F.col(id_col).cast("long").alias("page_id"), F.unhex(F.sha1(payload)).alias("digest"), F.octet_length(payload).cast("long").alias("size")), "payloads")
-    shared = written(narrow.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "size", "first_id"), "shared")
+    return written(pages.select(F.col(id_col).cast("long").alias("page_id"), F.unhex(F.sha1(payload)).alias("digest"), F.octet_length(payload).cast("long").alias("size")), "payloads")
+
+
+def _decided(narrow: DataFrame, least: int) -> DataFrame:
+    shared = narrow.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "size", "first_id")
+    shared = written(sized(shared, narrow.count()), "shared")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
     return narrow.hint("merge").join(shared, ["digest", "size"], "left").select("page_id", "digest", "size", refers.alias("refers_to"))
 
@@ -96,7 +108,8 @@ def write(pages: DataFrame, folder: str, least: int = 1000, date: str | None = N
     A page's record is made and compressed where the page is read, so what meets its decision is the compressed record.
     """
     when = date or datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    revisits = mark_revisits(pages, least, id_col, text_col).filter("refers_to IS NOT NULL").select(F.col("page_id").alias("id"), F.col("digest").alias("of"), "size", "refers_to").dropDuplicates(["id", "of"])
+    narrow = _payloads(pages, id_col, text_col)
+    revisits = _decided(narrow, least).filter("refers_to IS NOT NULL").select(F.col("page_id").alias("id"), F.col("digest").alias("of"), "size", "refers_to").dropDuplicates(["id", "of"])
 
     @lean
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,6 +124,7 @@ def write(pages: DataFrame, folder: str, least: int = 1000, date: str | None = N
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(text_col).alias("html"))
     rows = rows.mapInArrow(pack, "page_id long, url string, digest binary, record binary")
     rows = rows.join(revisits, rows.page_id.eqNullSafe(revisits.id) & (rows.digest == revisits.of), "left").select("page_id", "url", "digest", "size", "refers_to", "record")
+    rows = sized(rows, narrow.agg(F.sum(F.col("size") + HEAD)).first()[0] or 0, WORTH)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +175,7 @@ def read(selected: DataFrame, partitions: int | None = None, payload: bool = Tru
 
     All is taken from the archive's records, the digest of a response computed anew from its payload. Rows are range
     partitioned and sorted by file and offset, so that a task reads few archives forwards, in coalesced ranges. ``url`` is
-    the page's, null if it had none.
+    the page's, null if it had none. ``partitions`` are taken as given; else they are the session's, fewer for few bytes.
     """
     fields = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payload
     schema = T._parse_datatype_string(fields)
@@ -199,6 +213,8 @@ def read(selected: DataFrame, partitions: int | None = None, payload: bool = Tru
 
     n = partitions or int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spots = selected.select("file", "offset", "length").repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
+    if partitions is None:
+        spots = sized(spots, selected.agg(F.sum("length")).first()[0] or 0, WORTH)
     return spots.mapInArrow(run, schema)
 
 

@@ -69,6 +69,41 @@ def test_records_are_gzip_members_in_order(spark, tmp_path):
         assert gzip.open(f).read().count(b"WARC/1.1\r\n") == len(rows)
 
 
+def test_few_bytes_are_few_files_however_many_partitions(spark, tmp_path, monkeypatch):
+    """Each file that a task returns rows in starts children of its JVM on a local file system: a small table is few archives, few files of the index and few tasks of the result, one of more bytes as many as before."""
+    files, plain = {}, W.written
+
+    def noted(df, name):
+        out = plain(df, name)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(W, "written", noted)
+    texts = [f"page {i % 40} " * (200 if i % 3 else 20) for i in range(400)]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", t) for i, t in enumerate(texts)], "page_id long, url string, html string").repartition(3)
+    last = {t: i for i, t in enumerate(texts)}
+    want = {i: (len(t), hashlib.sha1(t.encode()).hexdigest(), last[t] if len(t) >= 1000 and last[t] != i else None) for i, t in enumerate(texts)}
+    assert sum(x[2] is not None for x in want.values()) > 200
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 48)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        for few in (True, False):
+            if not few:
+                monkeypatch.setattr(W, "WORTH", 1)
+            index = W.write(pages, folder := str(tmp_path / f"few-{few}"))
+            rows = W.read(index, payload=False)
+            counts = (len(os.listdir(folder)), files["warc-index"], rows.rdd.getNumPartitions())
+            assert counts == (1, 1, 1) if few else min(counts) > 20
+            assert files["shared"] == 1 and W.read(index, 5).rdd.getNumPartitions() == 5
+            rows = rows.collect()
+            assert len(rows) == len(texts)
+            assert {r.page_id: (r.payload_bytes, r.payload_digest, r.refers_to) for r in rows} == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_ranges_coalesce():
     assert W.ranges([(0, 10), (500, 5), (10, 10), (30, 1)], gap=20, most=100) == [[0, 2, 3], [1]]
     assert W.ranges([(0, 60), (60, 60)], gap=20, most=100) == [[0], [1]]
