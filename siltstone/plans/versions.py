@@ -102,8 +102,9 @@ def edits_in_order(t):
     w = F.slice(F.filter(F.split("text", "[^A-Za-z]+"), lambda x: x != ""), 1, 8)
     rows = t("conversations").filter("text IS NOT NULL").select("conv_id", "turn", w.alias("w")).filter("size(w) = 8 AND size(array_distinct(w)) = 8")
     at = lambda i: F.col("w")[i - 1]
-    base = F.concat(at(1), F.lit("\n"), F.array_join(F.slice("w", 2, 7), " "))
+    # a sign behind the fifth word, so that the exact edit changes it whatever it is, "Y" too
+    base = F.concat(at(1), F.lit("\n"), F.array_join(F.slice("w", 2, 4), " "), F.lit("! "), F.array_join(F.slice("w", 6, 3), " "))
     edit = lambda search, new: F.struct(search.alias("search"), new.alias("replace"))
-    edits = F.array(edit(F.concat(at(1), F.lit("  "), at(2)), F.lit("X")), edit(F.lit(""), F.lit("a")), edit(F.lit("qq!!zz"), F.lit("b")), edit(F.concat(F.lit(" "), at(5), F.lit(" ")), F.lit(" Y ")), edit(at(3), F.concat(at(3), F.lit(" "))))
+    edits = F.array(edit(F.concat(at(1), F.lit("  "), at(2)), F.lit("X")), edit(F.lit(""), F.lit("a")), edit(F.lit("qq!!zz"), F.lit("b")), edit(F.concat(F.lit(" "), at(5), F.lit("! ")), F.lit(" Y ")), edit(at(3), F.concat(at(3), F.lit(" "))))
     done = rows.select("conv_id", "turn", T.applied_edits(base, edits).alias("x"))
     return done.select("conv_id", "turn", "x.text", F.array_join(F.transform("x.failed", lambda f: F.concat_ws(" ", f["edit"], f["why"])), ";").alias("failed"))

@@ -2,6 +2,7 @@ import json
 import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from siltstone.operators import tokens as T
@@ -140,3 +141,18 @@ def test_edits_in_order(spark):
     for row in rows.select("i", T.applied_edits(F.col("text"), F.col("edits")).alias("x")).collect():
         want = plain_edits(data[row.i][1], data[row.i][2] or [])
         assert (row.x.text, [tuple(f) for f in row.x.failed]) == want, data[row.i]
+
+
+def test_edits_in_order_query_on_odd_turns(spark, tmp_path):
+    """The query equals its SQL where a turn's words are what the edits write."""
+    from siltstone.plans import registry
+
+    registry.load()
+    texts = ["X nas asja kus Y ja de es", "a b c d Y f g h", "Y b c d X f g h", "a X Y b c d e f", "a b c d y f g h", "a b! c d e! f g h", "a ab abc b ba bab A B", "a b c d Y f g", "Y Y c d e f g h", "", None]
+    path = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame([(i, 1, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(path)
+    got = registry.QUERIES["edits_in_order"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    want = con.execute(registry.ORACLE_SQL["edits_in_order"]).fetchall()
+    assert len(want) == 7 and sorted(tuple(r) for r in got) == sorted(want)
