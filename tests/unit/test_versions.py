@@ -199,6 +199,31 @@ def test_vector_matches_equal_a_loop(spark, monkeypatch):
     assert M.matched_by_vector(a, b.limit(0), F.lit(True)).count() == 0
 
 
+def test_vector_matches_ask_again(spark, monkeypatch):
+    """A few partners at a time, copies of vectors among them, in blocks that each hold a few rows of either side; ids as text too."""
+    r = np.random.default_rng(3)
+    base = r.standard_normal((25, 4)).round(3).tolist()
+    row = lambda i, n: ("ab"[i % 2], f"n{n}", i, base[r.integers(25)], bool(r.integers(2)))
+    old, new = [row(i, i) for i in range(100, 190)], [row(i, -i) for i in range(200, 280)]
+    ddl = "kind string, name string, id long, vec array<double>, mark boolean"
+    monkeypatch.setattr(M, "TOP", 1)
+    monkeypatch.setattr(M, "BLOCK", 16), monkeypatch.setattr(M, "WIDE", 2), monkeypatch.setattr(M, "ONCE", 64)
+    a, b = (spark.createDataFrame(x, ddl).withColumn("id", F.col("id").cast("string")) for x in (old, new))
+    got = M.matched_by_vector(a, b, F.expr("a.mark = b.mark"), 0.8, -1.0).collect()
+    assert sorted((int(x.a), int(x.b), x.how) for x in got) == plain_matches(old, new, lambda x, y: x == y, 0.8, -1.0)
+
+
+def test_near_vectors_are_not_copied_to_most_cells(spark, monkeypatch):
+    """Where most cells may hold a partner, rows of neither side are copied to each of them, nor are all pairs listed."""
+    seen, real = {}, M.written
+    monkeypatch.setattr(M, "written", lambda df, name: seen.setdefault((name, len(seen)), real(df, name)))
+    r = np.random.default_rng(4)
+    rows = spark.createDataFrame([("k", i, i, r.standard_normal(16).tolist()) for i in range(1000)], "kind string, name int, id int, vec array<double>")
+    assert M.matched_by_vector(rows.filter("id < 500"), rows.filter("id >= 500"), F.lit(True), 0.9, -0.5).count() == 500
+    most = max(df.count() for df in seen.values())
+    assert most <= M.TOP * 500
+
+
 def test_vector_matches_on_the_table(spark):
     from siltstone.plans import registry
 
