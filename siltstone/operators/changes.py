@@ -61,6 +61,8 @@ def matched_in_turn(sources: DataFrame, targets: DataFrame, sign: Column | None
     moved = written(renames(shape(targets), shape(sources)).select("kind", F.col("new_name").alias("name"), F.col("old_name").alias("target"), F.lit("renamed").alias("how")), "moved")
     rest = _met(_met(sources, same.select("kind", "name"), key, "left_anti"), moved.select("kind", "name"), key, "left_anti")
     free = _met(_met(targets, names, key, "left_anti"), moved.select("kind", F.col("target").alias("name")), key, "left_anti")
+    if sign is None:  # nothing unsure counts
+        vector |= {"maybe": max(vector.get("maybe", 0.70), vector.get("sure", 0.85))}
     near = matched_by_vector(written(rest, "rest"), written(free, "free"), F.lit(False) if sign is None else sign, **vector)
     near = _met(_met(near.select("a", "b", "how"), rest.select("id", "kind", "name"), {"a": "id"}), free.select("id", F.col("name").alias("target")), {"b": "id"}).select("kind", "name", "target", "how")
     found = written(same.unionByName(moved).unionByName(near), "found")
