@@ -264,6 +264,30 @@ def test_three_way_repairing(spark):
     assert repaired(make(base).limit(0), make(left), make(right)).count() == 0
 
 
+def test_renames_of_copies_take_few_rounds(spark, monkeypatch):
+    """Many names with the same words, on uneven sides and in classes that tie: as by a loop, in few rounds."""
+    from siltstone.operators import pairing
+
+    rng = random.Random(10)
+    sets = [["a", "b", "c", "d", "e"], ["a", "b", "c", "d", "f"], ["a", "b", "c", "d", "g"], ["p", "q", "r"], ["p", "q", "s"], ["u", "v"]]
+    rows = lambda side, n: [("k", f"{side}{i:03}", f"{side}{i}", sets[rng.randrange(6)]) for i in range(n)]
+    old, new = rows("o", 120), rows("n", 90)
+    old += [("k", f"x{i:03}", f"x{i}", ["y", "z", "t"]) for i in range(40)]  # classes without ties
+    new += [("k", f"x{i + 50:03}", f"y{i}", ["z", "y", "t", "w"]) for i in range(30)]
+    tables, real = [], pairing.written
+    monkeypatch.setattr(pairing, "written", lambda df, name: tables.append(name) or real(df, name))
+    shape = lambda x: spark.createDataFrame(x, "kind string, name string, body string, words array<string>")
+    got = {(r.old_name, r.new_name, r.how) for r in pairing.renames(shape(old), shape(new), 0.5).collect()}
+    near = [(-round(len(set(x[3]) & set(y[3])) / len(set(x[3]) | set(y[3])), 9), x[1], y[1]) for x in old for y in new]
+    want, used = set(), set()
+    for s, a, b in sorted(n for n in near if n[0] <= -0.5):
+        if a not in used and b not in used:
+            want.add((a, b, "like_body"))
+            used |= {a, b}
+    assert got == want and len(want) > 100
+    assert tables.count("won") + tables.count("best") <= 30
+
+
 def test_renames_against_brute_force(spark):
     from siltstone.operators.pairing import renames
 
